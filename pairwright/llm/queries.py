@@ -6,6 +6,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.llm import pii, secret_scan
 from pairwright.llm.common import table
 from pairwright.llm.decontaminate import contaminated_words, items_digest
 from pairwright.llm.mixing import mix
@@ -19,11 +20,19 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -35,7 +44,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
+    "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
