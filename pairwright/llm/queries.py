@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import pii, secret_scan
-from pairwright.llm.common import table
+from pairwright.llm.common import held_out, table
 from pairwright.llm.decontaminate import contaminated_words, items_digest
 from pairwright.llm.mixing import mix
+from pairwright.llm.quality import quality_model, score_quality
 from pairwright.llm.simhash import simhash_groups
 from pairwright.llm.url_filter import Rule, judge_urls
 
@@ -20,6 +21,12 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -44,6 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
