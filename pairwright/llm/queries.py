@@ -12,6 +12,7 @@ from pairwright.llm.decontaminate import contaminated_words, items_digest
 from pairwright.llm.mixing import mix
 from pairwright.llm.quality import quality_model, score_quality
 from pairwright.llm.simhash import simhash_groups
+from pairwright.llm.toxicity import score_toxicity, toxicity_model
 from pairwright.llm.url_filter import Rule, judge_urls
 
 URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/")]
@@ -45,6 +46,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -56,6 +63,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "pipeline": corpus_pipeline.run,
 }
