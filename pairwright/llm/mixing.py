@@ -133,10 +133,10 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[int, ...] = (3,
     is_array = dict(base.dtypes)[members].startswith("array")
     names = F.array_distinct(F.transform(F.col(members), lambda x: x.cast("string"))) if is_array else F.array(F.col(members).cast("string"))
     pattern = F.to_json(F.array_sort(F.transform(F.coalesce(names, F.array(F.lit(None).cast("string"))), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("null")))))
-    place = F.xxhash64(F.lit(seed), *(F.col(c) for c in ("doc_id", "text") if c in base.columns))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(c) for c in ("doc_id", "text") if c in base.columns)), 1)  # 0 to 2^63
     marked = base.withColumns({"__p": pattern, "size": word_count(F.col("text")), "__h": place})
     slim = cut(marked.select(F.col("__p").alias("p"), F.col("__h").alias("h"), "size"))
-    coarse = cut(slim.groupBy("p", F.shiftright("h", 55).alias("r")).agg(F.sum("size").alias("n")))
+    coarse = cut(slim.groupBy("p", F.shiftright("h", 54).alias("r")).agg(F.sum("size").alias("n")))
     rows = coarse.groupBy("p").agg(F.sum("n").alias("n")).limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
         raise ValueError(f"over {most_patterns} membership patterns")
@@ -153,14 +153,14 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[int, ...] = (3,
     # bounded by most_patterns, so these may be broadcast
     planned = docs.sparkSession.createDataFrame(plan, "p string, source_size long, target double, rounds long, rest long")
     first = cut(_crossing(coarse, planned.select("p", "rest"), "r"))
-    fine = slim.withColumn("r", F.shiftright("h", 55)).join(F.broadcast(first.select("p", "r")), ["p", "r"]).groupBy("p", F.shiftright("h", 46).alias("c")).agg(F.sum("size").alias("n"))
+    fine = slim.withColumn("r", F.shiftright("h", 54)).join(F.broadcast(first.select("p", "r")), ["p", "r"]).groupBy("p", F.shiftright("h", 45).alias("c")).agg(F.sum("size").alias("n"))
     second = cut(_crossing(fine, first.select("p", "rest"), "c"))
-    tail = slim.withColumn("c", F.shiftright("h", 46)).join(F.broadcast(second), ["p", "c"])
+    tail = slim.withColumn("c", F.shiftright("h", 45)).join(F.broadcast(second), ["p", "c"])
     upto = Window.partitionBy("p").orderBy("h").rangeBetween(Window.unboundedPreceding, -1)
     taken = tail.withColumn("begin", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("begin") + F.col("size") / 2 <= F.col("rest"))
     last = cut(taken.groupBy("p").agg(F.max("h").alias("last")))
     # where no document of the crossing part is taken, all before that part are
-    bound = planned.join(second.select("p", F.shiftleft("c", 46).alias("from")), "p", "left").join(last, "p", "left")
+    bound = planned.join(second.select("p", F.shiftleft("c", 45).alias("from")), "p", "left").join(last, "p", "left")
     bound = cut(bound.select(F.col("p").alias("__p"), "source_size", "target", "rounds", F.coalesce("last", F.col("from") - 1).alias("last")))
     extra = F.when(F.col("__h") <= F.col("last"), 1).otherwise(0)
     return marked.join(F.broadcast(bound), "__p").select(*base.columns, "size", "source_size", "target", (F.col("size") * (F.col("rounds") + extra)).alias("taken"))
