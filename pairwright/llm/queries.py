@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pairwright.llm import pii, secret_scan
 from pairwright.llm.common import held_out, table
 from pairwright.llm.decontaminate import contaminated_words, items_digest
+from pairwright.llm.embedding_dedup import embedding_groups
 from pairwright.llm.mixing import mix
 from pairwright.llm.quality import quality_model, score_quality
 from pairwright.llm.simhash import simhash_groups
@@ -32,6 +33,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = contaminated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_secret_scan": op4_secret_scan,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_pii": op7_pii,
     "op8_mixing": op8_mixing,
@@ -69,6 +75,17 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op5_embedding_near_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
+reach AS (SELECT a AS node, b AS other FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT node, min(other) AS m FROM reach GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings e LEFT JOIN least ON least.node = vec_id LEFT JOIN degree ON degree.node = vec_id""",
     "op1_url_filter": r"""
 WITH rules(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 rest AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS r FROM pages),
