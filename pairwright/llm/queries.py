@@ -10,6 +10,7 @@ from pairwright.llm import pii, secret_scan
 from pairwright.llm.common import held_out, table
 from pairwright.llm.decontaminate import contaminated_words, items_digest
 from pairwright.llm.embedding_dedup import embedding_groups
+from pairwright.llm.html_extract import extract, extraction_model
 from pairwright.llm.mixing import mix
 from pairwright.llm.quality import quality_model, score_quality
 from pairwright.llm.simhash import simhash_groups
@@ -29,6 +30,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, extraction_model(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
@@ -64,6 +70,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_html_extraction": op3_html_extraction,
     "op4_secret_scan": op4_secret_scan,
     "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_decontamination": op6_decontamination,
@@ -77,7 +84,7 @@ QUERIES = {
 ORACLES = {
     "op5_embedding_near_dedup": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
-  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
 links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
   WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.98),
