@@ -7,14 +7,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import table
+from pairwright.llm import secret_scan
+from pairwright.llm.common import shared_folder, table
 from pairwright.llm.decontaminate import contaminated_words
 from pairwright.llm.mixing import mix
 from pairwright.llm.simhash import keep_one
+from pairwright.llm.toxicity import score_toxicity, toxicity_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network, trained from ``labels``, takes to be toxic go."""
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).where("predicted = 0").select(*COLUMNS)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash group stays: the one with the smallest id."""
     return keep_one(docs).select(*COLUMNS)
@@ -25,13 +33,19 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return contaminated_words(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*COLUMNS)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in the texts give way to a mark; n_chars follows. No document goes."""
+    clean = secret_scan.redacted(secret_scan.secret_spans(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with how often: copies and the words taken."""
     out = mix(docs).where("taken > 0")
     return out.select(*COLUMNS, "size", "source_size", "target", "taken", F.expr("cast(taken div size as int)").alias("copies"))
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing)]
+STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secrets), ("mixing", mixing)]
 
 #: Trained models and flows can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -39,8 +53,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the cluster's shared folder and read again."""
-    from pairwright.llm.common import shared_folder
-
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
