@@ -62,14 +62,15 @@ def _words(text: Column, least: int) -> Column:
     return F.filter(F.split(_lower(text), f"[{NO_WORD}]+"), lambda w: F.length(w) >= least)
 
 
-def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_chars: int = 4, generalise: float = 0.5, bits: float = 3.0) -> DataFrame:
+def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_chars: int = 4, generalise: float = 0.5, bits: float = 3.0, most_broadcast: int = 200_000) -> DataFrame:
     """(term, share): terms that give a protected entity away.
 
     ``found`` has text and the spans of the fixed formats. A term co-occurs with an entity where it stands within ``reach``
     words of a mention. share is P(entity | term): of the different texts that hold the term, those in which it
     co-occurs with the entity, for the entity that it reveals most. A term counts if it does so in at least ``support``
     different texts, its share is at least ``generalise``, and the entity is at least ``bits`` bits likelier beside the
-    term than anywhere. Equal texts count once, so copying a document proves nothing. All counts cover all rows.
+    term than anywhere. Equal texts count once, so copying a document proves nothing. All counts cover all rows. Up to
+    ``most_broadcast`` candidates are looked up by a broadcast join, more by a shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     key = F.xxhash64("text")
@@ -84,12 +85,18 @@ def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_
     )
     near = F.array_distinct(F.concat(F.slice(F.reverse("before"), 1, reach), F.slice("after", 1, reach)))
     pairs = each.select("t", "entity", F.explode(near).alias("term")).where(~F.contains("entity", F.col("term")))
-    together = cut(pairs.distinct().groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
+    pairs = cut(pairs.distinct())
+    # a term stands in at least as many texts as it stands beside any entity in, which rules out most common words
+    beside = cut(pairs.select("t", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside")).where(F.col("n_beside") >= support))
+    together = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    together = cut(together.join(beside, "term").where(F.col("n_both") >= generalise * F.col("n_beside")).drop("n_beside"))
     if together.limit(1).count() == 0:
         return together.select("term", F.lit(1.0).alias("share")).limit(0)
     entities = each.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     n_texts = found.select(F.approx_count_distinct(key, 0.01)).collect()[0][0]
     asked = together.select("term").distinct()
+    if asked.count() <= most_broadcast:
+        asked = F.broadcast(asked)
     held = found.select(key.alias("t"), F.explode(F.array_distinct(_words(text, least_chars))).alias("term")).join(asked, "term", "left_semi")
     holding = cut(held.distinct().groupBy("term").agg(F.count("*").alias("n_term")))
     share = F.col("n_both") / F.greatest("n_term", "n_both")
