@@ -54,6 +54,16 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def sample_by_id(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
+    """(key, value) of at most ``n`` different ids, picked by their hash.
+
+    Only ids are sorted; the values are then fetched by a broadcast of the picked ids, whose number has a bound. An id
+    with several values counts with the first by order; rows without id or value are left out.
+    """
+    ids = rows.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(key).distinct().orderBy(F.xxhash64(key), key).limit(n)
+    return rows.where(F.col(value).isNotNull()).select(key, value).join(F.broadcast(ids), key).groupBy(key).agg(F.min(value).alias(value))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int]) -> DataFrame:
     """(text, y) of at most ``per_class[y]`` labelled documents of each class that aren't held out.
 

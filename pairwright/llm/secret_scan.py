@@ -10,7 +10,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut
+from pairwright.llm.common import cut, sample_by_id
 from pairwright.llm.spans import find_spans, joined, merged, replaced
 
 # Fixed formats.
@@ -46,12 +46,13 @@ def _bigrams(token: Column) -> Column:
 
 
 def labelled_tokens(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
-    """(token, random): samples to train from, of at most ``most_docs`` documents picked by the hash of their ids.
+    """(token, random): samples to train from, of at most ``most_docs`` documents picked by the hash of their
+    ids.
 
     Ordinary: the documents' runs of 4 or more letters. Random: what the fixed formats find in them, and for each document
     the hex and base64 forms of digests of its id and text.
     """
-    picked = docs.where("text is not null").select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.length("text")), "doc_id").limit(most_docs)
+    picked = sample_by_id(docs, "doc_id", "text", most_docs)
     words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
     base = base_spans(F.col("text"))
     found = picked.select(F.explode(F.concat(F.transform(base["assign"], lambda x: F.regexp_replace(x["value"], ASSIGN_HEAD, "")), *(F.transform(base[k], lambda x: x["value"]) for k in ("access", "hex")))).alias("token"))
