@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import shared
+from pairwright.llm.common import sample_by_id, shared
 
 #: What a page is made of: comments and declarations, elements without text of their own, and tags.
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>", re.S | re.I)
@@ -317,7 +317,7 @@ def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32
 
 def extraction_model(pages: DataFrame, most_pages: int = 400) -> bytes:
     """Trained from at most ``most_pages`` pages, picked by the hash of their ids, in one task."""
-    picked = pages.where("html is not null").select("page_id", "html").orderBy(F.xxhash64("page_id", F.length("html")), "page_id").limit(most_pages)
+    picked = sample_by_id(pages, "page_id", "html", most_pages)
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [f for f in frames if len(f)]
