@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pairwright.plans import labelling
+from pairwright.plans import labelling, reporting
 
-QUERIES = dict(labelling.QUERIES)
-ORACLES = dict(labelling.ORACLES)
+_PARTS = (labelling, reporting)
+QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,28 +91,28 @@ def label_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.label(pairs(spark, sf_dir), AS_OF)
 
 
-def _of_metrics(name: str, sql: str, **columns: Column) -> None:
+def _of_metrics(name: str, sql: str, columns: Callable[[], dict[str, Column]]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return measured(spark, sf_dir).select("trace_id", *(c.alias(n) for n, c in columns.items()))
+        return measured(spark, sf_dir).select("trace_id", *(c.alias(n) for n, c in columns().items()))
 
     query(name, f"{LABELS_SQL} SELECT trace_id, {sql} FROM q6")(run)
 
 
-_of_metrics("p01_normalized_skills", "array_to_string(list_sort(have), '|') AS have, array_to_string(list_sort(need), '|') AS need", have=F.array_join(F.array_sort("have"), "|"), need=F.array_join(F.array_sort("need"), "|"))
-_of_metrics("p03_jaccard", "overlap", overlap=F.col("overlap"))
-_of_metrics("p05_experience_years", "years", years=F.col("years"))
-_of_metrics("p06_resume_seniority", "resume_level AS seniority", seniority=F.col("seniority"))
-_of_metrics("p08_fit_level", "fit", fit=F.col("fit"))
-_of_metrics("p12_text_blob", "text", text=F.col("text"))
-_of_metrics("p13_near_boundary", "near", near=L.near_boundary(F.col("overlap")))
-_of_metrics("p14_random_audit", "audit", audit=L.audited(F.col("trace_id")))
-_of_metrics("p15_experience_mismatch", "experience_mismatch", experience_mismatch=F.col("experience_mismatch"))
-_of_metrics("p16_seniority_mismatch", "seniority_mismatch", seniority_mismatch=F.col("seniority_mismatch"))
-_of_metrics("p17_missing_core_skills", "missing_core_skills", missing_core_skills=F.col("missing_core_skills"))
-_of_metrics("p18_hallucinated_skills", "hallucinated_skills", hallucinated_skills=F.col("hallucinated_skills"))
-_of_metrics("p19_awkward_language", "awkward_language, buzzwords", awkward_language=F.col("awkward_language"), buzzwords=F.col("buzzwords"))
-_of_metrics("p20_failure_count", "failure_count", failure_count=F.col("failure_count"))
-_of_metrics("p21_reason_codes", "array_to_string(codes, ',') AS codes", codes=F.array_join(L.reason_codes(), ","))
+_of_metrics("p01_normalized_skills", "array_to_string(list_sort(have), '|') AS have, array_to_string(list_sort(need), '|') AS need", lambda: dict(have=F.array_join(F.array_sort("have"), "|"), need=F.array_join(F.array_sort("need"), "|")))
+_of_metrics("p03_jaccard", "overlap", lambda: dict(overlap=F.col("overlap")))
+_of_metrics("p05_experience_years", "years", lambda: dict(years=F.col("years")))
+_of_metrics("p06_resume_seniority", "resume_level AS seniority", lambda: dict(seniority=F.col("seniority")))
+_of_metrics("p08_fit_level", "fit", lambda: dict(fit=F.col("fit")))
+_of_metrics("p12_text_blob", "text", lambda: dict(text=F.col("text")))
+_of_metrics("p13_near_boundary", "near", lambda: dict(near=L.near_boundary(F.col("overlap"))))
+_of_metrics("p14_random_audit", "audit", lambda: dict(audit=L.audited(F.col("trace_id"))))
+_of_metrics("p15_experience_mismatch", "experience_mismatch", lambda: dict(experience_mismatch=F.col("experience_mismatch")))
+_of_metrics("p16_seniority_mismatch", "seniority_mismatch", lambda: dict(seniority_mismatch=F.col("seniority_mismatch")))
+_of_metrics("p17_missing_core_skills", "missing_core_skills", lambda: dict(missing_core_skills=F.col("missing_core_skills")))
+_of_metrics("p18_hallucinated_skills", "hallucinated_skills", lambda: dict(hallucinated_skills=F.col("hallucinated_skills")))
+_of_metrics("p19_awkward_language", "awkward_language, buzzwords", lambda: dict(awkward_language=F.col("awkward_language"), buzzwords=F.col("buzzwords")))
+_of_metrics("p20_failure_count", "failure_count", lambda: dict(failure_count=F.col("failure_count")))
+_of_metrics("p21_reason_codes", "array_to_string(codes, ',') AS codes", lambda: dict(codes=F.array_join(L.reason_codes(), ",")))
 
 _LABEL_COLUMNS = "trace_id, generated_fit_label, computed_fit_label, skills_overlap, experience_mismatch, seniority_mismatch, missing_core_skills, hallucinated_skills, awkward_language, failure_count, resume_template, requires_human_review"
 
