@@ -85,10 +85,11 @@ def train_in_task(sample: DataFrame, fit) -> bytes:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [f for f in frames if len(f)]
-        data = pd.concat(rows, ignore_index=True).sort_values("doc_id", ignore_index=True) if rows else pd.DataFrame({"doc_id": [], "text": [], "y": []})
-        yield pd.DataFrame({"model": [fit(data)]})
+        if rows:
+            yield pd.DataFrame({"model": [fit(pd.concat(rows, ignore_index=True).sort_values("doc_id", ignore_index=True))]})
 
-    return bytes(sample.repartition(1).mapInPandas(run, "model binary").collect()[0][0])
+    made = sample.repartition(1).mapInPandas(run, "model binary").collect()
+    return bytes(made[0][0]) if made else fit(sample.limit(0).toPandas())  # nothing to learn from
 
 
 def whole_groups(frames: Iterable[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:

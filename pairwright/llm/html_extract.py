@@ -6,7 +6,7 @@ import html
 import pickle
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import sample_by_id, shared
+from pairwright.llm.common import sample_by_id, shared, train_in_task
 
 #: What a page is made of: comments and declarations, elements without text of their own, and tags.
 PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>", re.S | re.I)
@@ -319,12 +319,7 @@ def extraction_model(pages: DataFrame, most_pages: int = 400) -> bytes:
     """Trained from at most ``most_pages`` pages, picked by the hash of their ids, in one task."""
     picked = sample_by_id(pages, "page_id", "html", most_pages)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = [f for f in frames if len(f)]
-        data = pd.concat(rows, ignore_index=True).sort_values(["page_id", "html"], ignore_index=True) if rows else pd.DataFrame({"page_id": [], "html": []})
-        yield pd.DataFrame({"model": [fit(data)]})
-
-    return bytes(picked.repartition(1).mapInPandas(run, "model binary").collect()[0][0])
+    return train_in_task(picked.withColumnRenamed("page_id", "doc_id"), fit)
 
 
 def texts_of(p: dict[str, np.ndarray], inputs: Inputs, pages: Iterable[str | None], least: float = 0.0) -> list[str]:

@@ -215,12 +215,13 @@ def lean(texts: list[list[bytes]], y: np.ndarray, p: dict[str, np.ndarray], prio
         p[k][:, 0] = np.log((n[1] + prior * base) / (n.sum(axis=0) + prior) / base)
 
 
-def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.3, seed: int = 3) -> bytes:
+def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, least_steps: int = 200, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.3, seed: int = 3) -> bytes:
     """The network of a bounded sample (text, y), as bytes.
 
     A toxic document is taken to be toxic in its highest-scoring windows only, so in each round the network scores all
     overlapping windows and learns from the highest one of each document, and from one random window of clean ones.
-    Without both classes the network is constant.
+    Few documents make small batches and more rounds, so that there are at least ``least_steps`` updates. Without both
+    classes the network is constant.
     """
     g = np.random.default_rng(seed)
     texts, y = [pieces(t) for t in sample["text"]], sample["y"].to_numpy(np.float32)
@@ -232,7 +233,9 @@ def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, rate: float = 0
         return pickle.dumps(p)
     lean(texts, y, p)
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
+    step, some = 0, sum(map(bool, texts)) + int((y == 0).sum())
+    batch = min(batch, max(16, some // 16))
+    rounds = max(rounds, -(-least_steps * batch // some))
     for turn in range(rounds):
         if turn == 0:  # where the embeddings lean most
             chosen = []
