@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """The frame, written; to be broadcast if it has at most ``most_rows`` rows, else joined by a shuffle."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     """A function that gives ``value`` inside tasks; it is broadcast, so its size must have a bound."""
     sent, held = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut, local_components, shared, whole_groups
+from pairwright.llm.common import cut, local_components, shared, small, whole_groups
 from pairwright.llm.components import components
 
 
@@ -117,7 +117,7 @@ def compare(frames: Iterable[pd.DataFrame], threshold: float, strip: int = 512)
             yield pd.DataFrame({"rid": rid[told], "links": links[told], "parent": rid[label[told]]})
 
 
-def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2000, block_rows: int = 1024, sample_each: int = 20, most_cells: int = 4096) -> DataFrame:
+def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2000, block_rows: int = 4096, sample_each: int = 20, most_cells: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
     Vectors link if their labels are equal and not null, and their cosine is at least ``threshold``. n_links: other rows
@@ -134,7 +134,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     distinct = cut(distinct.withColumn("rid", F.monotonically_increasing_id()))
     placed = cells(distinct, fit_cells(distinct, cell_rows, sample_each, most_cells), threshold)
     key = ["label", "dim", "cell"]
-    hot = cut(placed.groupBy(*key).count().where(F.col("count") > block_rows).select(*key, F.ceil(F.col("count") / block_rows).cast("int").alias("parts")))
+    hot = small(placed.groupBy(*key).count().where(F.col("count") > block_rows).select(*key, F.ceil(F.col("count") / block_rows).cast("int").alias("parts")))
     dealt = placed.join(hot, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
