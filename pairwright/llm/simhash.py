@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut, local_components, whole_groups
+from pairwright.llm.common import cut, local_components, small, whole_groups
 from pairwright.llm.components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -101,7 +101,7 @@ def near_fingerprints(fps: DataFrame, distance: int = 4, block_rows: int = 2048)
     """
     keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), distance)).alias("k"))
     hot = keyed.groupBy("k").count().where(F.col("count") > block_rows).select("k", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
-    dealt = keyed.join(cut(hot), "k", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    dealt = keyed.join(small(hot), "k", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
     dealt = dealt.select("fp", "k", "s", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
     dealt = dealt.select("fp", "k", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
