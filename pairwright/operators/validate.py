@@ -7,7 +7,9 @@ null column, an explicit null a null variant.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def one(loc: Column, kind: str, msg: Column | str) -> Column:
 
 
 def under(loc: Column, name: Column | str) -> Column:
-    name = F.lit(name) if isinstance(name, str) else name.cast("string")
-    return F.when(loc == "", name).otherwise(F.concat(loc, F.lit("."), name))
+    """A field's location; it begins with a dot, which ``validate`` takes off."""
+    return F.concat(loc, F.lit("."), F.lit(name) if isinstance(name, str) else name.cast("string"))
 
 
 def field(v: Column, name: str) -> Column:
@@ -231,20 +233,27 @@ def category(error: Column) -> Column:
     )
 
 
+def _shown(loc: Column) -> Column:
+    return F.when(loc == "", "__root__").otherwise(F.regexp_replace(loc, "^[.]", ""))
+
+
+@lru_cache(maxsize=1)
+def _rules(gateway: int) -> Column:
+    """All errors of (record_type, value); building so large an expression takes seconds, so it is kept for the JVM."""
+    parsed = F.try_parse_json("value")
+    found = F.when(parsed.isNull(), one(F.lit(""), "json_invalid", "Invalid JSON"))
+    for name, check in RECORDS.items():
+        found = found.when(F.col("record_type") == name, _bound(check, parsed, F.lit("")))
+    return F.transform(F.coalesce(found, none()), lambda e: F.struct(_shown(e["loc"]).alias("loc"), e["type"].alias("type"), e["msg"].alias("msg"), category(e).alias("category")))
+
+
 def validate(lines: DataFrame) -> DataFrame:
     """Adds errors (loc, type, msg, category), error_count and error_categories to rows of (record_type, value).
 
     Each type of record is parsed and checked once, in a branch of its own. A line that isn't JSON has one error at
     __root__. Null and blank lines must be left out before. No row is moved: this is one projection.
     """
-    parsed = F.try_parse_json("value")
-    bad = one(F.lit("__root__"), "json_invalid", "Invalid JSON")
-    found = F.when(parsed.isNull(), bad)
-    for name, check in RECORDS.items():
-        found = found.when(F.col("record_type") == name, _bound(check, parsed, F.lit("")))
-    raw = lines.withColumn("errors", F.coalesce(found, none()))
-    typed = F.transform("errors", lambda e: F.struct(F.when(e["loc"] == "", "__root__").otherwise(e["loc"]).alias("loc"), e["type"].alias("type"), e["msg"].alias("msg"), category(e).alias("category")))
-    out = raw.withColumn("errors", typed)
+    out = lines.withColumn("errors", _rules(id(SparkContext._gateway)))
     return out.withColumns({"error_count": F.size("errors"), "error_categories": F.array_sort(F.array_distinct(F.transform("errors", lambda e: e["category"])))})
 
 
