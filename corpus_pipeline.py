@@ -11,6 +11,7 @@ from pairwright.llm import secret_scan
 from pairwright.llm.common import shared_folder, table
 from pairwright.llm.decontaminate import contaminated_words
 from pairwright.llm.mixing import mix
+from pairwright.llm.near_texts import keep_one_text
 from pairwright.llm.simhash import keep_one
 from pairwright.llm.toxicity import score_toxicity, toxicity_model
 
@@ -28,6 +29,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs).select(*COLUMNS)
 
 
+def near_texts_and_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that share four fifths of their five-word shingles one stays; then decontamination.
+
+    SimHash groups are bound to four bits, which most such pairs exceed.
+    """
+    return decontamination(spark, keep_one_text(docs), sf_dir)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten words of a benchmark item in a row, or all of a shorter item, go."""
     return contaminated_words(docs, table(spark, sf_dir, "benchmark")).where(~F.col("contaminated")).select(*COLUMNS)
@@ -45,7 +54,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*COLUMNS, "size", "source_size", "target", "taken", F.expr("cast(taken div size as int)").alias("copies"))
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secrets), ("mixing", mixing)]
+STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("near_texts_and_decontamination", near_texts_and_decontamination), ("secret_scan", secrets), ("mixing", mixing)]
 
 #: Trained models and flows can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
