@@ -25,6 +25,12 @@ def split_by_group(rows: DataFrame, group: str, strata: list[str], shares: tuple
     return rows.join(groups.select(group, split.alias("split")), group)
 
 
+def fit_balance(rows: DataFrame, level: str = "fit_level") -> DataFrame:
+    """(split, level, n, share): each split's rows by level, and their share of the split; no level counts as unlabeled."""
+    counts = rows.groupBy("split", F.coalesce(level, F.lit("unlabeled")).alias(level)).agg(F.count("*").alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("split")))
+
+
 def balanced_pick(rows: DataFrame, per_level: dict[str, int], key: str = "trace_id", level: str = "fit_level", seed: int = 42) -> DataFrame:
     """So many rows of each level, of lowest seeded hash."""
     quota = F.element_at(F.create_map(*(F.lit(x) for kv in per_level.items() for x in kv)), F.col(level))

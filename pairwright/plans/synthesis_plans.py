@@ -235,6 +235,26 @@ def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_pairs(spark, sf_dir).select("trace_id", "job_id", "split")
 
 
+POLICY_SPLIT_SQL = """g AS (SELECT job_id, min(industry) AS industry, min(seniority) AS seniority FROM p GROUP BY job_id),
+k AS (SELECT job_id, (row_number() OVER (PARTITION BY industry, seniority ORDER BY sha256('42:' || job_id), job_id) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY industry, seniority) AS r FROM g),
+s AS (SELECT p.*, CASE WHEN r <= 0.6::DOUBLE THEN 'calibration' WHEN r <= 0.8::DOUBLE THEN 'validation' ELSE 'holdout' END AS split FROM p JOIN k USING (job_id))"""
+
+
+def policy_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).select("trace_id", "job_id", "fit_level", F.col("job_description.industry").alias("industry"), F.col("job_description.requirements.experience_level").alias("seniority"))
+    return Y.split_by_group(rows, "job_id", ["industry", "seniority"], seed=SEED)
+
+
+@query("y1_policy_split", f"WITH {PAIRS_SQL}, {POLICY_SPLIT_SQL} SELECT trace_id, job_id, split FROM s")
+def policy_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy_split_pairs(spark, sf_dir).select("trace_id", "job_id", "split")
+
+
+@query("y1_fit_balance", f"WITH {PAIRS_SQL}, {POLICY_SPLIT_SQL}, b AS (SELECT split, coalesce(fit_level, 'unlabeled') AS fit_level, count(*) AS n FROM s GROUP BY 1, 2) SELECT *, n / sum(n) OVER (PARTITION BY split) AS share FROM b")
+def fit_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.fit_balance(policy_split_pairs(spark, sf_dir))
+
+
 @query("y2_balanced_pick", f"WITH {PAIRS_SQL}, k AS (SELECT trace_id, fit_level, row_number() OVER (PARTITION BY fit_level ORDER BY sha256('42:' || trace_id), trace_id) AS pick FROM p WHERE fit_level IS NOT NULL) SELECT trace_id, fit_level FROM k WHERE pick <= 50")
 def balanced_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.balanced_pick(pairs(spark, sf_dir).select("trace_id", "fit_level"), dict.fromkeys(policy.FIT_LEVELS, 50), seed=SEED).select("trace_id", "fit_level")
