@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from pairwright.plans import io_plans, labelling, reporting, synthesis_plans, validation_plans
+from pairwright.plans import io_plans, labelling, reporting, summary_plans, synthesis_plans, validation_plans
 
-_PARTS = (labelling, reporting, synthesis_plans, validation_plans, io_plans)
+_PARTS = (labelling, reporting, synthesis_plans, validation_plans, io_plans, summary_plans)
 QUERIES = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
