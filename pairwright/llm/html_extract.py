@@ -6,7 +6,8 @@ import html
 import pickle
 import re
 import zlib
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -16,70 +17,152 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import sample_by_id, shared, train_in_task
 
-#: What a page is made of: comments and declarations, elements without text of their own, and tags.
-PART = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|select|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+|[^>]*)>|<[!?][^>]*>", re.S | re.I)
-NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: What follows a tag's name up to its end; a ">" in quotes doesn't end it.
+TAG_REST = re.compile(r"(?:[^\"'>]++|\"[^\"]*\"|'[^']*')*+>")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+NAMED = re.compile(r"(?<![\w-])(?:class|id|role)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 # Fixed values of the HTML language.
+RAW = frozenset("script style textarea iframe noembed noframes".split())  # end at their end tag, or with the page
+HIDDEN_PARTS = frozenset("noscript template svg select".split())  # hidden up to their end tag, if there is one
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NO_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li body".split())
+END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW | HIDDEN_PARTS}
 
 PATH, WORDS, STATS = 160, 32, 8
 WIDTH, HIDDEN = PATH + WORDS + STATS, 16
 
 
+class Place:
+    """An open element and its ancestors; like elements of one parent share it, so a page's paths take little memory."""
+
+    __slots__ = ("parent", "tag", "words", "children", "fresh", "vector")
+
+    def __init__(self, parent: Place | None, words: tuple[str, ...], fresh: tuple[str, ...]):
+        self.parent, self.tag, self.words, self.fresh = parent, words[0] if words else "", words, fresh
+        self.children: dict[tuple[str, ...], Place] = {}
+        self.vector: np.ndarray | None = None
+
+    def __iter__(self) -> Iterator[str]:
+        line, at = [], self
+        while at is not None:
+            line.append(at.words)
+            at = at.parent
+        return (w for words in reversed(line) for w in words)
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # the open tags and their class, id and role words, from the root
+    path: Place | tuple[str, ...]  # the open tags and their class, id and role words, from the root
     text: str
 
 
+def words_of_tag(tag: str, rest: str) -> tuple[str, ...]:
+    """A tag and the words of its class, id and role."""
+    words = [tag]
+    for n in NAMED.finditer(rest):
+        words += [f"{tag}.{w}" for w in re.split(r"[\s_-]+", (n[1] or n[2] or n[3] or "").lower()) if w]
+    return tuple(words)
+
+
+class Stack:
+    """The open elements. How often each tag and token is open is counted, so nothing walks a deep stack in vain."""
+
+    def __init__(self) -> None:
+        self.at = Place(None, (), ())
+        self.tags: Counter[str] = Counter()
+        self.tokens: Counter[str] = Counter()
+
+    def open(self, words: tuple[str, ...]) -> None:
+        child = self.at.children.get(words)
+        if child is None:
+            own = dict.fromkeys((*words, *(w.rpartition(".")[2] for w in words if "." in w)))
+            child = self.at.children[words] = Place(self.at, words, tuple(w for w in own if not self.tokens[w]))
+        self.at = child
+        self.tags[child.tag] += 1
+        self.tokens.update(child.fresh)
+
+    def pop(self) -> None:
+        self.tags[self.at.tag] -= 1
+        self.tokens.subtract(self.at.fresh)
+        self.at = self.at.parent
+
+    def close(self, tag: str) -> None:
+        """Ends the innermost element of this tag and all inside it; without one, nothing."""
+        if self.tags[tag]:
+            while self.at.tag != tag:
+                self.pop()
+            self.pop()
+
+
 def blocks_of(page: str | None) -> list[Block]:
     """The leaf blocks of a page in order: runs of text without a block-level tag in between.
 
-    Character references are decoded, white space is turned into one space and trimmed; empty blocks are left out.
+    Character references are decoded, white space is turned into one space and trimmed; empty blocks are left out. What
+    raw elements (script, style, ...) and comments hold is skipped, to the end of the page if they don't end. svg, select,
+    template and noscript are skipped if they end; else only their tag. A tag that the page's end cuts off is dropped.
+    Time and memory are in proportion to the page.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    run: list[str] = []
+    stack, run, page = Stack(), [], page or ""
+    endless: set[str] = set()  # hidden elements without an end tag from here on
+    at = 0
 
     def flush() -> None:
         if run:
             if text := " ".join(html.unescape("".join(run)).split()):
-                out.append(Block(tuple(w for _, words in stack for w in words), text))
+                out.append(Block(stack.at, text))
             run.clear()
 
-    def close(tag: str) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-
-    page, at = page or "", 0
-    for m in PART.finditer(page):
-        if m.start() > at:
-            run.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            continue
-        tag, ends = m[3].lower(), bool(m[2])
+    def start_tag(tag: str, rest: str, after: int) -> int:
+        """Opens an element; gives where reading goes on."""
+        closed = rest.endswith("/>")
+        if (tag in RAW or (tag in HIDDEN_PARTS and not closed)) and tag not in endless:
+            if end := END_TAG[tag].search(page, after):
+                return end.end()
+            if tag in RAW:
+                return len(page)
+            endless.add(tag)
         if tag in INLINE:
             if tag in ("br", "img"):
                 run.append(" ")
-            continue
+            return after
         flush()
-        if ends:
-            close(tag)
-            continue
-        if tag in NO_PARAGRAPH and any(t == "p" for t, _ in stack):
-            close("p")
-        if tag in CLOSED_BY and stack and stack[-1][0] in CLOSED_BY[tag]:
+        if tag in NO_PARAGRAPH:
+            stack.close("p")
+        if stack.at.tag in CLOSED_BY.get(tag, ()):
             stack.pop()
-        if tag not in VOID and not m[4].endswith("/"):
-            words = [tag]
-            for n in NAMED.finditer(m[4]):
-                words += [f"{tag}.{w}" for w in re.split(r"[\s_-]+", (n[1] or n[2] or n[3] or "").lower()) if w]
-            stack.append((tag, tuple(words)))
+        if tag not in VOID and not closed:
+            stack.open(words_of_tag(tag, rest))
+        return after
+
+    while (lt := page.find("<", at)) >= 0:
+        if lt > at:
+            run.append(page[at:lt])
+        sign = page[lt + 1 : lt + 2]
+        if sign in ("!", "?"):
+            comment = page.startswith("<!--", lt)
+            end = page.find("-->" if comment else ">", lt + (4 if comment else 2))
+            at = len(page) if end < 0 else end + (3 if comment else 1)
+            continue
+        name = NAME.match(page, lt + 1 + (sign == "/"))
+        if name is None:
+            run.append("<")
+            at = lt + 1
+            continue
+        rest = TAG_REST.match(page, name.end())
+        end = rest.end() if rest else page.find(">", name.end()) + 1  # quotes that don't end don't count
+        if not end:
+            at = len(page)
+            break
+        tag = name[0].lower()
+        if sign != "/":
+            at = start_tag(tag, page[name.end() : end], end)
+        else:
+            at = end
+            if tag not in INLINE:
+                flush()
+                stack.close(tag)
     run.append(page[at:])
     flush()
     return out
@@ -108,16 +191,30 @@ class Inputs:
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.words = Hashed()
 
-    def path(self, path: tuple[str, ...]) -> np.ndarray:
-        if path not in self.paths:
-            if len(self.paths) > 20_000:
-                self.paths.clear()
-            v = np.zeros(PATH, np.float32)
-            for token in {*path, *(t.rpartition(".")[2] for t in path if "." in t), f"^{path[-1] if path else ''}"}:
-                i, s = _slot(token, PATH)
-                v[i] += s
-            self.paths[path] = v
-        return self.paths[path]
+    def tokens(self, tokens: Iterable[str], v: np.ndarray) -> np.ndarray:
+        for token in tokens:
+            i, s = _slot(token, PATH)
+            v[i] += s
+        return v
+
+    def path(self, path: Place | tuple[str, ...]) -> np.ndarray:
+        """The different tokens of a path as signed hashes, and its last word by itself."""
+        if isinstance(path, tuple):
+            if path not in self.paths:
+                if len(self.paths) > 20_000:
+                    self.paths.clear()
+                self.paths[path] = self.tokens({*path, *(t.rpartition(".")[2] for t in path if "." in t), f"^{path[-1] if path else ''}"}, np.zeros(PATH, np.float32))
+            return self.paths[path]
+        if path.vector is None:  # from the nearest ancestor that has its vector
+            line, at = [], path
+            while at is not None and at.vector is None:
+                line.append(at)
+                at = at.parent
+            base = at.vector[0] if at is not None else np.zeros(PATH, np.float32)
+            for p in reversed(line):
+                base = self.tokens(p.fresh, base.copy()) if p.fresh else base
+            path.vector = (base, self.tokens([f"^{path.words[-1] if path.words else ''}"], base.copy()))
+        return path.vector[1]
 
     def of(self, blocks: list[Block]) -> np.ndarray:
         out = np.zeros((len(blocks), WIDTH), np.float32)
@@ -169,6 +266,26 @@ def logits(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndar
     return states @ p["out"] + p["out_b"]
 
 
+def long_logits(p: dict[str, np.ndarray], inputs: Inputs, blocks: list[Block], part: int = 4096) -> np.ndarray:
+    """The logits of one page's blocks, of which only ``part`` at a time are held as vectors; the states go on between."""
+    z = np.full(len(blocks), p["out_b"], np.float32)
+    starts = range(0, len(blocks), part)
+    half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half its input
+    for d, weights in (("f", p["out"][:HIDDEN]), ("b", p["out"][HIDDEN:])):
+        h = c = np.zeros(HIDDEN, np.float32)
+        u = p[f"u{d}"] * half
+        for at in starts if d == "f" else reversed(starts):
+            gates = (inputs.of(blocks[at : at + part]) @ p[f"w{d}"] + p[f"c{d}"]) * half
+            states = np.empty((len(gates), HIDDEN), np.float32)
+            for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
+                k = np.tanh(gates[t] + h @ u)
+                s = 0.5 * k[: 3 * HIDDEN] + 0.5
+                c = s[HIDDEN : 2 * HIDDEN] * c + s[:HIDDEN] * k[3 * HIDDEN :]
+                h = states[t] = s[2 * HIDDEN :] * np.tanh(c)
+            z[at : at + part] += states @ weights
+    return z
+
+
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean logistic loss over all blocks of a batch of pages."""
     runs = {d: run_lstm(x @ p[f"w{d}"] + p[f"c{d}"], p[f"u{d}"], mask, d == "b", True) for d in "fb"}
@@ -219,9 +336,10 @@ BOILERPLATE = frozenset(w for names in AROUND.values() for n in names for w in n
 
 def weak_label(block: Block) -> int | None:
     """1 inside an article or main element, 0 inside a part that by its name is something else, None if neither tells."""
-    tags = [t.rpartition(".")[2] if "." in t else t for t in block.path]
-    inside = max((i for i, t in enumerate(block.path) if t in ("article", "main")), default=-1)
-    other = max((i for i, t in enumerate(tags) if t in BOILERPLATE and block.path[i] not in ("main", "article")), default=-1)
+    path = list(block.path)
+    tags = [t.rpartition(".")[2] if "." in t else t for t in path]
+    inside = max((i for i, t in enumerate(path) if t in ("article", "main")), default=-1)
+    other = max((i for i, t in enumerate(tags) if t in BOILERPLATE and path[i] not in ("main", "article")), default=-1)
     if other > inside or (inside < 0 and other >= 0):
         return 0
     return 1 if inside >= 0 else None
@@ -271,21 +389,23 @@ def drawn_page(g: np.random.Generator, main: list[str], rest: list[str]) -> tupl
     return [b for b, _ in out if b.text], [y for b, y in out if b.text]
 
 
-def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 9) -> bytes:
+def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 9, texts_each: int = 6, most_blocks: int = 5000, most_steps: int = 200) -> bytes:
     """The network of a bounded sample of pages (html), as bytes.
 
     Pages carry no labels. Those of the sample are labelled where elements and names tell what a part is; and their
     article and other texts are laid out anew in ``drawn`` pages with names and nesting drawn at random, of which every
-    label is known. Without any article text the network learns from drawn pages with fixed words.
+    label is known. Without any article text the network learns from drawn pages with fixed words. Each page gives up to
+    ``texts_each`` texts of either kind to draw from, out of its first ``most_blocks`` blocks, and at most its first
+    ``most_steps`` blocks are learnt from; these bound training alone.
     """
     g, inputs = np.random.default_rng(seed), Inputs()
     rows: list[tuple[np.ndarray, list[int]]] = []
     main, rest = [], []
     for page in pages["html"]:
-        found = blocks_of(page)
+        found = blocks_of(page)[:most_blocks]
         labels = [weak_label(b) for b in found]
-        main += [b.text for b, y in zip(found, labels, strict=True) if y == 1][:6]
-        rest += [b.text for b, y in zip(found, labels, strict=True) if y == 0][:6]
+        main += [b.text for b, y in zip(found, labels, strict=True) if y == 1][:texts_each]
+        rest += [b.text for b, y in zip(found, labels, strict=True) if y == 0][:texts_each]
         if found and None not in labels:
             rows.append((inputs.of(found), labels))
     main = main or ["This is some text of an article that tells a story in a few words.", "Then it goes on, with one more sentence."]
@@ -295,7 +415,7 @@ def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32
         rows.append((inputs.of(found), labels))
     p = start(seed)
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    rows = [r if len(r[1]) <= 200 else (r[0][:200], r[1][:200]) for r in rows]  # of training pages only
+    rows = [(x[:most_steps], y[:most_steps]) for x, y in rows]
     total = epochs * -(-len(rows) // batch)
     for _ in range(epochs):
         order = g.permutation(len(rows))
@@ -315,9 +435,9 @@ def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32
     return pickle.dumps(p)
 
 
-def extraction_model(pages: DataFrame, most_pages: int = 400) -> bytes:
-    """Trained from at most ``most_pages`` pages, picked by the hash of their ids, in one task."""
-    picked = sample_by_id(pages, "page_id", "html", most_pages)
+def extraction_model(pages: DataFrame, most_pages: int = 400, most_chars: int = 500_000) -> bytes:
+    """Trained in one task from at most ``most_pages`` pages of at most ``most_chars``, picked by the hash of their ids."""
+    picked = sample_by_id(pages.where(F.length("html") <= most_chars), "page_id", "html", most_pages)
 
     return train_in_task(picked.withColumnRenamed("page_id", "doc_id"), fit)
 
@@ -330,6 +450,11 @@ def texts_of(p: dict[str, np.ndarray], inputs: Inputs, pages: Iterable[str | Non
     at = 0
     while at < len(order):  # pages of like length together, up to some 20,000 blocks
         end = at + 1
+        if len(found[order[at]]) > 20_000:
+            z = long_logits(p, inputs, found[order[at]])
+            out[order[at]] = "\n".join(block.text for block, v in zip(found[order[at]], z, strict=True) if v > least)
+            at = end
+            continue
         while end < len(order) and end - at < 256 and (end - at + 1) * len(found[order[end]]) <= 20_000:
             end += 1
         x, mask = padded([inputs.of(found[i]) for i in order[at:end]])
