@@ -25,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
@@ -55,6 +57,21 @@ def shared(spark: SparkSession, value: object) -> Callable[[], object]:
     return get
 
 
+def text_key(text: str) -> Column:
+    """A key of a text's content, of 128 bits, so that different texts don't meet; a null counts as empty."""
+    value = F.coalesce(F.col(text), F.lit(""))
+    return F.struct(F.xxhash64(value).alias("a"), F.xxhash64(F.lit(71), value).alias("b"))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(doc_id: str) -> Column:
     """True for the fifth of the rows that no classifier may learn from; a null id is held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -70,10 +87,10 @@ def sample_by_id(rows: DataFrame, key: str, value: str, n: int) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).select(key, value).join(F.broadcast(ids), key).groupBy(key).agg(F.min(value).alias(value))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int]) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], most_chars: int = 65_536) -> DataFrame:
     """(text, y) of at most ``per_class[y]`` labelled documents of each class that aren't held out.
 
-    The bound is a parameter of the classifiers. Ids are picked by their hash, so the pick is the same on each run;
+    The bound is a parameter of the classifiers, as is ``most_chars``, over which a text isn't learnt from. Ids are picked by their hash, so the pick is the same on each run;
     where an id is labelled twice the higher label counts, and where it has many texts the first text by order counts.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(*per_class) & ~held_out("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
@@ -82,7 +99,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
     for p in parts[1:]:
         picked = picked.unionByName(p)
     # the picked ids have a fixed bound, so they may be broadcast
-    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select(F.col("doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars).join(F.broadcast(picked), "doc_id")
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y")
 
 

@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut
-from pairwright.llm.spans import SPAN, find_spans, joined, merged, replaced
+from pairwright.llm.common import cut, small, text_key, unused
+from pairwright.llm.spans import SPAN, blanked, bound, find_spans, joined, merged, replaced, running
 
 KINDS = ("email", "ip", "card", "phone")
 #: Stands for a dot or separator inside a name or number, so that one character class covers repeated groups; a regular
@@ -58,81 +58,87 @@ def _lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _words(text: Column, least: int) -> Column:
-    return F.filter(F.split(_lower(text), f"[{NO_WORD}]+"), lambda w: F.length(w) >= least)
+def _outside(text: Column) -> Column:
+    """The lower-cased text without what the fixed formats' spans hold; offsets stay."""
+    return _lower(blanked(text, [F.col(k) for k in KINDS]))
 
 
-def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_chars: int = 4, generalise: float = 0.5, bits: float = 3.0, most_broadcast: int = 200_000) -> DataFrame:
-    """(term, share): terms that give a protected entity away.
+def _near(text: Column, reach: int) -> Column:
+    """For every mention its entity and the ``reach`` words before and behind it, by their places among all words."""
 
-    ``found`` has text and the spans of the fixed formats. A term co-occurs with an entity where it stands within ``reach``
-    words of a mention. share is P(entity | term): of the different texts that hold the term, those in which it
-    co-occurs with the entity, for the entity that it reveals most. A term counts if it does so in at least ``support``
-    different texts, its share is at least ``generalise``, and the entity is at least ``bits`` bits likelier beside the
-    term than anywhere. Equal texts count once, so copying a document proves nothing. All counts cover all rows. Up to
+    def places(x: Column) -> Column:
+        words = F.transform(x["words"], lambda w: F.struct(w["start"].alias("at"), F.lit(1).alias("word"), F.lit("").alias("entity")))
+        # an entity is what is found without separators
+        said = F.transform(x["spans"], lambda m: F.struct(m["start"].alias("at"), F.lit(0).alias("word"), _lower(F.regexp_replace(m["value"], r"[\x20()-]", "")).alias("entity")))
+        return bound(F.struct(F.array_sort(F.concat(words, said)).alias("events"), F.transform(x["words"], lambda w: w["value"]).alias("values")), around)
+
+    def around(x: Column) -> Column:
+        before = F.zip_with(x["events"], running(F.transform(x["events"], lambda e: e["word"]), lambda a, b: a + b), lambda e, n: F.struct(e["word"].alias("word"), e["entity"].alias("entity"), n.alias("n")))
+        first = lambda m: F.greatest(m["n"] - reach + 1, F.lit(1))
+        return F.transform(F.filter(before, lambda e: e["word"] == 0), lambda m: F.struct(m["entity"].alias("entity"), F.slice(x["values"], first(m), m["n"] + reach - first(m) + 1).alias("terms")))
+
+    return bound(F.struct(find_spans(_outside(text), f"[^{NO_WORD}]+", F.lit(True)).alias("words"), F.concat(*KINDS).alias("spans")), places)
+
+
+def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_chars: int = 4, generalise: float = 0.5, bits: float = 3.0, most_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(term, share) of the terms that give a protected entity away, and (t, term): which texts hold them.
+
+    ``found`` has text and the spans of the fixed formats; t is ``text_key(text)``. Terms are words of at least
+    ``least_chars`` characters outside those spans. A term co-occurs with an entity where it is one of the ``reach`` words
+    before or behind a mention, all words outside the spans counted. share is P(entity | term): of the different texts
+    that hold the term, those in which it co-occurs with the entity, for the entity that it reveals most. A term counts if
+    it does so in at least ``support`` different texts, its share is at least ``generalise``, and the entity is at least
+    ``bits`` bits likelier beside the term than anywhere. A term with equal shares for several entities has that share.
+    Equal texts count once, so copying a document proves nothing. All counts cover all rows and are exact. Up to
     ``most_broadcast`` candidates are looked up by a broadcast join, more by a shuffle.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("text")
-    rows = found.select(key.alias("t"), text.alias("text"), F.concat(*(F.transform(F.col(k), lambda x: x) for k in KINDS)).alias("spans")).where(F.size("spans") > 0)
-    # an entity is what is found without separators; words near it: at most reach * 24 characters away
-    far = reach * 24
-    each = rows.select("t", "text", F.explode("spans").alias("x")).select(
-        "t",
-        _lower(F.regexp_replace("x.value", r"[\x20()-]", "")).alias("entity"),
-        _words(F.expr(f"substring(text, greatest(1, x.start - {far} + 1), least(x.start, {far}))"), least_chars).alias("before"),
-        _words(F.expr(f"substring(text, x.end + 1, {far})"), least_chars).alias("after"),
-    )
-    near = F.array_distinct(F.concat(F.slice(F.reverse("before"), 1, reach), F.slice("after", 1, reach)))
-    pairs = each.select("t", "entity", F.explode(near).alias("term")).where(~F.contains("entity", F.col("term")))
-    pairs = cut(pairs.distinct())
+    rows = found.where(F.size(F.concat(*KINDS)) > 0)
+    each = rows.select(text_key("text").alias("t"), F.explode(_near(text, reach)).alias("x")).select("t", "x.entity", F.explode(F.array_distinct("x.terms")).alias("term"))
+    pairs = cut(each.where((F.length("term") >= least_chars) & ~F.contains("entity", F.col("term"))).distinct())
     # a term stands in at least as many texts as it stands beside any entity in, which rules out most common words
     beside = cut(pairs.select("t", "term").distinct().groupBy("term").agg(F.count("*").alias("n_beside")).where(F.col("n_beside") >= support))
     together = pairs.groupBy("term", "entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     together = cut(together.join(beside, "term").where(F.col("n_both") >= generalise * F.col("n_beside")).drop("n_beside"))
     if together.limit(1).count() == 0:
-        return together.select("term", F.lit(1.0).alias("share")).limit(0)
-    entities = each.select("t", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_texts = found.select(F.approx_count_distinct(key, 0.01)).collect()[0][0]
-    asked = together.select("term").distinct()
-    if asked.count() <= most_broadcast:
-        asked = F.broadcast(asked)
-    held = found.select(key.alias("t"), F.explode(F.array_distinct(_words(text, least_chars))).alias("term")).join(asked, "term", "left_semi")
-    holding = cut(held.distinct().groupBy("term").agg(F.count("*").alias("n_term")))
+        return together.select("term", F.lit(1.0).alias("share")).limit(0), pairs.select("t", "term").limit(0)
+    entities = rows.select(text_key("text").alias("t"), F.explode(F.transform(F.concat(*KINDS), lambda x: _lower(F.regexp_replace(x["value"], r"[\x20()-]", "")))).alias("entity")).distinct()
+    entities = entities.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    n_texts = found.select(text_key("text")).distinct().count()
+    words = F.filter(F.array_distinct(F.split(_outside(text), f"[{NO_WORD}]+")), lambda w: F.length(w) >= least_chars)
+    asked = small(together.select("term").distinct(), most_broadcast)
+    holding = cut(found.select(text_key("text").alias("t"), F.explode(words).alias("term")).join(asked, "term", "left_semi").distinct())
+    counts = holding.groupBy("term").agg(F.count("*").alias("n_term"))
     share = F.col("n_both") / F.greatest("n_term", "n_both")
     gain = F.log2(share * F.lit(float(max(n_texts, 1))) / F.col("n_entity"))
-    scored = together.join(holding, "term").join(entities, "entity").where((share >= generalise) & (gain >= bits))
-    return cut(scored.groupBy("term").agg(F.max(share).alias("share")))
+    scored = together.join(counts, "term").join(entities, "entity").where((share >= generalise) & (gain >= bits))
+    terms = small(scored.groupBy("term").agg(F.max(share).alias("share")), most_broadcast)
+    return terms, holding.join(terms, "term", "left_semi")
 
 
-def private_spans(docs: DataFrame, remove: float = 0.8, block_terms: int = 4000, **thresholds: float) -> DataFrame:
+def private_spans(docs: DataFrame, remove: float = 0.8, **thresholds: float) -> DataFrame:
     """Adds email, ip, card, phone, term and revealing (arrays of start, end, value) to every row of ``docs`` (text).
 
     term: words to be generalised; revealing: words to be removed, whose share is at least ``remove``; see
     ``disclosing_terms``. Such words are found wherever they stand, with or without the entity, but for inside the fixed
-    formats' spans. A null text has no spans; rows are kept as they are; other columns stay and those of the six names
-    are replaced. The list of terms is looked up in blocks of ``block_terms``, so what a plan holds is bounded.
+    formats' spans. A null text has no spans; rows are kept as they are, repeated ones too, and equal texts have equal
+    spans; other columns stay and those of the six names are replaced. The terms are a table that is joined with the
+    texts' words, so nothing of it passes the driver.
     """
     new = [*KINDS, "term", "revealing"]
     base = docs.drop(*new)
     text = F.coalesce(F.col("text"), F.lit(""))
     found = base.withColumns(base_spans(text))
-    terms = disclosing_terms(found, **thresholds)
+    terms, holding = disclosing_terms(found, **thresholds)
+    hits, key = unused(docs, "hits"), unused(docs, "key")
+    # what one text holds of the terms is no more than its different words
+    held = holding.join(terms, "term").groupBy("t").agg(F.struct(F.array_sort(F.collect_list("term")).alias("every"), F.collect_list(F.when(F.col("share") >= remove, F.col("term"))).alias("revealing")).alias(hits))
+    out = found.withColumn(key, text_key("text")).join(small(held.withColumnRenamed("t", key)), key, "left").drop(key)
+    pattern = F.concat(F.lit(f"(?<![^{NO_WORD}])(?:"), F.array_join(f"{hits}.every", "|"), F.lit(f")(?![^{NO_WORD}])"))
+    out = out.withColumn(hits, F.struct(find_spans(_outside(text), pattern, F.col(hits).isNotNull()).alias("spans"), F.col(f"{hits}.revealing").alias("revealing")))
+    told = lambda yes: F.filter(f"{hits}.spans", lambda x: F.array_contains(F.col(f"{hits}.revealing"), x["value"]) == F.lit(yes))
     none = F.from_json(F.lit("[]"), SPAN)
-    out = found.withColumns({"term": none, "revealing": none})
-    blocks = -(-terms.count() // block_terms)
-    taken = F.concat(*KINDS)
-    for b in range(blocks):
-        rows = terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b).orderBy("term").collect()
-        for name, listed in (("term", [r[0] for r in rows if r[1] < remove]), ("revealing", [r[0] for r in rows if r[1] >= remove])):
-            if listed:
-                hits = F.array_intersect(F.split(_lower(text), f"[{NO_WORD}]+"), F.split(F.lit(" ".join(listed)), " "))
-                out = out.withColumn("__hits", hits)
-                pattern = F.concat(F.lit(f"(?<![^{NO_WORD}])(?:"), F.array_join("__hits", "|"), F.lit(f")(?![^{NO_WORD}])"))
-                spans = F.when(F.size("__hits") > 0, find_spans(_lower(text), pattern, F.lit(True))).otherwise(none)
-                fresh = F.filter(spans, lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])))
-                out = out.withColumn(name, F.concat(name, fresh)).drop("__hits")
-    return out.select(*base.columns, *new)
+    return out.withColumns({"term": F.coalesce(told(False), none), "revealing": F.coalesce(told(True), none)}).select(*base.columns, *new)
 
 
 def sanitised(found: DataFrame) -> DataFrame:

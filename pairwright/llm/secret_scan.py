@@ -6,12 +6,13 @@ All of it is DataFrame functions; nothing runs Python on the executors.
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairwright.llm.common import cut, sample_by_id
-from pairwright.llm.spans import find_spans, joined, merged, replaced
+from pairwright.llm.spans import blanked, bound, find_spans, joined, merged, replaced
 
 # Fixed formats.
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -19,6 +20,8 @@ ASSIGN_HEAD = r"""^[A-Za-z_]+["']?\x20*[:=]\x20*["']?"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Names by its format what it is, so it is no secret.
+UUID = r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![A-Za-z0-9])"
 
 #: Classes of characters: a-z, A-Z, 0-9, then + / _ = -; a bigram is one of N * N cells.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -45,20 +48,68 @@ def _bigrams(token: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), F.size(codes) - 1), F.slice(codes, F.lit(2), F.size(codes)), lambda a, b: a * N + b)
 
 
-def labelled_tokens(docs: DataFrame, most_docs: int = 2000) -> DataFrame:
-    """(token, random): samples to train from, of at most ``most_docs`` documents picked by the hash of their
-    ids.
+def _identifiers(text: Column, every: int = 8) -> Column:
+    """Identifiers as they are made of words: every ``every``th run of two to four of the text's words, as snake_case,
+    kebab-case, a path, camelCase, a class name, a constant, or with numbers; which of them is told by a hash."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
 
-    Ordinary: the documents' runs of 4 or more letters. Random: what the fixed formats find in them, and for each document
-    the hex and base64 forms of digests of its id and text.
+    def made(run: Column, at: Column) -> Column:
+        spaced, pick = F.array_join(run, " "), F.xxhash64(F.array_join(run, "|"), at)
+        title, few = F.replace(F.initcap(spaced), F.lit(" "), F.lit("")), F.pmod(F.shiftright(pick, 8), F.lit(100)).cast("string")
+        by = lambda sign: F.replace(spaced, F.lit(" "), F.lit(sign))
+        forms = [by("_"), by("-"), by("/"), F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200)), title, F.upper(by("_")), F.concat(F.get(run, 0), F.substring(few, 1, 1), F.lit("/"), by("-")), F.concat(by("_"), F.lit("_"), few), F.concat(by("-"), F.lit("-20"), F.lpad(few, 2, "0")), F.concat(F.lit("/"), by("/"), F.lit("/v"), few)]
+        return F.get(F.array(*forms), F.pmod(pick, F.lit(len(forms))).cast("int"))
+
+    def over(w: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(w), F.lit(1)), F.lit(every)), lambda i: i < F.size(w))
+        return F.transform(starts, lambda i: made(F.slice(w, i, F.pmod(F.xxhash64(i, F.get(w, i - 1)), F.lit(3)).cast("int") + 2), i))
+
+    return bound(words, over)
+
+
+# Characters in their order, which make no secret.
+IN_ORDER = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "01234567890123456789", "qwertyuiopasdfghjklzxcvbnm", "================", "----------------", "________________", "++++++++++++++++", "////////////////")
+
+# Labelled samples: words that identifiers are often made of, whatever the corpus is about.
+PARTS = (
+    "account action address admin api app archive array asset async audio author backup batch binary block body branch buffer build button byte cache call camera card channel char chart check child class click client clock "
+    "code column command comment common config connection console constant contact content context copy count create cursor customer data date debug default delete detail device dialog directory document download driver "
+    "element email engine entity entry error event export field file filter folder format frame function global graph group handle header hidden history image import index info input instance interface item key label language layout level "
+    "library link load local logger loop map memory menu message method mode month name network node notify number object offset option output package page param path payment picture pixel player plugin point policy position print process product profile query queue"
+).split()
+
+
+def labelled_tokens(docs: DataFrame, most_docs: int = 2000, most_chars: int = 65_536) -> DataFrame:
+    """(token, random): samples to train from, of at most ``most_docs`` documents of at most ``most_chars``, picked by the
+    hash of their ids.
+
+    Ordinary: the documents' runs of 4 or more letters, identifiers made of their words and of ``PARTS`` in an order drawn
+    for each document, and characters in their order.
+    Random: what the fixed formats find in them, and for each document the hex and base64 forms of digests of its id and
+    text. Repeated documents and tokens count as often as they occur.
     """
-    picked = sample_by_id(docs, "doc_id", "text", most_docs)
-    words = picked.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))).alias("token"), F.lit(False).alias("random"))
+    picked = sample_by_id(docs.where(F.length("text") <= most_chars), "doc_id", "text", most_docs)
+    words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    drawn = F.array_sort(F.transform(F.split(F.lit(" ".join(PARTS)), " "), lambda w: F.struct(F.xxhash64(w, "doc_id").alias("h"), w.alias("w"))))
+    parts = F.array_join(F.transform(drawn, lambda x: x["w"]), " ")
+    ordinary = picked.select(F.explode(F.concat(words, _identifiers(F.col("text")), _identifiers(parts), F.array(*(F.lit(x) for x in IN_ORDER)))).alias("token"), F.lit(False).alias("random"))
     base = base_spans(F.col("text"))
     found = picked.select(F.explode(F.concat(F.transform(base["assign"], lambda x: F.regexp_replace(x["value"], ASSIGN_HEAD, "")), *(F.transform(base[k], lambda x: x["value"]) for k in ("access", "hex")))).alias("token"))
     seed = F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
-    made = picked.select(F.explode(F.array(F.sha1(seed), F.base64(F.unhex(F.sha2(seed, 256))), F.md5(seed), F.upper(F.sha2(seed, 224)))).alias("token"))
-    return words.unionByName(found.unionByName(made).select(F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token"), F.lit(True).alias("random")))
+    made = picked.select(F.explode(F.array(F.sha1(seed), F.base64(F.unhex(F.sha2(seed, 256))), F.base64(F.unhex(F.sha2(seed, 384))), F.md5(seed), F.upper(F.sha2(seed, 224)))).alias("token"))
+    return ordinary.unionByName(found.unionByName(made).select(F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token"), F.lit(True).alias("random")))
+
+
+class Model(NamedTuple):
+    """The log-likelihood ratio of each bigram, random over ordinary (N * N numbers), and the least mean of a secret."""
+
+    cells: list[float]
+    threshold: float
+
+
+def held_back(token: Column) -> Column:
+    """True for the fifth of the samples that only the threshold is set from; fixed ones aren't among them."""
+    return (F.pmod(F.xxhash64(token), F.lit(5)) == 0) & ~token.isin(*IN_ORDER)
 
 
 def train(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
@@ -75,31 +126,44 @@ def train(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
     return out
 
 
-def ratio(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token of the alphabet: over 0 if the random model explains it better."""
-    cells = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
-    return F.aggregate(_bigrams(token), F.lit(0.0), lambda s, c: s + F.get(cells, c))
+def ratio(token: Column, cells: list[float]) -> Column:
+    """Mean log-likelihood ratio of a token's bigrams: over 0 if the random model explains it better."""
+    each = F.split(F.lit(",".join(f"{x:.6f}" for x in cells)), ",").cast("array<double>")
+    return F.aggregate(_bigrams(token), F.lit(0.0), lambda s, c: s + F.get(each, c)) / F.greatest(F.length(token) - 1, F.lit(1))
+
+
+def secret_model(tokens: DataFrame, false_alarms: float = 0.002, missed: float = 0.05, least: float = 0.5) -> Model:
+    """A model of labelled ``tokens`` (token, random), of which a fifth sets the threshold.
+
+    Of held-back tokens of 16 or more characters, it lies midway between the ratio that a share of ``false_alarms`` of the
+    ordinary ones exceed and that which a share of ``missed`` of the random ones stay below, and is no less than
+    ``least``, which also holds where there is nothing to learn from.
+    """
+    cells = train(tokens.where(~held_back(F.col("token"))))
+    kept = tokens.where(held_back(F.col("token")) & (F.length("token") >= 16)).select("random", ratio(F.col("token"), cells).alias("r"))
+    # the sample is bounded, so its percentiles are
+    high, low = kept.agg(F.percentile(F.when(~F.col("random"), F.col("r")), F.lit(1 - false_alarms)), F.percentile(F.when(F.col("random"), F.col("r")), F.lit(missed))).collect()[0]
+    return Model(cells, max(least, (high + low) / 2) if high is not None and low is not None else least)
 
 
-def scan(docs: DataFrame, model: list[float], threshold: float = 12.0) -> DataFrame:
+def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Adds assign, access, hex and markov (arrays of start, end, value) to every row of ``docs`` (text).
 
-    markov: runs of 16 or more of the alphabet's characters whose log-likelihood ratio is at least ``threshold``
-    and that overlap none of the fixed formats' spans. A null text has no spans; rows are kept as they are; other
-    columns stay and those of the four names are replaced.
+    markov: runs of 16 or more of the alphabet's characters, in what the fixed formats' spans and UUIDs leave of the text,
+    whose mean log-likelihood ratio is over the model's threshold. A null text has no spans; rows are kept as they are,
+    repeated ones too, and equal texts have equal spans; other columns stay and those of the four names are replaced.
     """
-    new = ["assign", "access", "hex", "markov"]
-    base = docs.drop(*new)
+    base = docs.drop("assign", "access", "hex", "markov")
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = base.withColumns(base_spans(text) | {"__long": find_spans(text, CANDIDATE, text.rlike(CANDIDATE))})
-    taken = F.concat("assign", "access", "hex")
-    fresh = F.filter("__long", lambda x: ~F.exists(taken, lambda t: (t["start"] < x["end"]) & (x["start"] < t["end"])))
-    return found.withColumn("markov", F.filter(fresh, lambda x: ratio(x["value"], model) >= threshold)).select(*base.columns, *new)
+    found = base.withColumns(base_spans(text))
+    left = F.regexp_replace(blanked(text, [F.col(k) for k in ("assign", "access", "hex")]), UUID, " " * 36)
+    long = F.when(text.rlike(CANDIDATE), left).otherwise("")
+    return found.withColumn("markov", F.filter(find_spans(long, CANDIDATE, text.rlike(CANDIDATE)), lambda x: ratio(x["value"], model.cells) > model.threshold))
 
 
-def secret_spans(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 12.0) -> DataFrame:
+def secret_spans(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """``scan`` with a model trained from ``labelled`` tokens, by default those of ``labelled_tokens(docs)``."""
-    return scan(docs, train(cut(labelled_tokens(docs)) if labelled is None else labelled), threshold)
+    return scan(docs, secret_model(cut(labelled_tokens(docs) if labelled is None else labelled)))
 
 
 def redacted(found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
