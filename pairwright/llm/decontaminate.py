@@ -1,21 +1,22 @@
-"""Benchmark decontamination: prefix-filtered containment join of item windows with document words."""
+"""Benchmark decontamination: a prefix-filtered containment join of item windows with document words."""
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut, shared
+from pairwright.llm.common import cut, shared, small, text_key, unused
 
 #: Words are runs of digits, letters and what lies beyond ASCII; bytes of such characters are all above 0x7F.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+WORD_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -23,147 +24,133 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
 
-def word_counts(docs: DataFrame, vocabulary: frozenset[bytes]) -> DataFrame:
-    """(word, n): how often the vocabulary's words occur in all of ``docs.text``."""
-    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each pair of neighbouring words, and of each word by itself. They only choose candidates."""
+    h = np.fromiter(map(crc32, words), np.uint64, len(words))
+    one = (h * MIX) ^ (h >> np.uint64(7))
+    two = (one[:-1] ^ (one[1:] << np.uint64(1))) * MIX
+    return (two ^ (two >> np.uint64(31))).view(np.int64), ((one ^ (one >> np.uint64(29))) * MIX).view(np.int64)
+
+
+def windows_of(items: DataFrame, window: int) -> DataFrame:
+    """(item_id, words, size, shingles) of each item's windows: ``window`` words each, or all of a shorter item."""
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for item, text in zip(f["item_id"], f["text"], strict=True):
+                words = words_of(text)
+                if not words:
+                    continue
+                size = min(window, len(words))
+                two, one = shingles(words)
+                starts = range(len(words) - size + 1)
+                for at in range(0, len(starts), 10_000):
+                    some = starts[at : at + 10_000]
+                    yield pd.DataFrame({"item_id": [item] * len(some), "words": [b" ".join(words[s : s + size]) for s in some], "size": size, "shingles": [(one if size == 1 else two[s : s + size - 1]) for s in some]})
+
+    schema = f"item_id {dict(items.dtypes)['item_id']}, words binary, size int, shingles array<long>"
+    return items.select("item_id", "text").mapInPandas(run, schema)
+
+
+def sieve(hashes: DataFrame, bits: int = 24) -> Callable[[np.ndarray], np.ndarray]:
+    """For use in tasks: which of an array's hashes may be among the frame's (column h); those that it denies are not.
+
+    It is a bitmap of the first ``bits`` bits, so its size is fixed: 2 ** (bits - 6) rows at most reach the driver.
+    """
+    slot = F.shiftrightunsigned("h", 64 - bits)
+    made = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("marks"))
+    held = np.zeros(1 << (bits - 6), np.int64)
+    for r in made.collect():
+        held[r["at"]] = r["marks"]
+    sent = shared(hashes.sparkSession, held.view(np.uint64))
+
+    def holds(h: np.ndarray) -> np.ndarray:
+        at = h.view(np.uint64) >> np.uint64(64 - bits)
+        return (sent()[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+    return holds
+
+
+def shingle_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """(h, n): how often the shingles of ``known`` (column h) occur in all of ``docs.text``; those that don't are left out."""
+    may = sieve(known)
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = dict.fromkeys(held.value, 0)
         for f in frames:
-            for t in f["text"]:
-                for w in words_of(t):
-                    if w in of:
-                        of[w] += 1
-        yield pd.DataFrame({"word": [w for w, n in of.items() if n], "n": [n for n in of.values() if n]})
+            for at in range(0, len(f), 1000):
+                found = [h[may(h)] for t in f["text"][at : at + 1000] for h in shingles(words_of(t))]
+                h, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+                yield pd.DataFrame({"h": h, "n": n})
 
-    return docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return counted.join(known, "h", "left_semi")
 
 
-class WindowIndex:
-    """The windows of a bounded set of items, found by their rarest shingle.
+def candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
+    """(t, h, before, around): where the shingle h of ``prefixes`` (h) may stand in a text (t, text), with the words around.
 
-    A window is contained whole or not at all, so its prefix in the order of rarity is one shingle: the pair of
-    neighbouring words that is rarest by its rarer word, then by its other word (for one-word windows the word).
+    around: up to ``window`` - 1 words before and behind it, space-joined; before: how many of them come first.
     """
+    may = sieve(prefixes)
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for t, text in zip(f["t"], f["text"], strict=True):
+                words = words_of(text)
+                rows = [(a, int(h[a]), int(k)) for k, h in enumerate(shingles(words)) if len(h) for a in np.flatnonzero(may(h)).tolist()]
+                for at in range(0, len(rows), 5_000):
+                    some = rows[at : at + 5_000]
+                    yield pd.DataFrame({"t": [t] * len(some), "at": [a for a, _, _ in some], "h": [h for _, h, _ in some], "before": [min(a, window - 1) for a, _, _ in some], "around": [b" ".join(words[max(0, a - window + 1) : a + window + 1]) for a, _, _ in some]})
+
+    schema = "t struct<a: bigint, b: bigint>, at int, h long, before int, around binary"
+    return docs.mapInPandas(run, schema)
+
 
-    def __init__(self, items: list[tuple[object, bytes]], counts: dict[bytes, int], window: int):
-        self.ids: dict[bytes, int] = {}
-        self.windows: list[np.ndarray] = []
-        self.items: list[list[object]] = []  # of each window
-        seen: dict[tuple[int, ...], int] = {}
-        rarity: list[int] = [0]
-        for item, text in items:
-            words = words_of(text)
-            for w in words:
-                if w not in self.ids:
-                    self.ids[w] = len(self.ids) + 1
-                    rarity.append(counts.get(w, 0))
-            coded = [self.ids[w] for w in words]
-            size = min(window, len(coded))
-            for at in range(len(coded) - size + 1) if size else ():
-                key = tuple(coded[at : at + size])
-                if key not in seen:
-                    seen[key] = len(self.windows)
-                    self.windows.append(np.array(key, np.int64))
-                    self.items.append([])
-                if item is not None and item not in self.items[seen[key]]:
-                    self.items[seen[key]].append(item)
-        self.base = len(self.ids) + 1
-        self.shortest = min((len(w) for w in self.windows), default=0)
-        by_shingle: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, w in enumerate(self.windows):
-            if len(w) == 1:
-                by_shingle[int(w[0]) * self.base].append((k, 0))
-                continue
-            rank = [(*sorted((rarity[a], rarity[b])), i) for i, (a, b) in enumerate(zip(w[:-1], w[1:], strict=True))]
-            i = min(rank)[2]
-            by_shingle[int(w[i]) * self.base + int(w[i + 1])].append((k, i))
-        self.by_shingle = dict(by_shingle)
-        self.shingles = np.array(sorted(by_shingle), np.int64)
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Which of a document's words lie in an occurrence of a window, and the windows that occur."""
-        hit, found = np.zeros(len(words), bool), set()
-        if not self.windows or len(words) < self.shortest:
-            return hit, found
-        get = self.ids.get
-        coded = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-        # length bound: how many item words follow each other from here on, and have come before
-        stops = np.flatnonzero(np.concatenate([coded == 0, [True]]))
-        ahead = stops[np.searchsorted(stops, np.arange(len(coded)))] - np.arange(len(coded))
-        starts = np.concatenate([[-1], stops[:-1]])
-        behind = np.arange(len(coded)) - starts[np.searchsorted(stops, np.arange(len(coded)))] - 1
-        live = np.flatnonzero((coded > 0) & (ahead + behind >= self.shortest))
-        if not len(live):
-            return hit, found
-        following = np.concatenate([coded[1:], [0]])[live]
-        for key in (coded[live] * self.base + following, coded[live] * self.base):
-            where = np.searchsorted(self.shingles, key)
-            where[where == len(self.shingles)] = 0
-            for at, shingle in zip(live[self.shingles[where] == key].tolist(), key[self.shingles[where] == key].tolist(), strict=True):
-                for k, offset in self.by_shingle[shingle]:
-                    w = self.windows[k]
-                    # positional bound, then exact containment
-                    if (len(w) == 1) == (shingle % self.base == 0) and behind[at] >= offset and ahead[at] >= len(w) - offset:
-                        span = slice(at - offset, at - offset + len(w))
-                        if np.array_equal(coded[span], w):
-                            hit[span] = True
-                            found.add(k)
-        return hit, found
-
-
-def _look(index):
-    """The UDF (text, hit runs so far, items so far) -> the same with one block of items looked up."""
-
-    @F.pandas_udf("seen array<int>, n long, items array<string>")
-    def look(texts: pd.Series, seen: pd.Series, items_: pd.Series) -> pd.DataFrame:
-        out = []
-        for text, before, known in zip(texts, seen, items_, strict=True):
-            words = words_of(text)
-            hit, found = index().hits(words)
-            # runs of hit words as [start, end, start, end, ...]
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            if before is not None and len(before):
-                both = np.concatenate([[0], hit.astype(np.int8), [0]])
-                for s, e in zip(before[::2], before[1::2], strict=True):
-                    both[s + 1 : e + 1] = 1
-                edges = np.flatnonzero(np.diff(both))
-            ids = {str(i) for k in found for i in index().items[k]} | set(known if known is not None else ())
-            out.append((edges.tolist(), len(words), sorted(ids)))
-        return pd.DataFrame(out, columns=["seen", "n", "items"])
-
-    return look
-
-
-def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_bytes: int = 32_000_000) -> DataFrame:
+def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Adds n_words, n_hit, n_items, item_ids and contaminated to every row of ``docs`` (text).
 
     A window is ``window`` consecutive words of an item, or all of a shorter one. A word inside any occurrence of a
     window is hit; item_ids are the items with occurring windows, sorted as strings. Null and empty texts have no words
     and nothing hit; null, empty and repeated items are allowed, an item without an id hits words but isn't listed. No
-    items: nothing is hit. Other columns stay, and those of these names are replaced. Items are sent to the executors in
-    blocks of at most ``most_bytes`` of text, one pass over the documents for each block.
+    items: nothing is hit. Rows are kept as they are, and equal texts have equal results; other columns stay, and those
+    of these names are replaced.
+
+    A window is contained whole or not at all, so its prefix in the order of rarity is one shingle, a pair of neighbouring
+    words (or the word of a one-word window): the one that occurs least in all documents, ties by hash. A window with a
+    shingle that never occurs is left out. Documents are read twice, whatever the benchmark's size: to count shingles, and
+    to find the prefixes. Tasks hold a bitmap of fixed size; the windows are joined with the places found, where length
+    and position are compared before the words are.
     """
     new = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
     base = docs.drop(*new)
-    spark = docs.sparkSession
-    items = benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).collect()[0][0] or 0
-    blocks = max(1, -(-int(total) // most_bytes))
-    state = base.withColumns({"__seen": F.lit(None).cast("array<int>"), "__n": F.lit(0).cast("long"), "__items": F.array().cast("array<string>")})
-    for b in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        held = sorted(((r[0], bytes(r[1])) for r in block.collect()), key=lambda r: (str(r[0]), r[1]))  # of bounded size
-        vocabulary = frozenset(w for _, t in held for w in words_of(t))
-        counts = {bytes(r[0]): r[1] for r in word_counts(docs, vocabulary).collect()} if vocabulary else {}
-        index = shared(spark, WindowIndex(held, counts, window))
-
-        looked = _look(index)(F.col("text").cast("binary"), "__seen", "__items")
-        state = state.withColumn("__look", looked).withColumns({"__seen": F.col("__look.seen"), "__n": F.col("__look.n"), "__items": F.col("__look.items")}).drop("__look")
-        if b + 1 < blocks:
-            state = cut(state)
-    n_hit = F.expr("aggregate(sequence(0, size(__seen) div 2), 0L, (a, i) -> a + coalesce(get(__seen, 2 * i + 1) - get(__seen, 2 * i), 0))")
-    out = state.withColumns({"n_words": F.col("__n"), "n_hit": n_hit, "n_items": F.size("__items").cast("long"), "item_ids": F.col("__items")})
+    # windows are told apart by their words; the items of each are kept aside
+    each = cut(windows_of(benchmark.where("text is not null").select("item_id", F.col("text").cast("binary").alias("text")), window))
+    distinct = cut(each.select("words", "size", "shingles").dropDuplicates(["words"]))
+    texts = docs.where("text is not null").select(text_key("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    counts = small(shingle_counts(texts, cut(distinct.select(F.explode("shingles").alias("h")).distinct())))
+    # rarest first; a window of which not all shingles are counted can't occur
+    placed = distinct.select("words", "size", F.posexplode("shingles").alias("offset", "h")).join(counts, "h", "left")
+    rarest = placed.groupBy("words", "size").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "h", "offset")).alias("x"), F.bool_and(F.col("n").isNotNull()).alias("all"))
+    prefixes = cut(rarest.where("all").select("words", "size", "x.h", "x.offset"))
+    found = cut(candidates(texts, cut(prefixes.select("h").distinct()), window).distinct())
+    # length and position first, then the words themselves
+    start = F.col("before") - F.col("offset")
+    met = found.join(small(prefixes), "h").withColumn("near", F.split(F.col("around").cast("string"), " "))
+    met = met.where((start >= 0) & (start + F.col("size") <= F.size("near")))
+    met = met.where(F.array_join(F.slice("near", start + 1, F.col("size")), " ") == F.col("words").cast("string"))
+    hits = cut(met.select("t", (F.col("at") - F.col("offset")).alias("start"), "size", "words").distinct())
+    listed = hits.select("t", "words").distinct().join(small(each.select("words", "item_id").where("item_id is not null").distinct()), "words")
+    items = listed.groupBy("t").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("ids"))
+    # the starts of one text, each with its longest window: a word is hit once, by the first window that reaches it
+    longest = hits.groupBy("t", "start").agg(F.max("size").alias("size"))
+    runs = longest.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("size")).alias("end")))).alias("s"))
+    step = lambda acc, x: F.struct((acc["n"] + F.greatest(x["end"] - F.greatest(x["start"], acc["end"]), F.lit(0))).alias("n"), F.greatest(acc["end"], x["end"]).alias("end"))
+    n_hit = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda acc: acc["n"].cast("long"))
+    key, got = unused(docs, "key"), unused(docs, "got")
+    per_text = small(runs.select("t", n_hit.alias("n")).join(items, "t", "left").select(F.col("t").alias(key), F.struct("n", "ids").alias(got)))
+    out = base.withColumn(key, text_key("text")).join(per_text, key, "left")
+    ids = F.coalesce(f"{got}.ids", F.array().cast("array<string>"))
+    out = out.withColumns({"n_words": F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long"), "n_hit": F.coalesce(f"{got}.n", F.lit(0)).cast("long"), "n_items": F.size(ids).cast("long"), "item_ids": ids})
     return out.withColumn("contaminated", F.col("n_hit") > 0).select(*base.columns, *new)
 
 
