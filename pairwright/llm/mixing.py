@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut
+from pairwright.llm.common import cut, unused
 
 
 def word_count(text: Column) -> Column:
@@ -112,18 +112,32 @@ def _crossing(parts: DataFrame, rest: DataFrame, cell: str) -> DataFrame:
     return begins.where((F.col("begin") <= F.col("rest")) & (F.col("begin") + F.col("n") > F.col("rest"))).select("p", cell, (F.col("rest") - F.col("begin")).alias("rest"))
 
 
+def _nth_rows(marked: DataFrame, pattern: str, place: str, row: str, bound: DataFrame) -> DataFrame:
+    """(p, row): for each pattern of ``bound`` (p, at, fits) the row number up to which there are ``fits`` rows at place ``at``.
+
+    Rows are numbered in the order of their partitions, so those are counted first, and only one's rows are then sorted.
+    """
+    rows = marked.select(F.col(pattern).alias("p"), F.col(place).alias("at"), F.col(row).alias("row")).join(F.broadcast(bound.select("p", "at", "fits")), ["p", "at"])
+    parts = cut(rows.groupBy("p", "fits", F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n")))
+    before = Window.partitionBy("p").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    crossing = parts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0))).where((F.col("begin") < F.col("fits")) & (F.col("begin") + F.col("n") >= F.col("fits")))
+    crossing = cut(crossing.select("p", "part", (F.col("fits") - F.col("begin")).alias("nth")))
+    inside = rows.withColumn("part", F.shiftright("row", 33)).join(F.broadcast(crossing), ["p", "part"])
+    return inside.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("row"))).where("k = nth").select("p", "row")
+
+
 def mix(docs: DataFrame, members: str = "source", weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), most: int = 2, seed: int = 17, most_patterns: int = 100_000) -> DataFrame:
     """Adds size, source_size, target and taken to every row of ``docs`` (text and ``members``).
 
     ``members`` names a column with a source, or with an array of those a document belongs to. Documents are aggregated
     by membership pattern; a min-cost flow routes each pattern's tokens to its sources' targets; then every pattern
     takes whole rounds of its documents and, for what is left, documents in the order of a seeded hash up to the amount,
-    to within half a document. So taken is a multiple of size, at most ``most`` times it, and reruns agree. For
+    to within half a document. So taken is a multiple of size, at most ``most`` times it, and reruns agree; of rows equal
+    in doc_id and text, which can't be told apart, as many are taken as come nearest to the amount. For
     overlapping sources, source_size and target are sums over the document's sources.
 
     Null and empty texts have size 0 and nothing taken; a null member is a source of its own; an empty array belongs to
-    no source and is never taken; an empty table gives no rows; rows equal in doc_id and text are taken alike. Columns
-    of the new names are replaced, all others stay. Only sums of at most ``most_patterns`` patterns reach the driver;
+    no source and is never taken; an empty table gives no rows. Columns of the new names are replaced, all others stay. Only sums of at most ``most_patterns`` patterns reach the driver;
     more raise an error. The place where the amount is reached is found in 512 hash ranges and then in 512 parts of one
     of them, so no task holds a whole source.
     """
@@ -133,8 +147,9 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[int, ...] = (3,
     names = F.array_distinct(F.transform(F.col(members), lambda x: x.cast("string"))) if is_array else F.array(F.col(members).cast("string"))
     pattern = F.to_json(F.array_sort(F.transform(F.coalesce(names, F.array(F.lit(None).cast("string"))), lambda x: F.coalesce(F.concat(F.lit("="), x), F.lit("null")))))
     place = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *(F.col(c) for c in ("doc_id", "text") if c in base.columns)), 1)  # 0 to 2^63
-    marked = base.withColumns({"__p": pattern, "size": word_count(F.col("text")), "__h": place})
-    slim = cut(marked.select(F.col("__p").alias("p"), F.col("__h").alias("h"), "size"))
+    pattern_, place_, row_ = (unused(docs, x) for x in ("p", "h", "row"))
+    marked = base.withColumns({pattern_: pattern, "size": word_count(F.col("text")), place_: place, row_: F.monotonically_increasing_id()})
+    slim = cut(marked.select(F.col(pattern_).alias("p"), F.col(place_).alias("h"), "size"))
     coarse = cut(slim.groupBy("p", F.shiftright("h", 54).alias("r")).agg(F.sum("size").alias("n")))
     rows = coarse.groupBy("p").agg(F.sum("n").alias("n")).limit(most_patterns + 1).collect()
     if len(rows) > most_patterns:
@@ -155,11 +170,21 @@ def mix(docs: DataFrame, members: str = "source", weights: tuple[int, ...] = (3,
     fine = slim.withColumn("r", F.shiftright("h", 54)).join(F.broadcast(first.select("p", "r")), ["p", "r"]).groupBy("p", F.shiftright("h", 45).alias("c")).agg(F.sum("size").alias("n"))
     second = cut(_crossing(fine, first.select("p", "rest"), "c"))
     tail = slim.withColumn("c", F.shiftright("h", 45)).join(F.broadcast(second), ["p", "c"])
-    upto = Window.partitionBy("p").orderBy("h").rangeBetween(Window.unboundedPreceding, -1)
-    taken = tail.withColumn("begin", F.coalesce(F.sum("size").over(upto), F.lit(0))).where(F.col("begin") + F.col("size") / 2 <= F.col("rest"))
-    last = cut(taken.groupBy("p").agg(F.max("h").alias("last")))
+    # rows of one place are copies of one row; of them as many are taken as come nearest to the amount
+    places = tail.groupBy("p", "h", "rest").agg(F.max("size").alias("size"), F.sum("size").alias("n"), F.count("*").alias("copies"))
+    upto = Window.partitionBy("p").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    fits = F.when(F.col("size") == 0, F.col("copies")).otherwise(F.floor((F.col("rest") - F.coalesce(F.sum("n").over(upto), F.lit(0))) / F.col("size") + 0.5))
+    places = places.withColumn("fits", F.greatest(F.lit(0), F.least(fits, F.col("copies"))))
+    some = (F.col("fits") > 0) & (F.col("fits") < F.col("copies"))
+    last = cut(places.groupBy("p").agg(F.max(F.when(F.col("fits") == F.col("copies"), F.col("h"))).alias("last"), F.max(F.when(some, F.struct("h", "fits"))).alias("part")))
     # where no document of the crossing part is taken, all before that part are
     bound = planned.join(second.select("p", F.shiftleft("c", 45).alias("from")), "p", "left").join(last, "p", "left")
-    bound = cut(bound.select(F.col("p").alias("__p"), "source_size", "target", "rounds", F.coalesce("last", F.col("from") - 1).alias("last")))
-    extra = F.when(F.col("__h") <= F.col("last"), 1).otherwise(0)
-    return marked.join(F.broadcast(bound), "__p").select(*base.columns, "size", "source_size", "target", (F.col("size") * (F.col("rounds") + extra)).alias("taken"))
+    bound = cut(bound.select("p", "source_size", "target", "rounds", F.coalesce("last", F.col("from") - 1).alias("last"), F.col("part.h").alias("at"), F.col("part.fits").alias("fits")))
+    upto_row = _nth_rows(marked, pattern_, place_, row_, bound.where("at is not null")) if bound.where("at is not null").limit(1).count() else None
+    if upto_row is not None:
+        bound = cut(bound.join(upto_row, "p", "left"))
+    b = unused(docs, "b")
+    whole = F.col(place_) <= F.col(f"{b}.last")
+    extra = F.coalesce(whole | ((F.col(place_) == F.col(f"{b}.at")) & (F.col(row_) <= F.col(f"{b}.row"))) if upto_row is not None else whole, F.lit(False)).cast("int")
+    joined = marked.join(F.broadcast(bound.select(F.col("p").alias(pattern_), F.struct(*(c for c in bound.columns if c != "p")).alias(b))), pattern_)
+    return joined.select(*base.columns, "size", F.col(f"{b}.source_size").alias("source_size"), F.col(f"{b}.target").alias("target"), (F.col("size") * (F.col(f"{b}.rounds") + extra)).alias("taken"))

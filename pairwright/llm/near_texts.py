@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,10 +11,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut, shared, small, whole_groups
+from pairwright.llm.common import cut, shared, small, unused, whole_groups
 from pairwright.llm.components import components
-from pairwright.llm.simhash import WORD
 
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLE = 5
 FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
@@ -57,10 +58,16 @@ def prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
     def first(text: str | None) -> tuple[np.ndarray, int]:
         h, (known, rank) = shingles(text), get()
         n = len(h)
+        most = n - (4 * n + 4) // 5 + 1 if n else 0
         if len(known) and n:
             place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            h = h[np.lexsort((h, np.where(known[place] == h, rank[place], 0)))]
-        return h[: n - (4 * n + 4) // 5 + 1 if n else 0], n
+            often = known[place] == h
+            rare = h[~often]  # sorted by hash already
+            if len(rare) < most:
+                rest = h[often]
+                rare = np.concatenate([rare, rest[np.argsort(rank[place[often]], kind="stable")]])
+            h = rare
+        return h[:most], n
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -132,8 +139,9 @@ def near_links(texts: DataFrame, hub_rows: int = 64, block_rows: int = 2048) ->
     one component before all pairs of different components are compared; no pair is left out.
     """
     keyed = cut(prefixes(texts, frequent(texts)))
-    counts = cut(keyed.groupBy("k").count().where(F.col("count") > hub_rows))
-    hot = small(counts.select("k", F.ceil(F.col("count") / block_rows).cast("int").alias("m")))
+    # most shingles stand in one prefix only and are done with here
+    counts = keyed.groupBy("k").count().where(F.col("count") > 1).select("k", "count", F.ceil(F.col("count") / block_rows).cast("int").alias("m"))
+    keyed = cut(keyed.join(cut(counts), "k"))
 
     def met(rows: DataFrame, hub: bool) -> DataFrame:
         dealt = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
@@ -142,23 +150,22 @@ def near_links(texts: DataFrame, hub_rows: int = 64, block_rows: int = 2048) ->
         ready = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
         return ready.mapInPandas(lambda frames: meetings(frames, hub), "a long, b long, na int, nb int")
 
-    one = cut(verified(texts, met(keyed.join(hot, "k").withColumn("c", F.col("node")), True)))
+    one = cut(verified(texts, met(keyed.where(F.col("count") > hub_rows).withColumn("c", F.col("node")), True)))
     known = small(components(one).select("node", F.col("component").alias("c")))
-    rows = keyed.join(hot, "k", "left").withColumn("m", F.coalesce("m", F.lit(1))).join(known, "node", "left").withColumn("c", F.coalesce("c", "node"))
-    return one.unionByName(verified(texts, met(rows, False)))
+    return one.unionByName(verified(texts, met(keyed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")), False)))
 
 
 def keep_one_text(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of the texts that links of similarity 0.8 connect; all columns stay.
+    """One row of ``docs`` (doc_id, text) for each group of texts that links of similarity 0.8 connect; all columns stay.
 
-    Rows that repeat that id stay; a row without an id is kept. Equal texts aren't linked to each other: SimHash finds them.
+    It is the row with the smallest doc_id; rows without an id come last, then the text with the smallest hash. Rows of
+    one text stay or go together, and a text without words is in no group. Other rows are kept as they are.
     """
-    name = "__node"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "node")
     marked = docs.withColumn(name, F.xxhash64("text"))
-    linked = small(components(near_links(marked.select(F.col(name).alias("node"), "text"))))
+    texts = marked.where("text is not null").select(F.col(name).alias("node"), "text")
+    linked = small(components(near_links(texts)))
     found = cut(marked.select("doc_id", F.col(name).alias("node")).join(linked, "node"))
-    least = found.groupBy("component").agg(F.min("doc_id").alias("least_id"))
-    gone = small(found.join(least, "component").where("doc_id <> least_id").select("doc_id", F.col("node").alias(name)).distinct())
-    return marked.join(gone, ["doc_id", name], "left_anti").select(*docs.columns)
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    gone = small(found.join(best, "component").where("node <> best.node").select(F.col("node").alias(name)).distinct())
+    return marked.join(gone, name, "left_anti").select(*docs.columns)

@@ -12,8 +12,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import cut, local_components, small, whole_groups
+from pairwright.llm.common import cut, local_components, small, text_key, unused, whole_groups
 from pairwright.llm.components import components
+from pairwright.llm.near_texts import keep_one_text
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -109,6 +110,13 @@ def near_fingerprints(fps: DataFrame, distance: int = 4, block_rows: int = 2048)
     return ready.mapInPandas(lambda frames: links_in(frames, distance), "a long, b long")
 
 
+def _grouped(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, component) of all fingerprints in ``prints``."""
+    fps = cut(prints.select("fp").distinct())
+    linked = cut(components(near_fingerprints(fps, distance)))
+    return fps.join(linked, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -118,26 +126,41 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Data
     Other columns of the input are left out.
     """
     prints = cut(docs.select("doc_id", fingerprint(F.col("text"), shingle).alias("fp")))
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    linked = cut(components(near_fingerprints(least.select("fp"), distance)))
-    named = least.join(linked, F.col("fp") == F.col("node"), "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
+    named = cut(least.join(_grouped(prints, distance), "fp"))
     lowest = cut(named.groupBy("component").agg(F.min("least_id").alias("component_id")))
     of = cut(named.join(lowest, "component").select("fp", "component_id"))
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of their group; all columns stay.
+    """One row of ``docs`` (doc_id, text) for each group of SimHash fingerprints; all columns stay.
 
-    Rows that repeat that id stay together if they are of the same text; a row without an id is kept, as it can't be
-    told from others of its group. Two rows of one id but in different groups are judged each by its own text.
+    It is the one with the smallest doc_id; rows without an id come last, and of rows with equal ids in one group the text
+    with the smallest hash stays. Of rows equal in id and text one stays, the first by the JSON form of all columns. Null
+    and empty texts are one group. An empty table gives no rows.
+    """
+    text, id_ = unused(docs, "text"), unused(docs, "id")
+    named = docs.withColumns({text: F.to_json(text_key("text")), id_: F.col("doc_id")})
+    prints = cut(named.select(F.col(id_).alias("id"), F.col(text).alias("t"), fingerprint(F.col("text"), shingle).alias("fp")).groupBy("id", "t", "fp").agg(F.count("*").alias("n")))
+    groups = prints.join(_grouped(prints, distance), "fp")
+    rank = F.struct(F.col("id").isNull().alias("late"), "id", "t")
+    best = groups.groupBy("component").agg(F.min(rank).alias("best"))
+    judged = cut(groups.join(best, "component").select(F.col("id").alias(f"{id_}_"), F.col("t").alias(f"{text}_"), "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("t") == F.col("best.t"))).alias("stays")))
+    same = F.col(id_).eqNullSafe(F.col(f"{id_}_")) & (F.col(text) == F.col(f"{text}_"))
+    kept = named.join(small(judged.where("not stays").drop("n", "stays")), same, "left_anti")
+    repeated = small(judged.where("stays and n > 1").drop("n", "stays"))
+    if repeated.limit(1).count():
+        row = F.struct(*docs.columns)
+        once = kept.join(repeated, same, "left_semi").groupBy(id_, text).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        return kept.join(repeated, same, "left_anti").select(*docs.columns).unionByName(once)
+    return kept.select(*docs.columns)
+
+
+def keep_one_near(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
+    """``keep_one``, and then one row for each group of texts that share four fifths of their five-word shingles.
+
+    Fingerprints within a few bits miss most texts of that similarity, so what SimHash leaves is compared by shingles,
+    exactly (``near_texts``); what SimHash removes costs nothing there.
     """
-    groups = simhash_groups(docs, distance, shingle)
-    gone = cut(groups.where("doc_id <> component_id").select("doc_id", "fingerprint").distinct())
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
-    name = "__fp"
-    while name in docs.columns:
-        name += "_"
-    marked = docs.withColumn(name, F.lower(F.lpad(F.hex(fingerprint(F.col("text"), shingle)), 16, "0")))
-    return marked.join(gone.withColumnRenamed("fingerprint", name), ["doc_id", name], "left_anti").select(*docs.columns)
+    return keep_one_text(keep_one(docs, distance, shingle))

@@ -58,3 +58,14 @@ def test_mix(llm_spark):
     assert mix(docs.limit(0)).count() == 0
     over = mix(docs.withColumn("of", F.when(F.col("doc_id") % 2 == 0, F.array("source", F.lit("z"))).when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array("source"))), "of").collect()
     assert len(over) == len(rows) and all(r.taken == 0 for r in over if r.of == [])
+
+
+def test_copies_meet_the_target(llm_spark):
+    rows = [(1, "w " * 10, "a")] * 2000 + [(k, "v " * 7, "a") for k in range(2, 300)] + [(None, "u " * 10, "b")] * 3000 + [(5, "t " * 10, None)] * 10
+    docs = llm_spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "'x' AS __p", "1 AS __h").repartition(5)
+    got = mix(docs).collect()
+    assert len(got) == len(rows) and all(r["__p"] == "x" and r["__h"] == 1 for r in got)
+    for source in ("a", "b", None):
+        of = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 5 and all(r.taken % r.size == 0 and r.taken <= 2 * r.size for r in of)
+    assert sorted((str(r.doc_id), r.taken) for r in mix(docs).collect()) == sorted((str(r.doc_id), r.taken) for r in got)
