@@ -1,4 +1,8 @@
-"""From raw documents to a training mix: five stages, each one operator of pairwright.llm."""
+"""From raw documents to a training mix: five stages, each one operator of pairwright.llm.
+
+Stages take documents with any columns more than those of the table, and return the table's columns alone. Rows with nulls,
+empty or repeated texts pass through them as the operators' docstrings say; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.llm import secret_scan
-from pairwright.llm.common import shared_folder, table
+from pairwright.llm.common import remove, shared_folder, table
 from pairwright.llm.decontaminate import contaminated_words
 from pairwright.llm.mixing import mix
-from pairwright.llm.near_texts import keep_one_text
-from pairwright.llm.simhash import keep_one
+from pairwright.llm.simhash import keep_one_near
 from pairwright.llm.toxicity import score_toxicity, toxicity_model
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -25,16 +28,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: the one with the smallest id."""
-    return keep_one(docs).select(*COLUMNS)
-
-
-def near_texts_and_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that share four fifths of their five-word shingles one stays; then decontamination.
-
-    SimHash groups are bound to four bits, which most such pairs exceed.
-    """
-    return decontamination(spark, keep_one_text(docs), sf_dir)
+    """One document of each group stays: of close SimHash fingerprints, and of texts that share four fifths of their
+    five-word shingles, which fingerprints within a few bits mostly miss."""
+    return keep_one_near(docs).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,17 +50,22 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*COLUMNS, "size", "source_size", "target", "taken", F.expr("cast(taken div size as int)").alias("copies"))
 
 
-STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("near_texts_and_decontamination", near_texts_and_decontamination), ("secret_scan", secrets), ("mixing", mixing)]
+STAGES = [("toxicity", toxicity), ("simhash_near_dedup", near_dedup), ("decontamination", decontamination), ("secret_scan", secrets), ("mixing", mixing)]
 
 #: Trained models and flows can't be expressed in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each returns is written to the cluster's shared folder and read again."""
+    """All stages over documents; what each returns is written to the cluster's shared folder and read again.
+
+    A stage's folder is removed when the next one is written, so that one copy of the corpus is left: the result's.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}_{name}")
         docs = spark.read.parquet(path)
+        if k:
+            remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
     return docs
