@@ -4,19 +4,24 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
-from zlib import crc32
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from pairwright.llm.common import cut, shared, small, text_key, unused
 
 #: Words are runs of digits, letters and what lies beyond ASCII; bytes of such characters are all above 0x7F.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-WORD_SQL = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in LOWER])
 MIX = np.uint64(0x9E3779B97F4A7C15)
+BASE, PIECE = 0x100000001B3, 1 << 20
+POWERS = np.cumprod(np.array([1] + [BASE] * (PIECE - 1), np.uint64), dtype=np.uint64)
+INVERSES = np.cumprod(np.array([1] + [pow(BASE, -1, 1 << 64)] * (PIECE - 1), np.uint64), dtype=np.uint64)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -24,12 +29,70 @@ def words_of(text: bytes | None) -> list[bytes]:
     return WORD.findall((text or b"").lower())
 
 
-def shingles(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each pair of neighbouring words, and of each word by itself. They only choose candidates."""
-    h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    one = (h * MIX) ^ (h >> np.uint64(7))
-    two = (one[:-1] ^ (one[1:] << np.uint64(1))) * MIX
-    return (two ^ (two >> np.uint64(31))).view(np.int64), ((one ^ (one >> np.uint64(29))) * MIX).view(np.int64)
+class Words(NamedTuple):
+    """The words of some texts, one after the other: their hashes, where they lie in ``joined``, and in which text."""
+
+    joined: bytes
+    hashes: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    of: np.ndarray
+
+    @classmethod
+    def read(cls, texts: list[bytes]) -> Words:
+        """A word's hash is a polynomial of its bytes, got from running sums over pieces of fixed size."""
+        joined = b"\0".join(texts)
+        hashes, starts, ends, begun, total = [], [], [], None, np.uint64(0)
+        for at in range(0, len(joined), PIECE):
+            low = LOWER[np.frombuffer(joined, np.uint8, min(PIECE, len(joined) - at), at)]
+            step = np.diff(np.concatenate([[begun is not None], IS_WORD[low]]).astype(np.int8))
+            up, down = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+            # power of the piece's first byte, then of each byte inside it
+            sums = np.concatenate([[total], total + np.cumsum((low.astype(np.uint64) + np.uint64(1)) * POWERS[: len(low)] * np.uint64(pow(BASE, at, 1 << 64)))])
+            first = np.concatenate([[] if begun is None else [begun[0]], up + at]).astype(np.int64)
+            before = np.concatenate([np.array([] if begun is None else [begun[1]], np.uint64), sums[up]])
+            last_, after = down + at, sums[down]
+            if at + PIECE >= len(joined) and len(first) > len(last_):
+                last_, after = np.append(last_, len(joined)), np.append(after, sums[-1])
+            begun = (first[-1], before[-1]) if len(first) > len(last_) else None
+            first, before = first[: len(last_)], before[: len(last_)]
+            back = np.array([pow(BASE, -int(p) * PIECE, 1 << 64) for p in np.unique(first // PIECE)], np.uint64)
+            scale = back[np.searchsorted(np.unique(first // PIECE), first // PIECE)] * INVERSES[first % PIECE]
+            hashes.append((after - before) * scale)
+            starts.append(first)
+            ends.append(last_)
+            total = sums[-1]
+        none = np.empty(0, np.int64)
+        starts_ = np.concatenate([none, *starts])
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])[: len(texts)]
+        return cls(joined, np.concatenate([np.empty(0, np.uint64), *hashes]), starts_, np.concatenate([none, *ends]), np.searchsorted(begins, starts_, side="right") - 1)
+
+    def shingles(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each word with the next one of its text (zero if there is none), and of each word by itself."""
+        one = (self.hashes ^ (self.hashes >> np.uint64(29))) * MIX
+        two = np.zeros(len(one), np.uint64)
+        two[:-1] = np.where(self.of[1:] == self.of[:-1], (one[:-1] ^ (one[1:] << np.uint64(1)) ^ (one[1:] >> np.uint64(31))) * MIX, 0)
+        return (two ^ (two >> np.uint64(30))).view(np.int64), (one * MIX ^ (one >> np.uint64(31))).view(np.int64)
+
+
+def groups_of(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Neighbouring texts of together some ``most`` bytes, with the place of the first."""
+    some, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        if some and size + len(t) > most:
+            yield first, some
+            some, size, first = [], 0, k
+        some.append(t)
+        size += len(t)
+    if some:
+        yield first, some
+
+
+@F.pandas_udf(LongType())
+def count_words(texts: pd.Series) -> pd.Series:
+    """The number of words of each text; a null has none."""
+    out = [np.bincount(Words.read(some).of, minlength=len(some)) for _, some in groups_of(t or b"" for t in texts)]
+    return pd.Series(np.concatenate(out) if out else np.empty(0, np.int64))
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -42,7 +105,7 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
                 if not words:
                     continue
                 size = min(window, len(words))
-                two, one = shingles(words)
+                two, one = Words.read([text]).shingles()
                 starts = range(len(words) - size + 1)
                 for at in range(0, len(starts), 10_000):
                     some = starts[at : at + 10_000]
@@ -77,9 +140,8 @@ def shingle_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for at in range(0, len(f), 1000):
-                found = [h[may(h)] for t in f["text"][at : at + 1000] for h in shingles(words_of(t))]
-                h, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+            for _, some in groups_of(f["text"]):
+                h, n = np.unique(np.concatenate([h[(h != 0) & may(h)] for h in Words.read(some).shingles()]), return_counts=True)
                 yield pd.DataFrame({"h": h, "n": n})
 
     counted = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
@@ -95,12 +157,17 @@ def candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for t, text in zip(f["t"], f["text"], strict=True):
-                words = words_of(text)
-                rows = [(a, int(h[a]), int(k)) for k, h in enumerate(shingles(words)) if len(h) for a in np.flatnonzero(may(h)).tolist()]
-                for at in range(0, len(rows), 5_000):
-                    some = rows[at : at + 5_000]
-                    yield pd.DataFrame({"t": [t] * len(some), "at": [a for a, _, _ in some], "h": [h for _, h, _ in some], "before": [min(a, window - 1) for a, _, _ in some], "around": [b" ".join(words[max(0, a - window + 1) : a + window + 1]) for a, _, _ in some]})
+            for first, some in groups_of(f["text"]):
+                words = Words.read(some)
+                edges = np.searchsorted(words.of, np.arange(len(some) + 1))  # each text's first word
+                for h in words.shingles():
+                    hits = np.flatnonzero((h != 0) & may(h))
+                    for k in range(0, len(hits), 5_000):
+                        at = hits[k : k + 5_000]
+                        of = words.of[at]
+                        low, high = np.maximum(at - window + 1, edges[of]), np.minimum(at + window, edges[of + 1] - 1)
+                        around = [b" ".join(words_of(words.joined[a:b])) for a, b in zip(words.starts[low], words.ends[high], strict=True)]
+                        yield pd.DataFrame({"t": f["t"].iloc[first + of].tolist(), "at": (at - edges[of]).astype(np.int32), "h": h[at], "before": (at - low).astype(np.int32), "around": around})
 
     schema = "t struct<a: bigint, b: bigint>, at int, h long, before int, around binary"
     return docs.mapInPandas(run, schema)
@@ -150,7 +217,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     per_text = small(runs.select("t", n_hit.alias("n")).join(items, "t", "left").select(F.col("t").alias(key), F.struct("n", "ids").alias(got)))
     out = base.withColumn(key, text_key("text")).join(per_text, key, "left")
     ids = F.coalesce(f"{got}.ids", F.array().cast("array<string>"))
-    out = out.withColumns({"n_words": F.coalesce(F.regexp_count("text", F.lit(WORD_SQL)), F.lit(0)).cast("long"), "n_hit": F.coalesce(f"{got}.n", F.lit(0)).cast("long"), "n_items": F.size(ids).cast("long"), "item_ids": ids})
+    out = out.withColumns({"n_words": count_words(F.col("text").cast("binary")), "n_hit": F.coalesce(f"{got}.n", F.lit(0)).cast("long"), "n_items": F.size(ids).cast("long"), "item_ids": ids})
     return out.withColumn("contaminated", F.col("n_hit") > 0).select(*base.columns, *new)
 
 
