@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,8 @@ WINDOW, STRIDE = 24, 16  # words; neighbouring windows overlap by a third
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8  # of each of the two embeddings, and of each direction
 GRAMS = (3, 4, 5)
 PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,24}")  # longer words are several pieces
+NEAR = -4.0  # logit from which on windows are moved
+NO_WORDS = -4.0  # logit of a text without words
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
 
@@ -119,14 +122,14 @@ class Scorer:
             self.table[first : first + len(fresh)] = embed(self.p, fresh) @ self.w + self.c
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
-    def windows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logit, text, first word) of every window of every text with words."""
+    def windows(self, texts: list[list[bytes]], begins: list[Iterable[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logit, text, first word) of every window of every text with words, or of those that begin at ``begins``."""
         words = [w for t in texts for w in t]
         coded = np.concatenate([self.codes(words), np.zeros(WINDOW, np.int64)])
         at, of, first, size = [], [], [], []
         base = 0
         for i, t in enumerate(texts):
-            for s in windows_of(len(t)):
+            for s in windows_of(len(t)) if begins is None else begins[i]:
                 at.append(base + s)
                 of.append(i)
                 first.append(s)
@@ -142,7 +145,7 @@ class Scorer:
         return logits, np.array(of, np.int64), np.array(first, np.int64)
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
-        """The highest window logit of each text; a text without words gets the output's bias."""
+        """The highest window logit of each text; a text without words, which says nothing, gets ``NO_WORDS`` or less."""
         out = np.full(len(texts), -np.inf)
         at = 0
         while at < len(texts):  # texts together, up to some 50,000 words
@@ -150,10 +153,17 @@ class Scorer:
             while end < len(texts) and (end == at or total + len(texts[end]) <= 50_000):
                 total += len(texts[end])
                 end += 1
-            logits, of, _ = self.windows(texts[at:end])
+            logits, of, first = self.windows(texts[at:end])
             np.maximum.at(out, of + at, logits)
+            # a run of toxic words may lie across two windows, so windows are moved where one comes near
+            finer: list[set[int]] = [set() for _ in range(at, end)]
+            for i, s in zip(of[logits > NEAR].tolist(), first[logits > NEAR].tolist(), strict=True):
+                finer[i].update(min(max(s + by, 0), max(len(texts[at + i]) - WINDOW, 0)) for by in range(4 - STRIDE, STRIDE, 4))
+            if any(finer):
+                logits, of, _ = self.windows(texts[at:end], [sorted(f) for f in finer])
+                np.maximum.at(out, of + at, logits)
             at = end
-        return np.where(np.isinf(out), min(float(self.p["out_b"]), 0.0), out)
+        return np.where(np.isinf(out), min(float(self.p["out_b"]), NO_WORDS), out)
 
 
 def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, size: np.ndarray, y: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
@@ -202,24 +212,12 @@ def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, s
     return g
 
 
-def lean(texts: list[list[bytes]], y: np.ndarray, p: dict[str, np.ndarray], prior: float = 10.0) -> None:
-    """Sets one dimension of each embedding to how its bucket leans to toxic documents, as shrunk log-odds."""
-    seen = {k: np.zeros((2, BUCKETS), np.float32) for k in ("word", "gram")}
-    for t, label in zip(texts, y, strict=True):
-        if t:
-            slot, grams, mask = word_inputs(list(dict.fromkeys(t)))
-            seen["word"][int(label), np.unique(slot)] += 1
-            seen["gram"][int(label), np.unique(grams[mask])] += 1
-    base = max(y.mean(), 1e-3)
-    for k, n in seen.items():
-        p[k][:, 0] = np.log((n[1] + prior * base) / (n.sum(axis=0) + prior) / base)
-
-
 def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, least_steps: int = 200, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.3, seed: int = 3) -> bytes:
     """The network of a bounded sample (text, y), as bytes.
 
-    A toxic document is taken to be toxic in its highest-scoring windows only, so in each round the network scores all
-    overlapping windows and learns from the highest one of each document, and from one random window of clean ones.
+    A toxic document is taken to be toxic in its highest-scoring windows only, so in each round but the first the network
+    scores all overlapping windows and learns from the highest one of each document, and from one random window of clean
+    ones; the first round draws windows. All parameters start at random.
     Few documents make small batches and more rounds, so that there are at least ``least_steps`` updates. Without both
     classes the network is constant.
     """
@@ -231,26 +229,19 @@ def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, least_steps: in
         p["out"][:] = 0
         p["out_b"] = np.float32(np.log(share / (1 - share)))
         return pickle.dumps(p)
-    lean(texts, y, p)
     first, second = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     step, some = 0, sum(map(bool, texts)) + int((y == 0).sum())
     batch = min(batch, max(16, some // 16))
     rounds = max(rounds, -(-least_steps * batch // some))
     for turn in range(rounds):
-        if turn == 0:  # where the embeddings lean most
-            chosen = []
-            for i, t in enumerate(texts):
-                if t:
-                    x = embed(p, t)
-                    pull = np.sort(np.lib.stride_tricks.sliding_window_view(np.concatenate([x[:, 0] + x[:, WIDTH], np.full(WINDOW, -9)]), WINDOW)[windows_of(len(t))], axis=1)[:, -2:].sum(axis=1)
-                    chosen.append((i, windows_of(len(t))[int(pull.argmax())]))
-        else:
-            scorer, chosen = Scorer(p), []
-            for at in range(0, len(texts), 100):
-                logits, of, begins = scorer.windows(texts[at : at + 100])
-                for i in np.unique(of):
-                    own = np.flatnonzero(of == i)
-                    chosen.append((at + int(i), int(begins[own[logits[own].argmax()]])))
+        scorer, chosen = Scorer(p), []
+        for at in range(0, len(texts), 100):
+            logits, of, begins = scorer.windows(texts[at : at + 100])
+            for i in np.unique(of):
+                own = np.flatnonzero(of == i)
+                # nothing is known at first, so the first windows are drawn
+                best = own[logits[own].argmax()] if turn else g.choice(own)
+                chosen.append((at + int(i), int(begins[best])))
         chosen += [(i, int(g.choice(windows_of(len(texts[i]))))) for i, _ in chosen if not y[i]]
         order = g.permutation(len(chosen))
         for at in range(0, len(order), batch):
@@ -277,8 +268,9 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, m
 def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
     """Adds score (0 to 1, higher: more toxic) and predicted (1 if score >= ``threshold``) to every row of ``docs`` (text).
 
-    Every word of the text lies in some window; the score is that of the highest window. Null and empty texts have no
-    window and a score of at most a half. Only the text counts; rows are kept as they are; other columns stay and
+    Every word of the text lies in some window of 24 words, of which one begins at every 16th word, and around windows with
+    a logit over ``NEAR`` at every fourth; the score is that of the highest window. Null and empty texts have no
+    window and a score under 0.02, so they are never predicted toxic; ties have equal scores. Only the text counts; rows are kept as they are; other columns stay and
     those of the two names are replaced.
     """
     base = docs.drop("score", "predicted")
