@@ -15,16 +15,23 @@ from pairwright.llm.components import components
 
 def usable(v: Column) -> Column:
     """True for vectors without null or non-finite components that aren't zero."""
-    big = F.lit(3.5e38).cast("double")
-    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < big))
+    ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != F.lit(float("inf"))))
     return F.coalesce(v.isNotNull() & (F.size(v) > 0) & ok & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
+    """Unit vectors; each is scaled by its largest component first, so that no square over- or underflows."""
     x = np.stack(vectors.to_list()).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def label_key(vectors: DataFrame, label: str = "label") -> Column:
+    """A label of any type as text; equal labels have equal texts (0.0 and -0.0 are equal)."""
+    plain = F.col(label) + F.lit(0) if dict(vectors.dtypes)[label] in ("float", "double") else F.col(label)
+    return plain.cast("string") if dict(vectors.dtypes)[label].split("<")[0] not in ("array", "struct", "map") else F.to_json(F.struct(F.col(label)))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
     """k unit centroids of unit vectors; an empty cell takes a vector that fits its own cell worst."""
     g = np.random.default_rng(seed)
@@ -41,7 +48,7 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) ->
     return c
 
 
-def fit_cells(distinct: DataFrame, cell_rows: int, sample_each: int, most_cells: int) -> dict[tuple[int, int], np.ndarray]:
+def fit_cells(distinct: DataFrame, cell_rows: int, sample_each: int, most_cells: int) -> dict[tuple[str, int], np.ndarray]:
     """Centroids by (label, dimension) where a label has over ``cell_rows`` vectors; at most ``most_cells`` in all.
 
     They are fitted on about ``sample_each`` vectors a cell, picked by hash, one task for each label.
@@ -52,20 +59,20 @@ def fit_cells(distinct: DataFrame, cell_rows: int, sample_each: int, most_cells:
         return {}
     scale = min(1.0, most_cells / sum(-(-r["count"] // cell_rows) for r in rows))
     plan = [(r["label"], r["dim"], max(2, int(-(-r["count"] // cell_rows) * scale)), r["count"]) for r in rows]
-    wanted = distinct.sparkSession.createDataFrame([(a, b, k, min(1.0, sample_each * k / n)) for a, b, k, n in plan], "label int, dim int, k int, part double")
+    wanted = distinct.sparkSession.createDataFrame([(a, b, k, min(1.0, sample_each * k / n)) for a, b, k, n in plan], "label string, dim int, k int, part double")
     picked = distinct.withColumn("dim", F.size("embedding")).join(F.broadcast(wanted), ["label", "dim"]).where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) < F.col("part") * 1_000_003)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         c = spherical_kmeans(unit(rows.sort_values("rid")["embedding"]), int(rows["k"].iloc[0]))
         return pd.DataFrame({"label": rows["label"].iloc[0], "dim": rows["dim"].iloc[0], "centroid": list(c)})
 
-    out: dict[tuple[int, int], list] = {}
-    for r in picked.groupBy("label", "dim").applyInPandas(fit, "label int, dim int, centroid array<double>").collect():
+    out: dict[tuple[str, int], list] = {}
+    for r in picked.groupBy("label", "dim").applyInPandas(fit, "label string, dim int, centroid array<double>").collect():
         out.setdefault((r[0], r[1]), []).append(r[2])
     return {k: np.array(v) for k, v in out.items()}
 
 
-def cells(distinct: DataFrame, centroids: dict[tuple[int, int], np.ndarray], threshold: float) -> DataFrame:
+def cells(distinct: DataFrame, centroids: dict[tuple[str, int], np.ndarray], threshold: float) -> DataFrame:
     """(label, dim, cell, host, rid, n, embedding): each vector in its nearest cell as host, and as guest in every cell
     where a vector within the threshold could live.
 
@@ -78,7 +85,7 @@ def cells(distinct: DataFrame, centroids: dict[tuple[int, int], np.ndarray], thr
         for f in frames:
             f["dim"] = f["embedding"].map(len)
             for key, part in f.groupby(["label", "dim"], sort=False):
-                c = held().get((int(key[0]), int(key[1])))
+                c = held().get((key[0], int(key[1])))
                 if c is None:
                     yield part.assign(cell=0, host=True)
                     continue
@@ -91,7 +98,7 @@ def cells(distinct: DataFrame, centroids: dict[tuple[int, int], np.ndarray], thr
                     row, cell = np.nonzero(gap <= reach * apart + 1e-9)
                     yield some.iloc[row].assign(cell=cell, host=cell == own[row])
 
-    schema = "label int, dim int, cell int, host boolean, rid long, n long, embedding " + dict(distinct.dtypes)["embedding"]
+    schema = "label string, dim int, cell int, host boolean, rid long, n long, embedding " + dict(distinct.dtypes)["embedding"]
     return distinct.select("label", "embedding", "n", "rid").mapInPandas(lambda frames: (f[["label", "dim", "cell", "host", "rid", "n", "embedding"]] for f in place(frames)), schema)
 
 
@@ -120,7 +127,7 @@ def compare(frames: Iterable[pd.DataFrame], threshold: float, strip: int = 512)
 def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int = 2000, block_rows: int = 4096, sample_each: int = 20, most_cells: int = 4096) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors`` (vec_id, embedding, label).
 
-    Vectors link if their labels are equal and not null, and their cosine is at least ``threshold``. n_links: other rows
+    Labels may be of any type. Vectors link if their labels are equal and not null, and their cosine is at least ``threshold``. n_links: other rows
     linked directly; component_id: smallest vec_id reachable, itself included; kept: vec_id is component_id. Vectors that
     are null, empty, zero, or hold null or non-finite components, and those of null label, link with nothing; vectors
     of different lengths don't link. Equal vectors are compared once and counted as often as they occur. Repeated rows
@@ -128,7 +135,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
 
     The centroids come from a bounded sample; every vector is placed. Large cells are dealt over pairs of sub-blocks.
     """
-    rows = vectors.select("vec_id", "embedding", F.when(usable(F.col("embedding")), F.col("label")).cast("int").alias("label"))
+    rows = vectors.select("vec_id", "embedding", F.when(usable(F.col("embedding")), label_key(vectors)).alias("label"))
     live = rows.where("label is not null")
     distinct = cut(live.groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("n")))
     distinct = cut(distinct.withColumn("rid", F.monotonically_increasing_id()))

@@ -115,5 +115,13 @@ def test_embedding_groups(llm_spark):
     assert embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_labels_and_sizes_of_any_kind(llm_spark):
+    rows = [(1, [1e-200, 2e-200], "x"), (2, [1e300, 2e300], "x"), (3, [1.0, 2.0], "y"), (4, [float("inf"), 1.0], "x"), (5, [-1e-200, -2e-200], "x"), (6, [3.0, 6.0], None)]
+    for kind, label in (("string", lambda x: x), ("double", lambda x: {"x": 0.0, "y": 1e10}.get(x)), ("long", lambda x: {"x": 2**40, "y": 7}.get(x)), ("array<int>", lambda x: {"x": [1], "y": [2]}.get(x))):
+        frame = llm_spark.createDataFrame([(i, v, label(x), "extra") for i, v, x in rows], f"vec_id long, embedding array<double>, label {kind}, cell string")
+        got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_groups(frame).collect()}
+        assert got == {1: (1, 1, True), 2: (1, 1, False), **{i: (0, i, True) for i in (3, 4, 5, 6)}}
+
+
 def test_local_components():
     assert local_components(5, np.array([4, 3]), np.array([3, 1])).tolist() == [0, 1, 2, 1, 1]
