@@ -1,13 +1,15 @@
 """Validation of JSON lines against the record schema: every rule is an expression over a VARIANT.
 
-A check takes a field's value and its location and gives the array of its errors (loc, type, msg). A missing field is a
-null column, an explicit null a null variant.
+A rule holds a check and a reading. The check takes a field's value and its location and gives the array of its errors
+(loc, type, msg); the reading gives the typed value of what the check accepts: texts that stand for numbers, booleans and
+dates become those, and what is missing gets its default. A missing field is a null column, an explicit null a null variant.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from functools import lru_cache
+from typing import NamedTuple
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,25 @@ from pairwright.functions import policy
 from pairwright.functions.text import once
 
 Check = Callable[[Column, Column], Column]
+
+
+class Origin(NamedTuple):
+    """What defaults are made of: a text that tells the line from others, and the time of the run."""
+
+    line: Column
+    now: Column
+
+    def id(self, role: str) -> Column:
+        """The default id of one part of a line; the same line gives the same id."""
+        return F.concat(F.lit("id-"), F.substring(F.sha2(F.concat_ws("|", F.lit(role), self.line), 256), 1, 32))
+
+
+class Rule(NamedTuple):
+    check: Check
+    read: Callable[[Column, Origin], Column]
+    whole: bool = False  # takes the record that the field is in, not the field
+
+
 ERRORS = "array<struct<loc:string,type:string,msg:string>>"
 
 # Calling codes of the regions that are known, with the digits of a national number.
@@ -49,26 +70,32 @@ def text(v: Column) -> Column:
     return F.try_variant_get(v, F.lit("$"), "string")
 
 
-def string(least: int = 0, more: Callable[[Column, Column], Column] | None = None) -> Check:
+def string(least: int = 0, more: Callable[[Column, Column], Column] | None = None, read: Callable[[Column], Column] = lambda s: s) -> Rule:
     def check(v: Column, loc: Column) -> Column:
         out = F.when(kind(v) != "STRING", one(loc, "string_type", "Input should be a valid string"))
         if least:
             out = out.when(F.length(text(v)) < least, one(loc, "string_too_short", f"String should have at least {least} character{'s' * (least > 1)}"))
         return out.otherwise(more(text(v), loc) if more else none())
 
-    return check
+    return Rule(check, lambda v, _: read(text(v)))
 
 
-def enum(values: tuple[str, ...]) -> Check:
+def enum(values: tuple[str, ...]) -> Rule:
     listed = ", ".join(f"'{x}'" for x in values[:-1]) + f" or '{values[-1]}'"
-    return lambda v, loc: F.when((kind(v) == "STRING") & text(v).isin(*values), none()).otherwise(one(loc, "enum", f"Input should be {listed}"))
+    return Rule(lambda v, loc: F.when((kind(v) == "STRING") & text(v).isin(*values), none()).otherwise(one(loc, "enum", f"Input should be {listed}")), lambda v, _: text(v))
+
 
+def _number(v: Column) -> Column:
+    """The number that a variant is or stands for; null if none."""
+    trimmed = F.regexp_replace(text(v), r"^\s+|\s+$", "")
+    return F.when(kind(v) == "BOOLEAN", F.when(text(v) == "true", 1.0).otherwise(0.0)).when(kind(v) == "STRING", F.expr("0D") + trimmed.try_cast("double")).otherwise(F.try_variant_get(v, F.lit("$"), "double"))
 
-def number(low: float, high: float, whole: bool) -> Check:
+
+def number(low: float, high: float, whole: bool) -> Rule:
     """A number, or a text or boolean that stands for one, within bounds."""
 
     def check(v: Column, loc: Column) -> Column:
-        value = F.when(kind(v) == "BOOLEAN", F.when(text(v) == "true", 1.0).otherwise(0.0)).otherwise(F.try_variant_get(v, F.lit("$"), "double"))
+        value = _number(v)
         name = "integer" if whole else "number"
         bad = (kind(v).isin("OBJECT", "ARRAY", "VOID"), (kind(v) == "STRING") & (~F.regexp_replace(text(v), r"^\s+|\s+$", "").rlike(r"^[+-]?\d+(?:\.0*)?$" if whole else r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$")))
         out = F.when(bad[0], one(loc, "int_type" if whole else "float_type", f"Input should be a valid {name}"))
@@ -78,17 +105,17 @@ def number(low: float, high: float, whole: bool) -> Check:
         out = out.when(value < low, one(loc, "greater_than_equal", f"Input should be greater than or equal to {low:g}"))
         return out.when(value > high, one(loc, "less_than_equal", f"Input should be less than or equal to {high:g}")).otherwise(none())
 
-    return check
+    return Rule(check, lambda v, _: _number(v).cast("int") if whole else _number(v))
 
 
-def boolean() -> Check:
-    yes = ("true", "false", "0", "1", "yes", "no", "on", "off", "t", "f", "y", "n")
+def boolean() -> Rule:
+    on, off = ("true", "1", "1.0", "yes", "on", "t", "y"), ("false", "0", "0.0", "no", "off", "f", "n")
 
     def check(v: Column, loc: Column) -> Column:
-        ok = (kind(v) == "BOOLEAN") | (kind(v).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE") & F.lower(text(v)).isin(*yes))
+        ok = (kind(v) == "BOOLEAN") | (kind(v).isin("STRING", "BIGINT", "DECIMAL", "DOUBLE") & F.lower(text(v)).isin(*on, *off))
         return F.when(ok, none()).when(kind(v).isin("OBJECT", "ARRAY", "VOID"), one(loc, "bool_type", "Input should be a valid boolean")).otherwise(one(loc, "bool_parsing", "Input should be a valid boolean, unable to interpret input"))
 
-    return check
+    return Rule(check, lambda v, _: F.lower(text(v)).isin(*on))
 
 
 def parsed_date(s: Column) -> Column:
@@ -97,7 +124,7 @@ def parsed_date(s: Column) -> Column:
     return F.when(day != "", F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def date() -> Check:
+def date() -> Rule:
     def check(v: Column, loc: Column) -> Column:
         timed = F.try_to_timestamp(F.regexp_extract(text(v), r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}.*$", 0)).isNotNull()
         out = F.when(kind(v).isin("OBJECT", "ARRAY", "VOID", "BOOLEAN"), one(loc, "date_type", "Input should be a valid date"))
@@ -105,69 +132,89 @@ def date() -> Check:
         out = out.when((kind(v) != "STRING") | timed, one(loc, "date_from_datetime_inexact", "Datetimes provided to dates should have zero time - e.g. be exact dates"))
         return out.otherwise(one(loc, "date_from_datetime_parsing", "Input should be a valid date or datetime, invalid character in year"))
 
-    return check
+    return Rule(check, lambda v, _: parsed_date(text(v)))
+
 
+def timestamp() -> Rule:
+    """A timestamp, or a number of seconds since 1970 (of milliseconds, if it is over 2e10)."""
 
-def timestamp() -> Check:
     def check(v: Column, loc: Column) -> Column:
         ok = kind(v).isin("BIGINT", "DECIMAL", "DOUBLE") | ((kind(v) == "STRING") & text(v).rlike(r"^\d{4}-\d{2}-\d{2}") & F.try_to_timestamp(text(v)).isNotNull())
         return F.when(ok, none()).when(kind(v).isin("OBJECT", "ARRAY", "VOID", "BOOLEAN"), one(loc, "datetime_type", "Input should be a valid datetime")).otherwise(one(loc, "datetime_from_date_parsing", "Input should be a valid datetime or date, invalid character in year"))
 
-    return check
+    def read(v: Column, _: Origin) -> Column:
+        n = F.try_variant_get(v, F.lit("$"), "double")
+        return F.when(kind(v) == "STRING", F.try_to_timestamp(text(v))).otherwise(F.timestamp_seconds(F.when(F.abs(n) > 2e10, n / 1000).otherwise(n)))
+
+    return Rule(check, read)
 
 
-def items(check: Check, least: int = 0) -> Check:
+def items(rule: Rule, least: int = 0) -> Rule:
     def run(v: Column, loc: Column) -> Column:
         parts = F.try_variant_get(v, F.lit("$"), "array<variant>")
-        inner = F.flatten(F.transform(parts, lambda x, i: check(x, under(loc, i))))
+        inner = F.flatten(F.transform(parts, lambda x, i: rule.check(x, under(loc, i))))
         out = F.when(kind(v) != "ARRAY", one(loc, "list_type", "Input should be a valid list"))
         if least:
             out = out.when(F.size(parts) < least, F.concat(inner, one(loc, "too_short", F.concat(F.lit(f"List should have at least {least} item{'s' * (least > 1)} after validation, not "), F.size(parts).cast("string")))))
         return out.otherwise(inner)
 
-    return run
+    return Rule(run, lambda v, o: F.transform(F.try_variant_get(v, F.lit("$"), "array<variant>"), lambda x: rule.read(x, o)))
 
 
-def required(check: Check) -> Check:
-    return lambda v, loc: F.when(v.isNull(), one(loc, "missing", "Field required")).otherwise(check(v, loc))
+def required(rule: Rule) -> Rule:
+    return Rule(lambda v, loc: F.when(v.isNull(), one(loc, "missing", "Field required")).otherwise(rule.check(v, loc)), rule.read)
 
 
-def defaulted(check: Check) -> Check:
-    """May be missing, but not null."""
-    return lambda v, loc: F.when(v.isNull(), none()).otherwise(check(v, loc))
+def defaulted(rule: Rule, value: Callable[[Origin], Column]) -> Rule:
+    """May be missing, but not null; then it has the value."""
+    return Rule(lambda v, loc: F.when(v.isNull(), none()).otherwise(rule.check(v, loc)), lambda v, o: F.when(v.isNull(), value(o)).otherwise(rule.read(v, o)))
 
 
-def optional(check: Check) -> Check:
-    return lambda v, loc: F.when(v.isNull() | F.is_variant_null(v), none()).otherwise(check(v, loc))
+def optional(rule: Rule) -> Rule:
+    return Rule(lambda v, loc: F.when(v.isNull() | F.is_variant_null(v), none()).otherwise(rule.check(v, loc)), lambda v, o: F.when(~(v.isNull() | F.is_variant_null(v)), rule.read(v, o)))
 
 
-def record(name: str, fields: dict[str, Check], more: Callable[[Column, Column], Column] | None = None) -> Check:
-    """An object; other keys are ignored. ``more`` checks fields against each other."""
+def record(name: str, fields: dict[str, Rule]) -> Rule:
+    """An object; other keys are ignored. Its errors come in the order of its fields."""
 
     def check(v: Column, loc: Column) -> Column:
-        parts = [_bound(c, field(v, f), under(loc, f)) for f, c in fields.items()]
-        if more:
-            parts.append(more(v, loc))
+        parts = [r.check(v, loc) if r.whole else _bound(r.check, field(v, f), under(loc, f)) for f, r in fields.items()]
         return F.when(kind(v) != "OBJECT", one(loc, "model_type", f"Input should be a valid dictionary or instance of {name}")).otherwise(F.concat(*parts))
 
-    return check
+    def read(v: Column, o: Origin) -> Column:
+        return F.struct(*((r.read(v, o) if r.whole else _read(r, field(v, f), o)).alias(f) for f, r in fields.items()))
+
+    return Rule(check, read)
+
+
+def _read(rule: Rule, v: Column, o: Origin) -> Column:
+    return once(v, lambda x: rule.read(x, o))
 
 
 def _bound(check: Check, v: Column, loc: Column) -> Column:
     return once(v, lambda x: check(x, loc))
 
 
-EMAIL = r"^[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+$"
+_LABEL = r"[A-Za-z0-9\x{80}-\x{10FFFF}](?:[A-Za-z0-9\x{80}-\x{10FFFF}-]{0,61}[A-Za-z0-9\x{80}-\x{10FFFF}])?"
+EMAIL = rf"^[A-Za-z0-9.!#$%&'*+/=?^_`{{|}}~\x{{80}}-\x{{10FFFF}}-]{{1,64}}@{_LABEL}(?:\.{_LABEL})+$"
+# Names of the domain system that no mail is sent to.
+SPECIAL_DOMAINS = ("arpa", "invalid", "local", "localhost", "onion", "test")
 
 
 def normal_email(s: Column) -> Column:
-    """The address in lower case; null if it is none."""
-    fine = s.rlike(EMAIL) & ~s.rlike(r"^\.|\.@|\.\.")
+    """The address in lower case; null if it is none, or one of a domain set aside for other uses. Letters of any script may
+    stand in it, but white space and control characters may not."""
+    fine = s.rlike(EMAIL) & ~s.rlike(r"(?U)^\.|\.@|\.\.|\s|\p{Cntrl}|[.][0-9]+$") & ~F.lower(s).rlike(rf"\.(?:{'|'.join(SPECIAL_DOMAINS)})$")
     return F.when(fine, F.lower(s))
 
 
+def _trimmed(s: Column) -> Column:
+    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+
+
 def normal_phone(s: Column, region: Column) -> Column:
     """E.164 form of a number, with its own + code or that of its region; null if it is none."""
+    s = _trimmed(s)
     digits = F.regexp_replace(s, r"[^0-9]", "")
     clean = ~s.rlike("[A-Za-z]") & s.rlike(r"^\+?[0-9().\s/-]+$")
     code = F.element_at(F.create_map(*(F.lit(x) for k, v in REGIONS.items() for x in (k, v[0]))), region)
@@ -181,7 +228,7 @@ def normal_phone(s: Column, region: Column) -> Column:
 
 
 def normal_region(s: Column) -> Column:
-    code = F.upper(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
+    code = F.upper(_trimmed(s))
     return F.when(code.rlike("^[A-Z]{2}$"), code)
 
 
@@ -200,7 +247,7 @@ def _phone(v: Column, loc: Column) -> Column:
     bad = one(at, "value_error", "Value error, Invalid phone number format")
     needed = one(at, "value_error", "Value error, phone_region is required for numbers without a country code")
     out = F.when(number_.isNull(), one(at, "missing", "Field required")).when(kind(number_) != "STRING", one(at, "string_type", "Input should be a valid string"))
-    return out.when(text(number_).rlike("[A-Za-z]"), bad).when(~F.startswith(text(number_), F.lit("+")) & region.isNull(), needed).when(normal_phone(text(number_), region).isNull(), bad).otherwise(none())
+    return out.when(text(number_).rlike("[A-Za-z]"), bad).when(~F.startswith(_trimmed(text(number_)), F.lit("+")) & region.isNull(), needed).when(normal_phone(text(number_), region).isNull(), bad).otherwise(none())
 
 
 def _dates(v: Column, loc: Column) -> Column:
@@ -208,16 +255,32 @@ def _dates(v: Column, loc: Column) -> Column:
     return F.when(end <= start, one(under(loc, "end_date"), "value_error", "Value error, end_date must be after start_date")).otherwise(none())
 
 
-CONTACT = record("ContactInfo", {"name": required(string(2)), "email": required(string(0, _email)), "phone_region": optional(string(0, _region)), "location": required(string(3))}, _phone)
+def _phone_read(v: Column, _: Origin) -> Column:
+    return normal_phone(text(field(v, "phone")), normal_region(text(field(v, "phone_region"))))
+
+
+def _end_check(v: Column, loc: Column) -> Column:
+    return F.concat(_bound(_END.check, field(v, "end_date"), under(loc, "end_date")), _dates(v, loc))
+
+
+_END = optional(date())
+_TEXTS = lambda _: F.array().cast("array<string>")
+_NOW = lambda o: o.now
+_NO = lambda _: F.lit(False)
+
+CONTACT = record("ContactInfo", {"name": required(string(2)), "email": required(string(0, _email, normal_email)), "phone_region": optional(string(0, _region, normal_region)), "phone": Rule(_phone, _phone_read, True), "location": required(string(3))})
 EDUCATION = record("Education", {"institution": required(string(3)), "degree": required(string(3)), "field_of_study": required(string(3)), "graduation_year": optional(number(1950, 2030, True)), "gpa": optional(number(0, 4, False))})
-EXPERIENCE = record("Experience", {"company": required(string(2)), "position": required(string(2)), "start_date": required(date()), "end_date": optional(date()), "description": required(string(20)), "achievements": defaulted(items(string()))}, _dates)
+EXPERIENCE = record("Experience", {"company": required(string(2)), "position": required(string(2)), "start_date": required(date()), "end_date": Rule(_end_check, lambda v, o: _END.read(field(v, "end_date"), o), True), "description": required(string(20)), "achievements": defaulted(items(string()), _TEXTS)})
 SKILL = record("Skill", {"name": required(string(2)), "category": required(string(3)), "proficiency": required(enum(policy.PROFICIENCIES))})
-RESUME_METADATA = record("ResumeMetadata", {"trace_id": defaulted(string(3)), "generated_at": defaulted(timestamp()), "prompt_template": defaulted(string(3)), "fit_level": optional(enum(policy.FIT_LEVELS)), "writing_style": defaulted(string(3)), "used_fallback": defaulted(boolean())})
-RESUME = record("Resume", {"contact_info": required(CONTACT), "education": required(items(EDUCATION, 1)), "experience": required(items(EXPERIENCE, 1)), "skills": required(items(SKILL, 3)), "metadata": defaulted(RESUME_METADATA), "summary": optional(string(20))})
-REQUIREMENTS = record("JobRequirements", {"required_skills": required(items(string(), 1)), "preferred_skills": defaulted(items(string())), "experience_level": required(enum(policy.SENIORITIES)), "education_requirements": required(string(5)), "years_experience": optional(number(0, 30, True))})
-JOB_METADATA = record("JobMetadata", {"trace_id": defaulted(string(3)), "generated_at": defaulted(timestamp()), "is_niche_role": defaulted(boolean()), "used_fallback": defaulted(boolean())})
-JOB = record("JobDescription", {"company": required(string(2)), "industry": required(string(2)), "company_size": required(string(2)), "position": required(string(2)), "location": required(string(3)), "description": required(string(50)), "requirements": required(REQUIREMENTS), "metadata": required(JOB_METADATA), "salary_range": optional(string(5)), "benefits": optional(items(string()))})
-PAIR = record("ResumeJobPair", {"resume": required(RESUME), "job_description": required(JOB), "fit_level": optional(enum(policy.FIT_LEVELS)), "trace_id": defaulted(string(3)), "analysis_date": defaulted(timestamp())})
+RESUME_METADATA = record("ResumeMetadata", {"trace_id": defaulted(string(3), lambda o: o.id("resume")), "generated_at": defaulted(timestamp(), _NOW), "prompt_template": defaulted(string(3), lambda _: F.lit("baseline_v1")), "fit_level": optional(enum(policy.FIT_LEVELS)), "writing_style": defaulted(string(3), lambda _: F.lit("professional")), "used_fallback": defaulted(boolean(), _NO)})
+RESUME = record("Resume", {"contact_info": required(CONTACT), "education": required(items(EDUCATION, 1)), "experience": required(items(EXPERIENCE, 1)), "skills": required(items(SKILL, 3)), "metadata": defaulted(RESUME_METADATA, lambda o: RESUME_METADATA.read(F.parse_json(F.lit("{}")), o)), "summary": optional(string(20))})
+REQUIREMENTS = record("JobRequirements", {"required_skills": required(items(string(), 1)), "preferred_skills": defaulted(items(string()), _TEXTS), "experience_level": required(enum(policy.SENIORITIES)), "education_requirements": required(string(5)), "years_experience": optional(number(0, 30, True))})
+JOB_METADATA = record("JobMetadata", {"trace_id": defaulted(string(3), lambda o: o.id("job")), "generated_at": defaulted(timestamp(), _NOW), "is_niche_role": defaulted(boolean(), _NO), "used_fallback": defaulted(boolean(), _NO)})
+JOB = record(
+    "JobDescription",
+    {"company": required(string(2)), "industry": required(string(2)), "company_size": required(string(2)), "position": required(string(2)), "location": required(string(3)), "description": required(string(50)), "requirements": required(REQUIREMENTS), "metadata": required(JOB_METADATA), "salary_range": optional(string(5)), "benefits": optional(items(string()))},
+)
+PAIR = record("ResumeJobPair", {"resume": required(RESUME), "job_description": required(JOB), "fit_level": optional(enum(policy.FIT_LEVELS)), "trace_id": defaulted(string(3), lambda o: o.id("pair")), "analysis_date": defaulted(timestamp(), _NOW)})
 RECORDS = {"resumes": RESUME, "jobs": JOB, "pairs": PAIR}
 
 
@@ -243,7 +306,7 @@ def _rules(gateway: int) -> Column:
     parsed = F.try_parse_json("value")
     found = F.when(parsed.isNull(), one(F.lit(""), "json_invalid", "Invalid JSON"))
     for name, check in RECORDS.items():
-        found = found.when(F.col("record_type") == name, _bound(check, parsed, F.lit("")))
+        found = found.when(F.col("record_type") == name, _bound(check.check, parsed, F.lit("")))
     return F.transform(F.coalesce(found, none()), lambda e: F.struct(_shown(e["loc"]).alias("loc"), e["type"].alias("type"), e["msg"].alias("msg"), category(e).alias("category")))
 
 
@@ -284,8 +347,14 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("error_count = 0"), checked.where("error_count > 0")
 
 
-def normalised_contact(record_: Column) -> Column:
-    """Contact of a valid resume with its email in lower case and its phone in E.164 form."""
-    c = field(record_, "contact_info")
-    region = normal_region(text(field(c, "phone_region")))
-    return F.struct(text(field(c, "name")).alias("name"), normal_email(text(field(c, "email"))).alias("email"), region.alias("phone_region"), normal_phone(text(field(c, "phone")), region).alias("phone"), text(field(c, "location")).alias("location"))
+def typed(lines: DataFrame, record_type: str, now: str | None = None) -> DataFrame:
+    """Adds record, the typed value of each line (value) of one type; the lines must be valid.
+
+    Numbers, booleans, dates and timestamps given as texts are converted, contacts normalised, and what is missing gets its
+    default: False, the first template and style, no texts, the time of the run (``now``), and ids made from source_file
+    and line_number where the lines have them, else from their text, so that they are the same on each run.
+    """
+    line = F.concat_ws(":", "source_file", F.col("line_number").cast("string")) if {"source_file", "line_number"} <= set(lines.columns) else F.sha2("value", 256)
+    at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
+    rule = RECORDS[record_type]
+    return lines.withColumn("record", once(F.try_parse_json("value"), lambda v: once(line, lambda x: rule.read(v, Origin(x, at)))))

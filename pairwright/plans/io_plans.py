@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pairwright.operators import correction as C
 from pairwright.operators import judge as J
 from pairwright.operators import validate as V
-from pairwright.operators.labels import metrics
-from pairwright.plans.validation_plans import EXPECTED_SQL, JOB, raw_lines
+from pairwright.operators.labels import label, metrics
+from pairwright.plans.validation_plans import EXPECTED_SQL, JOB, TYPED_SQL, raw_lines
 from pairwright.sources import records as S
 from pairwright.sources.stand_ins import AS_OF, PAIRS_SQL, pairs, table
 from pairwright.streaming import review as T
@@ -62,18 +62,23 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.record_lines(spark, folder).groupBy("record_type").agg(F.count("*").alias("n"), F.max("line_number").alias("numbered"))
 
 
-@query("s1_strict_pairs", f"{EXPECTED_SQL} SELECT 'pair-' || k AS trace_id, 'good' AS fit_level FROM lines WHERE record_type = 'pairs' AND k NOT IN (SELECT k FROM errors)")
+@query("s1_strict_pairs", f"{EXPECTED_SQL}, {TYPED_SQL} SELECT CASE WHEN given THEN 'pair-' || k ELSE 'default' END AS trace_id, CASE WHEN given THEN 'good' END AS fit_level, gpa, years FROM lines JOIN typed USING (c)")
 def strict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh(spark)
     good = V.split(V.validate(raw_lines(spark, sf_dir).where("record_type = 'pairs'")))[0]
     good.select("value").write.text(f"{folder}/pairs_v1.jsonl")
-    return S.strict_pairs(V.validate(S.record_lines(spark, folder))).select("trace_id", "fit_level")
+    pairs = S.strict_pairs(V.validate(S.record_lines(spark, folder)))
+    named = F.when(F.col("trace_id").rlike("^id-[0-9a-f]{32}$"), "default").otherwise(F.col("trace_id"))
+    return pairs.select(named.alias("trace_id"), "fit_level", F.get("resume.education", 0)["gpa"].alias("gpa"), F.col("job_description.requirements.years_experience").alias("years"))
 
 
-@query("s4_valid_pairs", f"{EXPECTED_SQL} SELECT 'pair-' || k AS trace_id, 'Engineer ' || k AS position FROM lines WHERE record_type = 'pairs' AND k NOT IN (SELECT k FROM errors)")
+@query("s4_valid_pairs", f"{EXPECTED_SQL}, {TYPED_SQL} SELECT k, 'Engineer ' || k AS position, given, years > 2 AS experience_mismatch, 'baseline_v1' AS template FROM lines JOIN typed USING (c)")
 def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = S.write_records(V.split(V.validate(raw_lines(spark, sf_dir)))[0].select("record_type", "value"), fresh(spark), "1")
-    return S.typed_pairs(spark.read.parquet(path).where("record_type = 'pairs'")).select("trace_id", F.col("job_description.position").alias("position"))
+    """The typed pairs, and the label row that follows from them: with 1.45 years, half of what is asked is less up to 2."""
+    path = S.write_records(V.split(V.validate(raw_lines(spark, sf_dir)))[0].select("k", "record_type", "value"), fresh(spark), "1")
+    pairs = S.typed_pairs(spark.read.parquet(path).where("record_type = 'pairs'"))
+    flags = label(pairs, AS_OF).select("trace_id", "experience_mismatch", F.col("resume_template").alias("template"))
+    return pairs.select("trace_id", "k", F.col("job_description.position").alias("position")).join(flags, "trace_id").select("k", "position", (~F.startswith("trace_id", F.lit("id-"))).alias("given"), "experience_mismatch", "template")
 
 
 @query("s5_latest_run", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey % 3 = 2 GROUP BY 1")

@@ -86,6 +86,13 @@ JOB_DAMAGE = [
 ]
 
 
+# What a text model may write: numbers, flags and dates as texts, and no ids, times, template or style.
+LAX_PAIR = {
+    "resume": _damaged(_damaged(_damaged(RESUME, ("education", 0, "gpa"), " 3.5 "), ("contact_info", "phone"), " +1 202 555 0143"), ("metadata",), {"used_fallback": "yes"}),
+    "job_description": _damaged(_damaged(JOB, ("requirements", "years_experience"), "8"), ("requirements", "preferred_skills"), ...), "analysis_date": 1704103200,
+}
+
+
 def _cases() -> list[tuple[str, str, list]]:
     """(record type, JSON text, errors) of every kind of line; a line's kind is its customer's number modulo their count."""
     out: list[tuple[str, str, list]] = []
@@ -96,12 +103,22 @@ def _cases() -> list[tuple[str, str, list]]:
     out += [("jobs", json.dumps(_damaged(JOB, p, v)), e) for p, v, e in JOB_DAMAGE]
     for under, base, damage in (("resume", RESUME, RESUME_DAMAGE), ("job_description", JOB, JOB_DAMAGE)):
         out += [("pairs", json.dumps(pair | {under: _damaged(base, p, v)}), [(f"{under}.{loc}", t, c) for loc, t, c in e]) for p, v, e in damage[::3]]
+    out += [("pairs", json.dumps(LAX_PAIR), []), ("pairs", json.dumps(_damaged(LAX_PAIR, ("job_description", "requirements", "years_experience"), True)), [])]
+    out += [("resumes", json.dumps(_damaged(_damaged(RESUME, ("contact_info", "location"), "x"), ("contact_info", "phone"), "call me")), [("contact_info.phone", "value_error", "format_violations"), ("contact_info.location", "string_too_short", "type_mismatches")])]
+    out += [("resumes", json.dumps(_damaged(_damaged(RESUME, ("experience", 1, "end_date"), "2017-01-01"), ("experience", 1, "description"), "x")), [("experience.1.end_date", "value_error", "logical_inconsistencies"), ("experience.1.description", "string_too_short", "type_mismatches")])]
     out += [("pairs", json.dumps(pair | {"fit_level": "great", "trace_id": "x"}), [("fit_level", "enum", "enum_mapping_failures"), ("trace_id", "string_too_short", "type_mismatches")]), ("pairs", json.dumps(pair | {"analysis_date": "noon"}), [("analysis_date", "datetime_from_date_parsing", "type_mismatches")])]
     return out
 
 
 CASES = _cases()
 N = len(CASES)
+#: What valid pairs are read as, by their case: id given, gpa, years asked, niche, fallback, template, number of preferred skills, date.
+TYPED = {
+    next(i for i, (t, v, e) in enumerate(CASES) if t == "pairs" and not e): (True, 3.3, 5, True, False, "baseline_v1", 0, "2024-01-01 10:00:00"),
+    next(i for i, (t, v, e) in enumerate(CASES) if v == json.dumps(LAX_PAIR)): (False, 3.5, 8, True, True, "baseline_v1", 0, "2024-01-01 10:00:00"),
+    next(i for i, (t, v, e) in enumerate(CASES) if v == json.dumps(LAX_PAIR)) + 1: (False, 3.5, 1, True, True, "baseline_v1", 0, "2024-01-01 10:00:00"),
+}
+TYPED_SQL = "typed(c, given, gpa, years, niche, fallback, template, n_preferred, date) AS (VALUES " + ", ".join(f"({c}, {g}, {gpa}::DOUBLE, {y}, {n}, {f}, '{t}', {m}, TIMESTAMP '{d}')" for c, (g, gpa, y, n, f, t, m, d) in TYPED.items()) + ")"
 EXPECTED_SQL = (
     f"WITH kinds(c, record_type) AS (VALUES {', '.join(f"({i}, '{t}')" for i, (t, _, _) in enumerate(CASES))}), "
     f"faults(c, pos, loc, type, category) AS (VALUES {', '.join(f"({i}, {j}, '{loc}', '{t}', '{cat}')" for i, (_, _, e) in enumerate(CASES) for j, (loc, t, cat) in enumerate(e))}), "
@@ -174,7 +191,26 @@ def record_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("v09_valid_contacts", f"{EXPECTED_SQL} SELECT k, 'jo.kim' || k || '@example.com' AS email, 'US' AS phone_region, '+12025550143' AS phone FROM lines WHERE record_type = 'resumes' AND k NOT IN (SELECT k FROM errors)")
 def valid_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = V.split(checked(spark, sf_dir))[0].where("record_type = 'resumes'")
-    return valid.select("k", V.normalised_contact(F.try_parse_json("value")).alias("c")).select("k", "c.email", "c.phone_region", "c.phone")
+    return V.typed(valid, "resumes").select("k", F.col("record.contact_info").alias("c")).select("k", "c.email", "c.phone_region", "c.phone")
+
+
+def typed_columns(pairs: DataFrame) -> DataFrame:
+    """What TYPED states of typed pairs, with the pair's and the job's default ids of their lines."""
+    metadata = F.col("resume.metadata")
+    return pairs.select(
+        "k", F.when(~F.startswith("trace_id", F.lit("id-")), F.col("trace_id")).alias("given_id"), (F.length("trace_id") > 3).alias("has_id"), F.get("resume.education", 0)["gpa"].alias("gpa"), F.col("job_description.requirements.years_experience").alias("years"),
+        F.col("job_description.metadata.is_niche_role").alias("niche"), metadata["used_fallback"].alias("fallback"), metadata["prompt_template"].alias("template"), F.size("job_description.requirements.preferred_skills").alias("n_preferred"),
+        F.col("analysis_date").cast("timestamp_ntz").alias("date"), (metadata["generated_at"] == F.lit("2024-05-05").cast("timestamp")).alias("stamped"), F.get("resume.experience", 1)["start_date"].alias("first_day"), F.col("resume.contact_info.phone").alias("phone"), F.get("resume.education", 0)["graduation_year"].alias("graduated"),
+    )
+
+
+TYPED_ROWS_SQL = "SELECT k, CASE WHEN given THEN 'pair-' || k END AS given_id, true AS has_id, gpa, years, niche, fallback, template, n_preferred, date, true AS stamped, DATE '2018-01-15' AS first_day, '+12025550143' AS phone, 2015 AS graduated FROM lines JOIN typed USING (c)"
+
+
+@query("v09_typed_pairs", f"{EXPECTED_SQL}, {TYPED_SQL} {TYPED_ROWS_SQL}")
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    valid = V.split(checked(spark, sf_dir))[0].where("record_type = 'pairs'")
+    return typed_columns(V.typed(valid, "pairs", "2024-05-05").select("k", "record.*"))
 
 
 @query("v10_summary", f"{EXPECTED_SQL} SELECT count(*) AS total, count(*) FILTER (k NOT IN (SELECT k FROM errors)) AS valid, count(*) FILTER (k IN (SELECT k FROM errors)) AS invalid, avg((k NOT IN (SELECT k FROM errors))::INT::DOUBLE) AS success_rate FROM lines")

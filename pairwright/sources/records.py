@@ -7,15 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-PAIR_SCHEMA = """trace_id string, fit_level string, analysis_date string,
-resume struct<contact_info struct<name string, email string, phone_region string, phone string, location string>,
-  education array<struct<institution string, degree string, field_of_study string, graduation_year string, gpa double>>,
-  experience array<struct<company string, position string, start_date string, end_date string, description string, achievements array<string>>>,
-  skills array<struct<name string, category string, proficiency string>>, metadata struct<prompt_template string, writing_style string, used_fallback boolean>, summary string>,
-job_description struct<company string, industry string, company_size string, position string, location string, description string,
-  requirements struct<required_skills array<string>, preferred_skills array<string>, experience_level string, education_requirements string, years_experience double>,
-  metadata struct<is_niche_role boolean>, salary_range string, benefits array<string>>"""
-
+from pairwright.operators.validate import typed
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; where it is unset, a temporary one."""
@@ -23,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -55,13 +49,10 @@ def record_lines(spark: SparkSession, folder: str) -> DataFrame:
     return numbered.where(F.trim("value") != "").select(F.substring_index("source_file", "_", 1).alias("record_type"), "source_file", "file_path", "line_number", "value")
 
 
-def typed_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs from valid lines (value), with dates as dates."""
-    rows = lines.select(*(c for c in lines.columns if c != "value"), F.from_json("value", PAIR_SCHEMA).alias("p")).select("*", "p.*").drop("p")
-    day = lambda c: F.to_date(F.substring(c, 1, 10))
-    jobs = F.transform("resume.experience", lambda e: F.struct(e["company"].alias("company"), e["position"].alias("position"), day(e["start_date"]).alias("start_date"), day(e["end_date"]).alias("end_date"), e["description"].alias("description"), F.coalesce(e["achievements"], F.array().cast("array<string>")).alias("achievements")))
-    resume = F.col("resume").withField("experience", jobs).withField("metadata", F.struct(F.coalesce("resume.metadata.prompt_template", F.lit("baseline_v1")).alias("prompt_template"), F.coalesce("resume.metadata.writing_style", F.lit("professional")).alias("writing_style"), F.coalesce("resume.metadata.used_fallback", F.lit(False)).alias("used_fallback")))
-    return rows.withColumn("resume", resume)
+def typed_pairs(lines: DataFrame, now: str | None = None) -> DataFrame:
+    """Pairs from valid lines (value), typed by the validator's own readings, with their defaults; see ``typed``."""
+    rows = typed(lines, "pairs", now)
+    return rows.select(*(c for c in lines.columns if c != "value"), "record.*")
 
 
 def strict_pairs(checked: DataFrame) -> DataFrame:
@@ -78,8 +69,21 @@ def write_records(df: DataFrame, folder: str, run_ts: str, form: str = "parquet"
     return path
 
 
+def missing_inputs(spark: SparkSession, patterns: dict[str, str]) -> None:
+    """Raises one error that names all inputs of which no file fits its pattern."""
+    conf = spark._jsc.hadoopConfiguration()
+    absent = []
+    for name, pattern in patterns.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        if not path.getFileSystem(conf).globStatus(path):
+            absent.append(name)
+    if absent:
+        raise FileNotFoundError("missing inputs: " + ", ".join(absent))
+
+
 def latest(spark: SparkSession, folder: str, form: str = "parquet", schema: str | None = None) -> DataFrame:
-    """The rows of the run with the highest stamp."""
+    """The rows of the run with the highest stamp; a folder that isn't there or is empty is an error that names it."""
+    missing_inputs(spark, {folder: f"{folder}/run_ts=*"})
     rows = (spark.read.schema(schema) if schema else spark.read).format(form).load(folder)
     last = rows.agg(F.max("run_ts")).collect()[0][0]
     return rows.where(F.col("run_ts") == last)

@@ -11,11 +11,20 @@ from pairwright.operators.validate import validate
 from pairwright.sources.records import typed_pairs
 
 
+def checked_pairs(lines: DataFrame) -> DataFrame:
+    """Pair lines (value) with their errors; blank ones are left out."""
+    return validate(lines.where(F.trim("value") != "").select(F.lit("pairs").alias("record_type"), "value"))
+
+
+def reviewed(checked: DataFrame, as_of: str | None = None, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(adjudications, invalid) of validated pair lines."""
+    pairs = typed_pairs(checked.where("error_count = 0").select("value"), now)
+    return adjudicate(label(pairs, as_of)), checked.where("error_count > 0").select("value", "errors", "error_categories")
+
+
 def review(lines: DataFrame, as_of: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(adjudications, invalid) of pair lines (value), batch or streaming; both are stateless."""
-    checked = validate(lines.where(F.trim("value") != "").select(F.lit("pairs").alias("record_type"), "value"))
-    pairs = typed_pairs(checked.where("error_count = 0").select("value"))
-    return adjudicate(label(pairs, as_of)), checked.where("error_count > 0").select("value", "errors", "error_categories")
+    return reviewed(checked_pairs(lines), as_of)
 
 
 def review_stream(spark: SparkSession, source: str, out: str, checkpoint: str, as_of: str | None = None) -> None:
@@ -25,11 +34,11 @@ def review_stream(spark: SparkSession, source: str, out: str, checkpoint: str, a
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        good, bad = review(batch, as_of)
+        checked = checked_pairs(batch).persist()
+        good, bad = reviewed(checked, as_of)
         good.write.mode("overwrite").parquet(f"{out}/adjudications/batch={number}")
         bad.write.mode("overwrite").parquet(f"{out}/invalid/batch={number}")
-        batch.unpersist()
+        checked.unpersist()
 
     spark.readStream.text(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
