@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairwright.llm.common import shared
+from pairwright.llm.common import shared, unused
 
 
 class Rule(NamedTuple):
@@ -102,14 +102,15 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url", default: s
         found = [best_rule(trie(), h, p) for h, p in zip(hosts, paths, strict=True)]
         return pd.DataFrame({"rule": [r.text if r else None for r in found], "verdict": [r.verdict if r else default for r in found]}, dtype=object)
 
-    return parted.withColumn("__judged", judge("host", "path")).select(*parted.columns, "__judged.rule", "__judged.verdict")
+    judged = unused(parted, "judged")
+    return parted.withColumn(judged, judge("host", "path")).select(*parted.columns, f"{judged}.rule", f"{judged}.verdict")
 
 
 def judge_by_join(parted: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """The same judgement for a rule table (verdict, host, path) of any size: every distinct (host, path) is joined with
     the rules on each suffix of its host and each whole-segment prefix of its path; the winner is an aggregate."""
     keys = parted.select("host", "path").distinct()
-    labels = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.array_append(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))"), F.lit("")))
+    labels = F.when(F.col("host") == "", F.array(F.lit(""))).otherwise(F.array_append(F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, size(split(host, '[.]'))), '.'))"), F.lit("")))
     stems = F.expr("transform(sequence(0, size(split(path, '/')) - 1), i -> array_join(slice(split(path, '/'), 1, i), '/'))")
     asked = keys.withColumn("h", F.explode(labels)).withColumn("stem", F.explode(stems)).withColumn("n_stem", F.size(F.split("stem", "/")))
     ends = F.expr("array_join(slice(split(path, '/'), 1, size(split(path, '/')) - 1), '/')")

@@ -1,8 +1,11 @@
 """Learned operators: gradients against differences, and accuracy on rows held out."""
 
+import math
 import pickle
 import random
+import time
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -116,6 +119,127 @@ def test_extract(llm_spark, sf):
         assert r.text == "\n".join(b.text for b in H.blocks_of(r.html) if "article" in b.path)
 
 
+@pytest.mark.parametrize("between", ['<svg class="i"/>', '<svg-icon name="x"></svg-icon>', "<template-part></template-part>", "<select>", "<svg><path d='>'/></svg>", "<script>a</p>b</script>", "<!-- <p>x -->", "<noscript>", "<p title='a>b'></p>", "<style>p{}</style >"])
+def test_no_text_is_lost(between):
+    page = f"<article><p>one</p>{between}<p>two</p><p>three</p></article><footer>f</footer>"
+    assert [(b.text, "article" in b.path) for b in H.blocks_of(page)] == [("one", True), ("two", True), ("three", True), ("f", False)]
+
+
+class Plain(HTMLParser):
+    """Blocks by the standard library's parser, for pages of well-formed elements."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.run, self.out, self.raw = [], "", [], False
+
+    def flush(self):
+        if text := " ".join(self.run.split()):
+            self.out.append((tuple(self.open), text))
+        self.run = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.raw = tag == "script"
+        if tag not in H.INLINE and not self.raw:
+            self.flush()
+            self.open.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in H.INLINE and tag != "script":
+            self.flush()
+            self.open.pop()
+        self.raw = False
+
+    def handle_data(self, data):
+        if not self.raw:
+            self.run += data
+
+
+def test_blocks_are_brute_force():
+    g = random.Random(5)
+
+    def page(depth):
+        if depth == 0 or g.random() < 0.2:
+            return g.choice(["some text", " a &amp; b ", "<b>bold</b>text", "x &lt;y", "é\u00a0ü", "<script>if (a < b) {}</script>", "<!-- c -->", ""])
+        tag = g.choice(["div", "section", "article", "nav", "ul", "h2", "table"])
+        return f"<{tag} class='k{g.randint(0, 3)} \">'>" + "".join(page(depth - 1) for _ in range(g.randint(0, 4))) + f"</{tag}>"
+
+    for _ in range(300):
+        text = page(5)
+        plain = Plain()
+        plain.feed(text)
+        plain.close()
+        plain.flush()
+        assert [(tuple(w for w in b.path if "." not in w), b.text) for b in H.blocks_of(text)] == plain.out
+
+
+@pytest.mark.parametrize("page, blocks", [("<a" * 100_000, 0), ("<a " * 100_000, 0), ('<div class="a b">x' * 50_000, 50_000), ("<div><p>" * 50_000 + "</x>" * 50_000, 0), ("<select>x" * 50_000, 50_000), ('<p ">x' * 50_000, 25_000), ("<p>x y</p>" * 200_000, 200_000)])
+def test_long_and_broken_pages(page, blocks):
+    began = time.time()
+    found = H.blocks_of(page)
+    H.Inputs().of(found[-50_000:])
+    assert len(found) == blocks and time.time() - began < 60
+
+
+def test_long_pages_are_scored_alike():
+    p, inputs = H.start(3), H.Inputs()
+    blocks = H.blocks_of("<nav><ul><li>a<li>b</ul></nav><article class='post main'><p>x<p>y<h2>z</h2></article>" * 40)
+    x, mask = H.padded([inputs.of(blocks)])
+    assert np.allclose(H.logits(p, x, mask)[:, 0], H.long_logits(p, inputs, blocks, part=7), atol=1e-5)
+
+
+def test_scores_by_hand():
+    """FTRL and scoring against plain loops over dictionaries."""
+    g = random.Random(2)
+    rows = [{k: g.random() for k in g.sample(range(30), 5)} for _ in range(60)]
+    y = np.array([float(3 in r or 7 in r) for r in rows])
+    got, bias = Q.train_ftrl([(np.array(list(r)), np.array(list(r.values()))) for r in rows], y, epochs=3, bits=5)
+    z, n, zb, nb, a, b1, l1, l2 = {}, {}, 0.0, 0.0, 0.5, 1.0, 0.02, 0.02
+
+    def weight(k):
+        return 0.0 if abs(z.get(k, 0)) <= l1 else (math.copysign(l1, z[k]) - z[k]) / ((b1 + math.sqrt(n[k])) / a + l2)
+
+    order = np.random.default_rng(5)
+    for _ in range(3):
+        for i in order.permutation(60):
+            w, w0 = {k: weight(k) for k in rows[i]}, -zb / ((b1 + math.sqrt(nb)) / a)
+            e = 1 / (1 + math.exp(-(sum(w[k] * v for k, v in rows[i].items()) + w0))) - y[i]
+            for k, v in rows[i].items():
+                d = e * v
+                z[k] = z.get(k, 0) + d - (math.sqrt(n.get(k, 0) + d * d) - math.sqrt(n.get(k, 0))) / a * w[k]
+                n[k] = n.get(k, 0) + d * d
+            zb += e - (math.sqrt(nb + e * e) - math.sqrt(nb)) / a * w0
+            nb += e * e
+    assert np.allclose(got, [weight(k) for k in range(32)]) and abs(bias + zb / ((b1 + math.sqrt(nb)) / a)) < 1e-9
+
+
+def test_toxicity_score_by_hand():
+    """The score of a text: the highest of its windows, each by a loop over one window's words."""
+    p = T.start(5)
+    words = [f"w{i % 13}".encode() for i in range(70)]
+
+    def one(run):
+        x = T.embed(p, run)
+        states = []
+        for d, line in (("f", range(len(run))), ("b", range(len(run) - 1, -1, -1))):
+            h, out = np.zeros(T.HIDDEN), [None] * len(run)
+            for t in line:
+                gate, back = x[t] @ p[f"w{d}"] + p[f"c{d}"], h @ p[f"u{d}"]
+                z, r = (1 / (1 + np.exp(-(gate[k : k + T.HIDDEN] + back[k : k + T.HIDDEN]))) for k in (0, T.HIDDEN))
+                h = z * h + (1 - z) * np.tanh(gate[2 * T.HIDDEN :] + r * back[2 * T.HIDDEN :])
+                out[t] = h
+            states.append(out)
+        s = np.concatenate([np.array(states[0]), np.array(states[1])], axis=1)
+        e = np.exp(np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"])
+        return float((e / e.sum()) @ s @ p["out"] + p["out_b"])
+
+    near = [one(words[s : s + T.WINDOW]) for s in T.windows_of(70)]
+    assert max(near) > T.NEAR  # so windows are moved around each that comes near
+    moved = {min(max(s + by, 0), 70 - T.WINDOW) for s, z in zip(T.windows_of(70), near) if z > T.NEAR for by in range(4 - T.STRIDE, T.STRIDE, 4)}
+    want = max(near + [one(words[s : s + T.WINDOW]) for s in moved])
+    assert abs(T.Scorer(p).scores([words])[0] - want) < 1e-4
+    assert T.Scorer(p).scores([[]])[0] <= T.NO_WORDS
+
+
 def test_layouts_not_seen():
     g = np.random.default_rng(99)
     model = pickle.loads(H.fit(pd.DataFrame({"html": [PAGE] * 3}), drawn=600))

@@ -1,7 +1,10 @@
 """Secrets and personal data against regular expressions in Python."""
 
 import hashlib
+import math
+import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -75,3 +78,118 @@ def test_private(llm_spark):
     assert marked[100] == ["zanzibarian"] and marked[200] == []
     assert pii.sanitised(found).where("doc_id = 100").first().text == "some words 0  agent [EMAIL] lives aaaaaa"
     assert pii.private_spans(docs.limit(0)).count() == 0
+
+
+ORDINARY = ["usr/local/lib/python3/site-packages", "org-example-project-module", "AbstractSingletonProxyFactoryBean", "ABCDEFGHIJKLMNOP", "123e4567-e89b-12d3-a456-426614174000"]
+
+
+def random_tokens(n):
+    g = random.Random(4)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    return ["".join(g.choices(letters, k=g.choice([16, 20, 24, 32, 40]))) for _ in range(n)] + ["ghp_" + "".join(g.choices(letters, k=36)) for _ in range(n // 10)]
+
+
+def brute_markov(text, model):
+    """The method's spans, from a plain loop over what the fixed formats leave."""
+    taken = [re.split(":", x) for x in base_secrets(text).split(",") if x]
+    left = list(text)
+    for _, s, e in taken:
+        left[int(s) : int(e)] = " " * (int(e) - int(s))
+    left = re.sub(secret_scan.UUID, " " * 36, "".join(left))
+    out = []
+    for m in re.finditer(secret_scan.CANDIDATE, left):
+        at = [secret_scan.ALPHABET.index(c) for c in m[0]]
+        mean = sum(round(model.cells[a * secret_scan.N + b], 6) for a, b in zip(at[:-1], at[1:])) / (len(at) - 1)
+        if mean > model.threshold:
+            out.append((m.start(), m.end()))
+    return out
+
+
+def test_markov_spans(llm_spark, sf):
+    tokens = secret_scan.cut(secret_scan.labelled_tokens(llm_spark.read.parquet(f"{sf}/documents.parquet")))
+    model = secret_scan.secret_model(tokens)
+    texts = ORDINARY + random_tokens(200) + TEXTS + ["id=" + " ".join(random_tokens(3)) + "/" + x for x in ORDINARY]
+    rows = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("__long", F.lit(1))
+    got = {r.doc_id: [(x.start, x.end) for x in r.markov] for r in secret_scan.scan(rows, model).collect()}
+    assert got == {i: brute_markov(t or "", model) for i, t in enumerate(texts)}
+    found = [bool(got[i]) for i in range(len(ORDINARY) + 220)]
+    assert not any(found[: len(ORDINARY)]) and sum(found[len(ORDINARY) :]) >= 0.9 * 220
+
+
+def test_many_matches_in_one_text(llm_spark):
+    text = "0123456789abcdef " * 100_000
+    rows = llm_spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    found = secret_scan.scan(rows, secret_scan.Model([0.0] * secret_scan.N**2, 1.0))
+    out = found.select(F.size("hex").alias("n"), F.element_at("hex", -1).alias("last")).first()
+    clean = secret_scan.redacted(found).first().text
+    assert out.n == 100_000 and (out.last.start, out.last.end) == (1_699_983, 1_699_999) and clean == "[SECRET] " * 100_000
+    assert time.time() - began < 120
+
+
+def brute_terms(texts, reach=10, support=5, least=4, generalise=0.5, bits=3.0):
+    """{term: share} by plain loops."""
+    word = re.compile(f"[^{pii.NO_WORD}]+")
+    low = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    beside, holds, entities, texts = {}, {}, {}, sorted({t or "" for t in texts})
+    for k, t in enumerate(texts):
+        spans = [x.split(":") for x in base_private(t).split(",") if x]
+        left = list(low(t))
+        for _, s, e in spans:
+            left[int(s) : int(e)] = " " * (int(e) - int(s))
+        words = [(m.start(), m[0]) for m in word.finditer("".join(left))]
+        for _, w in words:
+            holds.setdefault(w, set()).add(k)
+        for _, s, e in spans:
+            entity = low(re.sub(r"[\x20()-]", "", t[int(s) : int(e)]))
+            entities.setdefault(entity, set()).add(k)
+            n = sum(at < int(s) for at, _ in words)
+            for _, w in words[max(0, n - reach) : n + reach]:
+                if len(w) >= least and w not in entity:
+                    beside.setdefault((w, entity), set()).add(k)
+    out = {}
+    for (w, entity), both in beside.items():
+        share = len(both) / len(holds[w])
+        if len(both) >= support and share >= generalise and math.log2(share * len(texts) / len(entities[entity])) >= bits:
+            out[w] = max(share, out.get(w, 0))
+    return out
+
+
+def test_terms_are_brute_force(llm_spark):
+    g = random.Random(8)
+    words = [f"word{i}" for i in range(40)]
+    people = [(f"p{i}@mail.org", f"nick{i}name") for i in range(6)]
+    texts = []
+    for i in range(240):
+        w = g.choices(words, k=30)
+        if i % 3 == 0:
+            mail, nick = people[i // 3 % 6]
+            at = g.randrange(31)
+            w[at:at] = [mail]
+            w.insert(max(0, at - g.randint(0, 12)), nick if g.random() < 0.9 else "other")
+        if i % 11 == 0:
+            w.append(people[i % 6][1])
+        texts.append(" ".join(w))
+    far = ["tenwords " + " ".join(words[:9]) + " far@off.org " + " ".join(words[10:19]) + " behindten" + f" x{i}" for i in range(8)]
+    farther = ["elevenwords " + " ".join(words[:10]) + f" far@off.org {' '.join(words[10:20])} behindeleven y{i}" for i in range(8)]
+    texts += far + farther + texts[:5] + [None, ""]
+    docs = llm_spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    base = docs.withColumns(pii.base_spans(F.coalesce("text", F.lit(""))))
+    terms, _ = pii.disclosing_terms(base)
+    got = {r.term: round(r.share, 9) for r in terms.collect()}
+    want = {w: round(s, 9) for w, s in brute_terms(texts).items()}
+    assert got == want and {"tenwords", "behindten"} <= set(got) and not {"elevenwords", "behindeleven"} & set(got)
+    word = re.compile(f"[^{pii.NO_WORD}]+")
+    for r in pii.private_spans(docs).collect():
+        marked = sorted((x.start, x.end) for x in (*r.term, *r.revealing))
+        inside = [range(int(s), int(e)) for _, s, e in (x.split(":") for x in base_private(r.text or "").split(",") if x)]
+        assert marked == [(m.start(), m.end()) for m in word.finditer((r.text or "").lower()) if m[0] in want and not any(m.start() in i for i in inside)]
+
+
+def test_very_many_terms(llm_spark):
+    """50,000 terms reveal their entity; no plan and no driver holds them."""
+    mail = F.concat(F.lit("m"), (F.col("id") % 500).cast("string"), F.lit("@x.org"))
+    near = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda j: F.concat(F.lit("t"), (F.col("id") % 500).cast("string"), F.lit("q"), ((j + F.col("id") * 7) % 100).cast("string"))), " ")
+    docs = llm_spark.range(0, 20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.substring_index(near, " ", 10), mail, F.substring_index(near, " ", -10), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("text"))
+    found = pii.private_spans(docs, least_chars=3).agg(F.count("*"), F.sum(F.size("revealing"))).first()
+    assert found[0] == 20_000 and found[1] == 20_000 * 20
