@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from pairwright.operators.reports import last_per
 
 
-def correction_prompt(record_type: Column, errors: Column, raw: Column, attempt: int, most: int) -> Column:
-    """What a model is asked for one invalid record: its errors, numbered, and the record."""
+#: What is asked for, before the errors and after the record.
+TASK = "The record below doesn't fit its schema. Repair it."
+ANSWER = "Answer with the repaired record alone, as a JSON object. Change what the errors name and leave the rest as it is."
+
+
+def correction_prompt(record_type: Column, errors: Column, raw: Column, attempt: int, most: int, task: str = TASK, answer: str = ANSWER) -> Column:
+    """What a model is asked for one invalid record: its errors, numbered, and the record, between two texts of the caller's."""
     lines = F.transform(errors, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". loc="), e["loc"], F.lit(" | type="), e["type"], F.lit(" | category="), e["category"], F.lit(" | message="), e["msg"]))
-    listed = F.when(F.size(errors) > 0, F.array_join(lines, "\n")).otherwise("- unknown error context")
-    # Fixed wording of the prompt.
-    return F.concat(
-        F.lit("You are fixing a schema-invalid `"), record_type, F.lit(f"` record.\nAttempt {attempt} of {most}.\n\nValidation errors to fix:\n"), listed, F.lit("\n\nOriginal/last candidate payload:\n"), raw,
-        F.lit("\n\nInstructions:\n- Return ONLY one valid JSON object (no markdown, no explanations).\n- Preserve original intent where possible.\n- Modify only what is needed to make the object schema-valid.\n"),
-    )
+    listed = F.when(F.size(errors) > 0, F.array_join(lines, "\n")).otherwise("not known")
+    return F.concat(F.lit(f"{task}\nTable: "), record_type, F.lit(f"\nAttempt {attempt} of at most {most}\nErrors:\n"), listed, F.lit("\nRecord:\n"), raw, F.lit(f"\n{answer}\n"))
 
 
 def correction_rounds(invalid: DataFrame, ask: Callable[[DataFrame], DataFrame], validate: Callable[[DataFrame], DataFrame], folder: str, most: int = 3) -> DataFrame:
@@ -56,7 +57,7 @@ def outcomes(attempts: DataFrame) -> DataFrame:
 
 
 def last_attempts(attempts: DataFrame) -> DataFrame:
-    return last_per(attempts, ["record"], [F.desc("attempt")])
+    return last_per(attempts, ["record"], ["attempt"])
 
 
 def correction_summary(done: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ VERDICT = "has_hallucinations boolean, hallucination_details string, has_awkward
 def judge_prompt(rubric: str) -> Column:
     """Rubric, rule results and both documents of a row of ``metrics``."""
     context = F.to_json(F.struct(F.col("fit").alias("computed_fit_label"), F.bround("overlap", 6).alias("skills_overlap"), *policy.FLAGS))
-    return F.concat(F.lit(rubric + "\n\nRules-based context (for reference, may be incomplete):\n"), context, F.lit("\n\nJob Description:\n"), F.to_json("job_description"), F.lit("\n\nResume:\n"), F.to_json("resume"), F.lit("\n"))
+    return F.concat(F.lit(rubric + "\n\nWhat the rules found:\n"), context, F.lit("\n\nJob:\n"), F.to_json("job_description"), F.lit("\n\nCandidate:\n"), F.to_json("resume"), F.lit("\n"))
 
 
 def may_retry(error: Exception) -> bool:

@@ -38,6 +38,25 @@ def balanced_pick(rows: DataFrame, per_level: dict[str, int], key: str = "trace_
     return rows.where(F.col(level).isin(*per_level)).withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= max(per_level.values())).where(F.col("pick") <= quota)
 
 
+def policy_pick(rows: DataFrame, group: str, n_groups: int = 50, each: int = 5, key: str = "trace_id", seed: int = 42) -> DataFrame:
+    """``each`` rows of each of ``n_groups`` groups that have as many: the policy's final set of 250 pairs of 50 jobs.
+
+    Groups and rows are taken by lowest seeded hash; with fewer such groups, all of them are. Few groups are picked, so the
+    rows are filtered by a broadcast of their names before any is ranked.
+    """
+    sizes = rows.groupBy(group).count().where(F.col("count") >= each)
+    chosen = sizes.orderBy(place(seed, group), group).limit(n_groups).select(group)
+    w = Window.partitionBy(group).orderBy(place(seed, key), key)
+    return rows.join(F.broadcast(chosen), group, "left_semi").withColumn("pick", F.row_number().over(w)).where(F.col("pick") <= each)
+
+
+def pick_report(picked: DataFrame, group: str, n_groups: int = 50, each: int = 5) -> DataFrame:
+    """One row: rows, groups, the least rows of a group, and whether the policy's minimum is met."""
+    sizes = picked.groupBy(group).agg(F.count("*").alias("c"))
+    out = sizes.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("n_jobs"), F.min("c").alias("least_per_job"))
+    return out.withColumn("passed", (F.col("n") >= n_groups * each) & (F.col("n_jobs") >= n_groups))
+
+
 def freeze_gate(first: DataFrame, second: DataFrame, fields: list[str], least: float = 0.80) -> DataFrame:
     """One row: agreement of two label sets (trace_id, label), missing fields of the first, unresolved ids, and passed."""
     both = first.select("trace_id", F.col("label").alias("a"), *fields).join(second.select("trace_id", F.col("label").alias("b")), "trace_id", "left")

@@ -104,13 +104,41 @@ def judge_summary(judge: DataFrame) -> DataFrame:
     )
 
 
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+    """(key, n, p): exact percentiles of each group by linear interpolation, as an array in the order of ``shares``.
+
+    An approximate percentile has a bounded state and a bounded error in rank, so the wanted ranks lie between those of
+    two approximate ones. Only the few values between are sorted; those below are counted. Null values are left out.
+    """
+    rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
+    near = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in shares for side in (-1, 1)]
+    bounds = rows.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), accuracy).alias("q"))
+    each = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("rank"), F.get("q", 2 * i).alias("low"), F.get("q", 2 * i + 1).alias("high")) for i, p in enumerate(shares)))
+    wanted = bounds.select("k", "n", F.explode(each).alias("w")).select("k", "n", "w.*")
+    met = rows.join(wanted, "k")
+    outside = met.groupBy("k", "i").agg(F.count_if(F.col("v") < F.col("low")).alias("below"), F.max(F.when(F.col("v") < F.col("low"), F.col("v"))).alias("before"), F.min(F.when(F.col("v") > F.col("high"), F.col("v"))).alias("after"))
+    inside = met.where(F.col("v").between(F.col("low"), F.col("high"))).groupBy("k", "i", "rank", "v").agg(F.count("*").alias("c"))
+    upto = inside.join(outside.select("k", "i", "below"), ["k", "i"]).withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("k", "i").orderBy("v")))
+    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
+    found = upto.groupBy("k", "i").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
+    joined = wanted.join(found, ["k", "i"]).join(outside, ["k", "i"])
+    low = F.when(F.floor("rank") < F.col("below"), F.col("before")).otherwise(F.coalesce("a", "after"))
+    high = F.when(F.ceil("rank") < F.col("below"), F.col("before")).otherwise(F.coalesce("b", "after"))
+    value_ = low + (high - low) * (F.col("rank") - F.floor("rank"))
+    return joined.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("i", value_.alias("p")))).alias("p")).select(F.col("k").alias(key), "n", F.transform("p", lambda x: x["p"]).alias("p"))
+
+
 def latency_summary(latencies: DataFrame, targets: dict[str, float], exact: bool = True) -> DataFrame:
     """Per mode of ``latencies`` (mode, seconds): n, mean, median and 95th percentile by linear interpolation, max,
-    target and pass. ``exact=False`` takes approximate percentiles, whose state has a bound."""
-    at = F.array(F.lit(0.5), F.lit(0.95))
-    points = F.percentile("seconds", at) if exact else F.percentile_approx("seconds", at, 10_000)
+    target and pass. ``exact=False`` takes approximate percentiles, which need one pass instead of three. A mode without
+    values has no row."""
+    timed = latencies.where("seconds is not null")
     target = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in targets.items() for x in kv)), F.col("mode")), F.lit(policy.LATENCY_TARGETS["with_judge"])) if targets else F.lit(policy.LATENCY_TARGETS["with_judge"])
-    out = latencies.groupBy("mode").agg(F.count("seconds").alias("n"), F.avg("seconds").alias("mean_s"), points.alias("p"), F.max("seconds").alias("max_s"))
+    plain = [F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s")]
+    if exact:
+        out = timed.groupBy("mode").agg(*plain).join(exact_percentiles(timed, "mode", "seconds", (0.5, 0.95)), "mode")
+    else:
+        out = timed.groupBy("mode").agg(F.count("*").alias("n"), *plain, F.percentile_approx("seconds", F.array(F.lit(0.5), F.lit(0.95)), 10_000).alias("p"))
     return out.select("mode", "n", "mean_s", F.get("p", 0).alias("p50_s"), F.get("p", 1).alias("p95_s"), "max_s", target.alias("target_s"), (F.get("p", 1) <= target).alias("passed"))
 
 
@@ -151,7 +179,7 @@ def repeated_ids(rows: DataFrame, key: str = "trace_id") -> DataFrame:
     return rows.groupBy(key).count().where("count > 1")
 
 
-def last_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The last row of each key; ties are broken by the order's later columns."""
-    name = "__n"
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(f"{name} = 1").drop(name)
+def last_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The row of each key that is highest by ``order``, nulls lowest; partial results are made before the shuffle."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last")
+    return rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(last).select("last.*")

@@ -32,7 +32,7 @@ def review_queue(labels: DataFrame, adjudications: DataFrame, verdicts: DataFram
     each recommending verdict of other pairs makes a row, repeats included. Rows without an entry elsewhere have nulls.
     All joins are on trace_id, so one shuffle of each input serves them.
     """
-    by = [F.desc(seq)]
+    by = [seq]
     label = last_per(labels, ["trace_id"], by).select("trace_id", "requires_human_review", "review_reason_codes", "computed_fit_label")
     adjudicated = last_per(adjudications, ["trace_id"], by).select("trace_id", "adjudicated_fit_label")
     verdict = verdicts.select("trace_id", seq, F.col("overall_quality_score").alias("judge_overall_quality_score"), F.col("recommendations").alias("judge_recommendations"), F.col("red_flags").alias("judge_red_flags"), "judge_error")

@@ -8,10 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairwright.functions import policy
 from pairwright.operators import correction as C
 from pairwright.operators import judge as J
 from pairwright.operators import validate as V
 from pairwright.operators.labels import label, metrics
+from pairwright.operators.reports import last_per
+from pairwright.plans.labelling import LABELS_SQL
 from pairwright.plans.validation_plans import EXPECTED_SQL, JOB, TYPED_SQL, raw_lines
 from pairwright.sources import records as S
 from pairwright.sources.stand_ins import AS_OF, PAIRS_SQL, pairs, table
@@ -122,10 +125,18 @@ def template_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 RUBRIC = "Evaluate this resume-job pair. Return ONLY one JSON object."
 
 
-@query("p25_judge_prompts", f"WITH {PAIRS_SQL} SELECT trace_id, true AS has_rubric, true AS has_documents FROM p")
+@query("p25_judge_prompts", f"{LABELS_SQL} SELECT trace_id, computed_fit_label AS label, skills_overlap AS overlap, {' || '.join(f'({f}::INT)' for f in policy.FLAGS)} AS flags, array_to_string(required, '|') AS required, seniority AS level, array_to_string(skills, '|') AS skills, summary FROM labels_ JOIN p USING (trace_id)")
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = metrics(pairs(spark, sf_dir), AS_OF).select("trace_id", J.judge_prompt(RUBRIC).alias("prompt"))
-    return rows.select("trace_id", F.startswith("prompt", F.lit(RUBRIC)).alias("has_rubric"), (F.contains("prompt", F.lit('"required_skills"')) & F.contains("prompt", F.lit('"experience"'))).alias("has_documents"))
+    """What the prompts tell, read back from their three JSON parts; the rubric must come first."""
+    rows = metrics(pairs(spark, sf_dir), AS_OF).select("trace_id", J.judge_prompt(RUBRIC).alias("prompt")).where(F.startswith("prompt", F.lit(RUBRIC + "\n\n")))
+    part = lambda name, until: F.regexp_extract("prompt", rf"(?s)\n\n{name}:\n(.*?)\n{until}", 1)
+    read = rows.select("trace_id", part("What the rules found", "\nJob:").alias("r"), part("Job", "\nCandidate:").alias("j"), part("Candidate", "$").alias("c"))
+    of = lambda c, path: F.get_json_object(c, f"$.{path}")
+    listed = lambda c, path: F.array_join(F.from_json(of(c, path), "array<string>"), "|")
+    return read.select(
+        "trace_id", of("r", "computed_fit_label").alias("label"), of("r", "skills_overlap").cast("double").alias("overlap"), F.concat(*(F.when(of("r", f) == "true", "1").otherwise("0") for f in policy.FLAGS)).alias("flags"),
+        listed("j", "requirements.required_skills").alias("required"), of("j", "requirements.experience_level").alias("level"), F.coalesce(F.array_join(F.transform(F.from_json(of("c", "skills"), "array<struct<name:string>>"), lambda s: s["name"]), "|"), F.lit("")).alias("skills"), of("c", "summary").alias("summary"),
+    )
 
 
 def stand_in_judge(prompt: str) -> str:
@@ -186,8 +197,10 @@ def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.write.parquet(f"{folder}/in")
     counts = T.windowed_counts(spark.readStream.schema(events.schema).parquet(f"{folder}/in"), "ts", "event_type")
-    counts.writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return last_batch(spark, f"{folder}/out").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    counts.writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{folder}/out/batch={n}")).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    # each batch holds the windows that it changed
+    last = last_per(spark.read.parquet(f"{folder}/out"), ["window_start", "key"], ["batch"]).drop("batch")
+    return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
 def last_batch(spark: SparkSession, folder: str) -> DataFrame:

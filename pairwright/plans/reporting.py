@@ -10,6 +10,7 @@ from pairwright.operators import labels as L
 from pairwright.operators import reports as R
 from pairwright.operators import review as V
 from pairwright.plans.labelling import LABELS_SQL, label_rows
+from pairwright.sources.records import settled
 from pairwright.sources.stand_ins import AS_OF, pairs, table
 
 QUERIES: dict = {}
@@ -183,6 +184,7 @@ UNION ALL SELECT v.trace_id, 'recommendation_only', coalesce(requires_human_revi
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = L.metrics(pairs(spark, sf_dir), AS_OF).withColumn("review_reason_codes", L.reason_codes())
     rows = found.select("seq", "trace_id", F.col("fit").alias("computed_fit_label"), "review_reason_codes", (F.size("review_reason_codes") > 0).alias("requires_human_review"))
+    rows = settled(rows)  # read four times
     return V.review_queue(rows, rows.select("seq", "trace_id", F.col("computed_fit_label").alias("adjudicated_fit_label")), verdicts(spark, sf_dir))
 
 
@@ -203,10 +205,10 @@ _queue_query("j4_recommendation_queue", "recommendation_only")
 _queue_query("x1_review_queue", None)
 
 
-@query("j5_last_per_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(event_id) FILTER (true) IS NOT NULL AS seen FROM events GROUP BY user_id")
+@query("j5_last_per_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS last_ts FROM events GROUP BY user_id")
 def last_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = R.last_per(table(spark, sf_dir, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")])
-    return rows.select("user_id", "event_type", F.lit(True).alias("seen"))
+    rows = R.last_per(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
+    return rows.select("user_id", "event_type", F.col("ts").alias("last_ts"))
 
 
 @query("a08_judge_summary", f"""WITH {VERDICT_SQL} SELECT count(*) AS row_count, count(judge_error) AS judge_error_count, avg(has_hallucinations::INT::DOUBLE) FILTER (judge_error IS NULL) AS hallucination_rate,

@@ -57,7 +57,12 @@ def niche_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_plan(spark, sf_dir).where("resume_index = 0").agg(F.count_if(F.col("niche_target")).alias("n_niche"), F.count("*").alias("n_jobs"))
 
 
-@query("g2_industry_focus")
+DRAW_SQL = "('0x' || sha256('42:{what}:' || {key})[1:15])::BIGINT"
+NICHE_SQL = f"niche_jobs AS (SELECT c_custkey AS job_index, row_number() OVER (ORDER BY {DRAW_SQL.format(what='niche', key='c_custkey')}, c_custkey) <= round_even((SELECT count(*) FROM customer) * 0.2::DOUBLE, 0) AS niche_target FROM customer)"
+FOCUS_SQL = f"CASE WHEN niche_target THEN {_quoted(S.NICHE_FOCI)} ELSE {_quoted(S.STANDARD_FOCI)} END[{DRAW_SQL.format(what='focus', key='job_index')} % 5 + 1]"
+
+
+@query("g2_industry_focus", f"{PLAN_SQL}, {NICHE_SQL} SELECT job_index, resume_index, niche_target, {FOCUS_SQL} AS industry FROM plan JOIN niche_jobs USING (job_index)")
 def focus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return customer_plan(spark, sf_dir).select("job_index", "resume_index", "niche_target", S.industry_focus(F.col("niche_target"), F.col("job_index"), SEED).alias("industry"))
 
@@ -72,7 +77,18 @@ def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.generated_pairs(customer_jobs(spark, sf_dir), 7, 0.2, SEED)
 
 
-@query("g4_resume_skills")
+def _drawn_sql(items: str, n: str, what: str) -> str:
+    return f"list_transform(list_sort(list_transform({items}, lambda x: sha256('{what}:' || index || ':' || x) || x)), lambda s: s[65:])[1:{n}]"
+
+
+SKILLS_SQL = f"""{PLAN_SQL}, {NICHE_SQL}, j AS (SELECT *, job_index * 7 + resume_index AS index, {FOCUS_SQL} AS industry FROM plan JOIN niche_jobs USING (job_index)),
+r AS (SELECT *, list_transform(range(1, 6), lambda i: industry || ' skill ' || i) AS required, {_quoted(S.FALLBACK_SKILLS[:3])} AS preferred FROM j),
+t AS (SELECT *, {_drawn_sql('required', f"round_even(5 * {_map({k: f'{v[0]}::DOUBLE' for k, v in S.BY_FIT.items()})}, 0)::INT", 'required')} AS taken FROM r),
+s AS (SELECT index, fit_level, list_concat(taken, {_drawn_sql('preferred', _map({k: v[1] for k, v in S.BY_FIT.items()}), 'preferred')}, {_drawn_sql(_quoted(S.UNRELATED_SKILLS), '3', 'unrelated')})[1:8] AS names FROM t)"""
+
+
+@query("g4_resume_skills", f"""{SKILLS_SQL} SELECT 'pair-' || sha256('42:' || index)[1:16] AS trace_id, fit_level, array_to_string(names, '|') AS skills,
+'Candidate targeting ' || fit_level || ' fit with demonstrated strengths in ' || array_to_string(names[1:3], ', ') || '.' AS summary FROM s""")
 def generated_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generated(spark, sf_dir).select("trace_id", "fit_level", F.array_join(F.transform("resume.skills", lambda s: s["name"]), "|").alias("skills"), F.col("resume.summary").alias("summary"))
 
@@ -190,8 +206,7 @@ def corrected_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixed.withColumn("outcome", F.lit("corrected")).unionByName(rest.withColumn("outcome", F.lit("still_invalid")))
 
 
-@query("p26_correction_prompts", """SELECT p_partkey, sha256('You are fixing a schema-invalid `jobs` record.' || chr(10) || 'Attempt 1 of 3.' || chr(10) || chr(10) || 'Validation errors to fix:' || chr(10) || '1. loc=' || p_type || ' | type=missing | category=missing_required_fields | message=Field required' || chr(10) || chr(10) ||
-'Original/last candidate payload:' || chr(10) || p_name || chr(10) || chr(10) || 'Instructions:' || chr(10) || '- Return ONLY one valid JSON object (no markdown, no explanations).' || chr(10) || '- Preserve original intent where possible.' || chr(10) || '- Modify only what is needed to make the object schema-valid.' || chr(10)) AS prompt_sha256 FROM part""")
+@query("p26_correction_prompts", f"""SELECT p_partkey, sha256('{C.TASK.replace("'", "''")}' || chr(10) || 'Table: jobs' || chr(10) || 'Attempt 1 of at most 3' || chr(10) || 'Errors:' || chr(10) || '1. loc=' || p_type || ' | type=missing | category=missing_required_fields | message=Field required' || chr(10) || 'Record:' || chr(10) || p_name || chr(10) || '{C.ANSWER}' || chr(10)) AS prompt_sha256 FROM part""")
 def correction_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     error = F.struct(F.col("p_type").alias("loc"), F.lit("missing").alias("type"), F.lit("Field required").alias("msg"), F.lit("missing_required_fields").alias("category"))
     return table(spark, sf_dir, "part").select("p_partkey", F.sha2(C.correction_prompt(F.lit("jobs"), F.array(error), F.col("p_name"), 1, 3), 256).alias("prompt_sha256"))
@@ -260,6 +275,20 @@ def balanced_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.balanced_pick(pairs(spark, sf_dir).select("trace_id", "fit_level"), dict.fromkeys(policy.FIT_LEVELS, 50), seed=SEED).select("trace_id", "fit_level")
 
 
+PICK_SQL = """ranked AS (SELECT trace_id, job_id, fit_level, row_number() OVER (PARTITION BY job_id ORDER BY sha256('42:' || trace_id), trace_id) AS place, count(*) OVER (PARTITION BY job_id) AS n FROM p WHERE fit_level IS NOT NULL),
+chosen AS (SELECT job_id FROM ranked WHERE n >= 5 GROUP BY job_id ORDER BY sha256('42:' || job_id), job_id LIMIT 50)"""
+
+
+@query("y2_policy_pick", f"WITH {PAIRS_SQL}, {PICK_SQL} SELECT trace_id, job_id, fit_level FROM ranked JOIN chosen USING (job_id) WHERE place <= 5")
+def policy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.policy_pick(pairs(spark, sf_dir).where("fit_level is not null").select("trace_id", "job_id", "fit_level"), "job_id", seed=SEED).select("trace_id", "job_id", "fit_level")
+
+
+@query("y2_pick_report", f"WITH {PAIRS_SQL}, {PICK_SQL}, x AS (SELECT * FROM ranked JOIN chosen USING (job_id) WHERE place <= 5) SELECT count(*) AS n, count(DISTINCT job_id) AS n_jobs, (SELECT min(c) FROM (SELECT count(*) AS c FROM x GROUP BY job_id)) AS least_per_job, count(*) >= 250 AND count(DISTINCT job_id) >= 50 AS passed FROM x")
+def pick_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Y.pick_report(policy_pick(spark, sf_dir), "job_id")
+
+
 @query("y3_freeze_gate", f"{LABELS_SQL}, v AS (SELECT avg((generated_fit_label = computed_fit_label)::INT::DOUBLE) AS agreement, sum((generated_fit_label IS NULL)::INT + (resume_template IS NULL)::INT)::BIGINT AS missing_fields, count(*) FILTER (generated_fit_label IS NULL) AS unresolved FROM labels_) SELECT *, agreement >= 0.8::DOUBLE AND missing_fields = 0 AND unresolved = 0 AS passed FROM v")
 def freeze_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = label_rows(spark, sf_dir)

@@ -49,5 +49,9 @@ def running_rates(labels: DataFrame) -> DataFrame:
 
 
 def windowed_counts(rows: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "30 minutes") -> DataFrame:
-    """Counts and mean values by tumbling window; rows later than ``late`` are dropped by the watermark when streaming."""
+    """Counts and mean values by tumbling window.
+
+    When streaming, in append or update mode, rows of windows that ended over ``late`` before the latest time seen are
+    dropped, and so is those windows' state; complete mode would keep all of it.
+    """
     return rows.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("w.start").alias("window_start"), "key", "n", "mean_value")

@@ -1,6 +1,9 @@
 """Rules on small rows of their own."""
 
+import datetime
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +14,7 @@ from pairwright.operators import judge, labels, policy_splits, reports, review,
 from pairwright.plans.validation_plans import CASES
 from pairwright.sources import records
 from pairwright.streaming.review import review as review_batch
-from pairwright.streaming.review import review_stream
+from pairwright.streaming.review import review_stream, windowed_counts
 
 
 def one(spark, column):
@@ -143,3 +146,51 @@ def test_stream_is_batch(spark, tmp_path):
     key = lambda df: sorted(json.dumps(r.asDict(), default=str, sort_keys=True) for r in df.collect())
     assert key(spark.read.parquet(f"{tmp_path}/out/adjudications").drop("batch")) == key(good)
     assert spark.read.parquet(f"{tmp_path}/out/invalid").count() == bad.count() and good.count() + bad.count() == len(lines)
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    def arrive(number, *times):
+        spark.createDataFrame([(datetime.datetime(2024, 1, 1, h, m), "a", 1.0) for h, m in times], "ts timestamp, kind string, value double").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("ts timestamp, kind string, value double").parquet(f"{tmp_path}/in")
+        out = windowed_counts(stream, "ts", "kind").writeStream.outputMode("update")
+        out.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={number}_{n}")).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+
+    arrive(0, (9, 10), (12, 0))
+    arrive(1, (9, 20), (12, 10), (11, 40))  # 9:20 is over half an hour behind 12:00, 11:40 is not
+    rows = spark.read.parquet(f"{tmp_path}/out")
+    got = {r.window_start.hour: r.n for r in reports.last_per(rows, ["window_start", "key"], ["batch"]).collect()}
+    assert got == {9: 1, 11: 1, 12: 2}
+
+
+def test_exact_percentiles(spark):
+    g = random.Random(3)
+    values = {"many": [g.gauss(0, 1) for _ in range(30_000)], "equal": [2.5] * 5000 + [3.5], "two": [1.0, 2.0], "one": [7.0], "few": [g.choice([1.0, 2.0, 9.0]) for _ in range(999)]}
+    frame = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("one", None), ("none", None)], "mode string, seconds double")
+    got = {r["mode"]: r for r in reports.exact_percentiles(frame, "mode", "seconds", (0.0, 0.5, 0.95, 1.0), 1000).collect()}
+    assert set(got) == set(values)
+    for k, vs in values.items():
+        vs.sort()
+        for p, x in zip((0.0, 0.5, 0.95, 1.0), got[k].p):
+            r = p * (len(vs) - 1)
+            low = vs[math.floor(r)]
+            assert abs(x - (low + (vs[math.ceil(r)] - low) * (r - math.floor(r)))) < 1e-12 and got[k].n == len(vs)
+
+
+def test_policy_pick(spark):
+    rows = spark.range(3000).select(F.col("id").alias("trace_id"), F.when(F.col("id") < 2000, 0).otherwise(F.col("id") % 300).alias("job"))  # a hot job, and few of four rows
+    picked = policy_splits.policy_pick(rows, "job", 50, 3)
+    report = policy_splits.pick_report(picked, "job", 50, 3).first()
+    assert (report.n, report.n_jobs, report.least_per_job, report.passed) == (150, 50, 3, True)
+    assert not policy_splits.pick_report(policy_splits.policy_pick(rows, "job", 50, 5), "job").first().passed  # only the hot job has five
+
+
+def test_missing_inputs(spark, tmp_path):
+    with pytest.raises(FileNotFoundError, match="labels, judge"):
+        records.missing_inputs(spark, {"labels": f"{tmp_path}/labels_*", "judge": f"{tmp_path}/judge_*", "folder": str(tmp_path)})
+    with pytest.raises(FileNotFoundError):
+        records.latest(spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("email, want", [("Jo@Example.COM", "jo@example.com"), ("jo@mail.test", None), ("jo@x.local", None), ("jo@localhost", None), ("jörg@bücher.de", "jörg@bücher.de"), ("a b@x.org", None), (".a@x.org", None), ("a@x..org", None), ("a@-x.org", None), ("a@1.2.3.4", None)])
+def test_emails(spark, email, want):
+    assert one(spark, validate.normal_email(F.lit(email))) == want
