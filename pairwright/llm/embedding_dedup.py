@@ -32,13 +32,18 @@ def label_key(vectors: DataFrame, label: str = "label") -> Column:
     return plain.cast("string") if dict(vectors.dtypes)[label].split("<")[0] not in ("array", "struct", "map") else F.to_json(F.struct(F.col(label)))
 
 
-def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11) -> np.ndarray:
-    """k unit centroids of unit vectors; an empty cell takes a vector that fits its own cell worst."""
+def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11, strip: int = 1024) -> np.ndarray:
+    """k unit centroids of unit vectors; an empty cell takes a vector that fits its own cell worst.
+
+    Products are made for ``strip`` vectors at a time, so what is held is the vectors and strip times k numbers.
+    """
     g = np.random.default_rng(seed)
     c = x[g.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        near = x @ c.T
-        cell, fit = near.argmax(axis=1), near.max(axis=1)
+        cell, fit = np.empty(len(x), np.int64), np.empty(len(x))
+        for at in range(0, len(x), strip):
+            near = x[at : at + strip] @ c.T
+            cell[at : at + strip], fit[at : at + strip] = near.argmax(axis=1), near.max(axis=1)
         c = np.zeros_like(c)
         np.add.at(c, cell, x)
         norm = np.linalg.norm(c, axis=1)

@@ -21,49 +21,59 @@ URL_RULES = [Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Ru
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's url, by the four rules."""
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document; learnt from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_quality(docs, quality_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, from its whole html."""
     pages = table(spark, sf_dir, "pages")
     return extract(pages, extraction_model(pages)).select("page_id", "url", "text", "n_chars")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed formats and random strings."""
     return secret_scan.digest(secret_scan.secret_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of all vectors of equal labels with a cosine of 0.98 or more."""
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a benchmark item's window of ten words."""
     out = contaminated_words(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", items_digest(F.col("item_ids")).alias("items_sha256"), "contaminated")
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: fixed formats and disclosing terms."""
     return pii.digest(pii.private_spans(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
     out = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; learnt from labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_toxicity(docs, toxicity_model(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document, within four bits."""
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 

@@ -49,8 +49,8 @@ def fingerprint(text: Column, shingle: int = 4) -> Column:
 def block_keys(fp: Column, distance: int = 4, blocks: int | None = None) -> Column:
     """The keys that two fingerprints share if at most ``distance`` bits differ.
 
-    The 64 bits are cut into ``distance + 2`` blocks; at least two of them are untouched, so every pair of blocks is a
-    key. Two blocks hold about 21 bits, which keeps the number of chance meetings a key low.
+    The 64 bits are cut into ``blocks``, by default ``distance`` + 2, of which all but ``distance`` at least are untouched;
+    every choice of so many blocks is a key. Two of six blocks hold about 21 bits.
     """
     n = blocks or distance + 2
     edges = [round(i * 64 / n) for i in range(n + 1)]
@@ -65,6 +65,17 @@ def block_keys(fp: Column, distance: int = 4, blocks: int | None = None) -> Colu
     return F.array(*keys)
 
 
+def blocks_for(n: int, distance: int = 4, most_a_key: int = 256) -> int:
+    """Into how many blocks to cut fingerprints, so that a key of untouched blocks meets few of ``n`` by chance.
+
+    More blocks make longer keys, but more of them: 15 of 21 bits for up to some 680 million, then 35 of 27 bits, then 70 of 32.
+    """
+    blocks = distance + 2
+    while blocks < distance + 4 and n > most_a_key << (64 * (blocks - distance) // blocks):
+        blocks += 1
+    return blocks
+
+
 def links_in(frames: Iterable[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
     """For frames sorted by (k, i, j): each group's links, thinned to a spanning forest."""
     for f in whole_groups(frames, ["k", "i", "j"]):
@@ -93,14 +104,14 @@ def _thinned(n: int, a: list[np.ndarray], b: list[np.ndarray]) -> tuple[list[np.
     return [moved], [label[moved]]
 
 
-def near_fingerprints(fps: DataFrame, distance: int = 4, block_rows: int = 2048) -> DataFrame:
+def near_fingerprints(fps: DataFrame, distance: int = 4, block_rows: int = 2048, blocks: int | None = None) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that differ in at most ``distance`` bits.
 
     The links are a spanning forest of each block's links: what they connect is exact, but not every pair is listed, so
     a dense group costs no more rows than it has members. A key with over ``block_rows`` fingerprints is dealt over
-    pairs of sub-blocks, which are compared by separate tasks.
+    pairs of sub-blocks, which are compared by separate tasks. The number of ``blocks`` follows that of the fingerprints.
     """
-    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), distance)).alias("k"))
+    keyed = fps.select("fp", F.explode(block_keys(F.col("fp"), distance, blocks or blocks_for(fps.count(), distance))).alias("k"))
     hot = keyed.groupBy("k").count().where(F.col("count") > block_rows).select("k", F.ceil(F.col("count") / block_rows).cast("int").alias("n"))
     dealt = keyed.join(small(hot), "k", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = dealt.withColumn("s", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pairwright.llm.common import local_components
 from pairwright.llm.components import components
 from pairwright.llm.embedding_dedup import embedding_groups
-from pairwright.llm.simhash import fingerprint_of, keep_one, near_fingerprints, simhash_groups
+from pairwright.llm.simhash import blocks_for, fingerprint_of, keep_one, near_fingerprints, simhash_groups
 
 
 def roots(n, links):
@@ -44,8 +44,9 @@ def test_near_fingerprints(llm_spark):
     want = roots(len(fps), links)
     frame = llm_spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    for rows in (2048, 3):  # whole keys, and keys dealt over sub-blocks
-        found = [(place[r.a], place[r.b]) for r in near_fingerprints(frame, block_rows=rows).collect()]
+    assert [blocks_for(n) for n in (0, 10**8, 10**9, 10**12, 10**15)] == [6, 6, 7, 8, 8]
+    for rows, blocks in ((2048, None), (3, None), (2048, 7), (5, 8)):  # whole keys, keys dealt over sub-blocks, longer keys
+        found = [(place[r.a], place[r.b]) for r in near_fingerprints(frame, block_rows=rows, blocks=blocks).collect()]
         # a forest names some member of a group, so its links are held against the groups, not the distance
         assert all(want[a] == want[b] for a, b in found) and roots(len(fps), found) == want
 
