@@ -100,9 +100,11 @@ def generated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "trace_id", "fit_level", "job_template_id", F.col("resume.metadata.prompt_template").alias("resume_template_id"), F.year(F.get(F.col("resume.experience"), 0)["start_date"]).alias("start_year"))
 
 
-@query("a11_generated_rates", "SELECT 1.0::DOUBLE AS resume_fallback_rate, count(*) * 7 AS n_pairs FROM customer")
+@query("a11_generated_rates", f"{PLAN_SQL} SELECT avg((resume_index >= c_nationkey % 8)::INT::DOUBLE) AS resume_fallback_rate, count(*) AS n_pairs FROM plan JOIN customer ON job_index = c_custkey")
 def generated_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _generated(spark, sf_dir)
+    """Nation keys stand for how many of a job's resumes a model answered."""
+    answered = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_index"), (F.col("c_nationkey") % 8).cast("int").alias("answered_resumes"))
+    rows = S.generated_pairs(answered, 7, 0.2, SEED)
     return rows.agg(F.avg(F.col("resume.metadata.used_fallback").cast("double")).alias("resume_fallback_rate"), F.count("*").alias("n_pairs"))
 
 
