@@ -14,11 +14,16 @@ def place(seed: int, key: str) -> Column:
 def split_by_group(rows: DataFrame, group: str, strata: list[str], shares: tuple[tuple[str, float], ...] = (("calibration", 0.6), ("validation", 0.2), ("holdout", 0.2)), seed: int = 42) -> DataFrame:
     """Adds split; all rows of a group go to one split, and each stratum is cut by the shares.
 
-    Groups, not rows, are ranked: by a seeded hash within their stratum, which is the first of their rows' values.
+    Groups, not rows, are ranked: by a seeded hash within their stratum, which is the least of their rows' values. A rank is
+    that in one of 4,096 ranges of the hash, plus what the ranges before it hold, so no task sorts a whole stratum.
     """
-    groups = rows.groupBy(group).agg(*(F.min(s).alias(s) for s in strata))
-    w = Window.partitionBy(*strata)
-    rank = (F.row_number().over(w.orderBy(place(seed, group), group)) - 0.5) / F.count("*").over(w)
+    named = rows.groupBy(group).agg(F.to_json(F.struct(*(F.min(s).alias(s) for s in strata))).alias("stratum")).withColumn("place", place(seed, group))
+    groups = named.withColumn("range", F.substring("place", 1, 3))
+    counts = groups.groupBy("stratum", "range").agg(F.count("*").alias("n"))
+    all_ = Window.partitionBy("stratum")
+    before = F.coalesce(F.sum("n").over(all_.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = groups.join(counts.select("stratum", "range", before.alias("before"), F.sum("n").over(all_).alias("total")), ["stratum", "range"])
+    rank = (F.col("before") + F.row_number().over(Window.partitionBy("stratum", "range").orderBy("place", group)) - 0.5) / F.col("total")
     split = F.lit(shares[-1][0])
     for k in range(len(shares) - 2, -1, -1):
         split = F.when(rank <= sum(share for _, share in shares[: k + 1]), shares[k][0]).otherwise(split)

@@ -101,7 +101,7 @@ def template_ids(registry: DataFrame, kind: str, active_only: bool = True) -> Da
 
 
 def with_template(rows: DataFrame, registry: DataFrame, key: str = "template_id") -> DataFrame:
-    """Adds the template's text; an unknown id is an error. The registry is a handful of rows."""
+    """Adds the template's text; an unknown id is an error."""
     known = registry.select(F.col("template_id").alias(key), F.col("text").alias("template"))
-    joined = rows.join(F.broadcast(known), key, "left")
+    joined = rows.join(known, key, "left")
     return joined.withColumn("template", F.when(F.col("template").isNull(), F.raise_error(F.concat(F.lit("unknown template id "), F.coalesce(key, F.lit("null"))))).otherwise(F.col("template")))
