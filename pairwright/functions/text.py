@@ -31,15 +31,19 @@ def once(value: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def repeated_windows(words: Column, window: int = policy.REPEAT_WINDOW, times: int = policy.REPEAT_COUNT) -> Column:
-    """True if a run of ``window`` tokens occurs at least ``times`` times; equal runs are neighbours when sorted."""
+    """True if a run of ``window`` tokens occurs at least ``times`` times; equal runs are neighbours when sorted.
 
-    def runs(w: Column) -> Column:
-        return F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.array_join(F.slice(w, i, F.lit(window)), " ")))
+    Hashes of the runs are compared first; the runs themselves are only looked at where hashes repeat.
+    """
 
-    def again(r: Column) -> Column:
-        return F.exists(F.zip_with(r, F.slice(r, times, F.size(r)), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False)))
+    def again(w: Column, run: Callable[[Column], Column]) -> Column:
+        runs = F.array_sort(F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: run(F.slice(w, i, F.lit(window)))))
+        return once(runs, lambda r: F.exists(F.zip_with(r, F.slice(r, times, F.size(r)), lambda a, b: a == b), lambda x: F.coalesce(x, F.lit(False))))
 
-    return once(words, lambda w: F.when(F.size(w) < window + times - 1, False).otherwise(once(runs(w), again)))
+    def seen(w: Column) -> Column:
+        return F.when(once(F.transform(w, lambda x: F.xxhash64(x)), lambda h: again(h, lambda r: F.xxhash64(r))), again(w, lambda r: F.array_join(r, " "))).otherwise(False)
+
+    return once(words, lambda w: F.when(F.size(w) < window + times - 1, False).otherwise(seen(w)))
 
 
 def repeated_nearby(words: Column, window: int = policy.LOCAL_WINDOW, times: int = policy.LOCAL_COUNT, chars: int = policy.LOCAL_CHARS) -> Column:
