@@ -166,6 +166,6 @@ def keep_one_text(docs: DataFrame) -> DataFrame:
     texts = marked.where("text is not null").select(F.col(name).alias("node"), "text")
     linked = small(components(near_links(texts)))
     found = cut(marked.select("doc_id", F.col(name).alias("node")).join(linked, "node"))
-    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best"))
+    best = cut(found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("best")))
     gone = small(found.join(best, "component").where("node <> best.node").select(F.col("node").alias(name)).distinct())
     return marked.join(gone, name, "left_anti").select(*docs.columns)

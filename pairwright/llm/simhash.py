@@ -152,11 +152,12 @@ def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
     and empty texts are one group. An empty table gives no rows.
     """
     text, id_ = unused(docs, "text"), unused(docs, "id")
-    named = docs.withColumns({text: F.to_json(text_key("text")), id_: F.col("doc_id")})
+    named = docs.withColumns({text: text_key("text"), id_: F.col("doc_id")})
     prints = cut(named.select(F.col(id_).alias("id"), F.col(text).alias("t"), fingerprint(F.col("text"), shingle).alias("fp")).groupBy("id", "t", "fp").agg(F.count("*").alias("n")))
-    groups = prints.join(_grouped(prints, distance), "fp")
+    # both sides of the next join are written, so that Spark can split a component with very many texts
+    groups = cut(prints.join(_grouped(prints, distance), "fp"))
     rank = F.struct(F.col("id").isNull().alias("late"), "id", "t")
-    best = groups.groupBy("component").agg(F.min(rank).alias("best"))
+    best = cut(groups.groupBy("component").agg(F.min(rank).alias("best")))
     judged = cut(groups.join(best, "component").select(F.col("id").alias(f"{id_}_"), F.col("t").alias(f"{text}_"), "n", (F.col("id").eqNullSafe(F.col("best.id")) & (F.col("t") == F.col("best.t"))).alias("stays")))
     same = F.col(id_).eqNullSafe(F.col(f"{id_}_")) & (F.col(text) == F.col(f"{text}_"))
     kept = named.join(small(judged.where("not stays").drop("n", "stays")), same, "left_anti")
