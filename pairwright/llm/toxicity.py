@@ -18,7 +18,7 @@ WINDOW, STRIDE = 24, 16  # words; neighbouring windows overlap by a third
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8  # of each of the two embeddings, and of each direction
 GRAMS = (3, 4, 5)
 PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,24}")  # longer words are several pieces
-NEAR = -4.0  # logit from which on windows are moved
+NEAR = -2.5  # logit from which on windows are moved, up to 0
 NO_WORDS = -4.0  # logit of a text without words
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -155,9 +155,10 @@ class Scorer:
                 end += 1
             logits, of, first = self.windows(texts[at:end])
             np.maximum.at(out, of + at, logits)
-            # a run of toxic words may lie across two windows, so windows are moved where one comes near
+            # a run of toxic words may lie across two windows, so windows are moved where one comes near and none is there
+            near = (logits > NEAR) & (out[of + at] < 0)
             finer: list[set[int]] = [set() for _ in range(at, end)]
-            for i, s in zip(of[logits > NEAR].tolist(), first[logits > NEAR].tolist(), strict=True):
+            for i, s in zip(of[near].tolist(), first[near].tolist(), strict=True):
                 finer[i].update(min(max(s + by, 0), max(len(texts[at + i]) - WINDOW, 0)) for by in range(4 - STRIDE, STRIDE, 4))
             if any(finer):
                 logits, of, _ = self.windows(texts[at:end], [sorted(f) for f in finer])
@@ -268,8 +269,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, m
 def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
     """Adds score (0 to 1, higher: more toxic) and predicted (1 if score >= ``threshold``) to every row of ``docs`` (text).
 
-    Every word of the text lies in some window of 24 words, of which one begins at every 16th word, and around windows with
-    a logit over ``NEAR`` at every fourth; the score is that of the highest window. Null and empty texts have no
+    Every word of the text lies in some window of 24 words, of which one begins at every 16th word, and at every fourth
+    around windows with a logit over ``NEAR`` of texts without one over 0; the score is that of the highest window. Null and empty texts have no
     window and a score under 0.02, so they are never predicted toxic; ties have equal scores. Only the text counts; rows are kept as they are; other columns stay and
     those of the two names are replaced.
     """

@@ -233,10 +233,12 @@ def test_toxicity_score_by_hand():
         return float((e / e.sum()) @ s @ p["out"] + p["out_b"])
 
     near = [one(words[s : s + T.WINDOW]) for s in T.windows_of(70)]
-    assert max(near) > T.NEAR  # so windows are moved around each that comes near
-    moved = {min(max(s + by, 0), 70 - T.WINDOW) for s, z in zip(T.windows_of(70), near) if z > T.NEAR for by in range(4 - T.STRIDE, T.STRIDE, 4)}
-    want = max(near + [one(words[s : s + T.WINDOW]) for s in moved])
-    assert abs(T.Scorer(p).scores([words])[0] - want) < 1e-4
+    for bias in (-1.0 - max(near), 1.0 - max(near), -9.0 - max(near)):  # near, there, and far
+        p["out_b"] = np.float32(p["out_b"] + bias)
+        near = [one(words[s : s + T.WINDOW]) for s in T.windows_of(70)]
+        moved = {min(max(s + by, 0), 70 - T.WINDOW) for s, z in zip(T.windows_of(70), near) if T.NEAR < z and max(near) < 0 for by in range(4 - T.STRIDE, T.STRIDE, 4)}
+        want = max(near + [one(words[s : s + T.WINDOW]) for s in moved])
+        assert abs(T.Scorer(p).scores([words])[0] - want) < 1e-4
     assert T.Scorer(p).scores([[]])[0] <= T.NO_WORDS
 
 
