@@ -5,7 +5,6 @@ from __future__ import annotations
 import pickle
 import re
 import zlib
-from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -14,11 +13,10 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import labelled_sample, shared, train_in_task
 
-WINDOW, STRIDE = 24, 16  # words; neighbouring windows overlap by a third
+WINDOW, STRIDE = 24, 2  # words; a window begins at every second word, so neighbours share 22 words
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8  # of each of the two embeddings, and of each direction
 GRAMS = (3, 4, 5)
 PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,24}")  # longer words are several pieces
-NEAR = -2.5  # logit from which on windows are moved, up to 0
 NO_WORDS = -4.0  # logit of a text without words
 MARKS = b"""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
 
@@ -57,9 +55,9 @@ def embed(p: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
     return out
 
 
-def windows_of(n: int) -> list[int]:
-    """Where the windows over n words begin; together they cover all words."""
-    return [*range(0, max(n - WINDOW, 0), STRIDE), max(n - WINDOW, 0)] if n else []
+def windows_of(n: int) -> range:
+    """Where the windows over n words begin: at every ``STRIDE``th word, until one holds the last word."""
+    return range(0, max(n - WINDOW, 0) + STRIDE, STRIDE) if n else range(0)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -102,12 +100,26 @@ def start(seed: int) -> dict[str, np.ndarray]:
 
 
 class Scorer:
-    """Scores whole texts; keeps the gates' inputs of words it has met, up to ``most_words``."""
+    """Scores whole texts; keeps the gates' inputs of words it has met, up to ``most_words``.
+
+    Texts lie behind each other, each followed by padding that leaves states as they are, and all begin at a multiple of the
+    stride, so the words at one step of neighbouring windows are a plain slice and many windows run as one batch.
+    """
+
+    PAD, BATCH = 0, 1024
 
     def __init__(self, p: dict[str, np.ndarray], most_words: int = 60_000):
         self.p, self.most, self.rows = p, most_words, {}
+        # a sigmoid is a tanh of half its input
+        self.half = np.tile(np.repeat(np.float32([0.5, 1]), [2 * HIDDEN, HIDDEN]), 2)
         self.w, self.c = np.concatenate([p["wf"], p["wb"]], axis=1), np.concatenate([p["cf"], p["cb"]])
-        self.table = np.zeros((most_words * 2, 6 * HIDDEN), np.float32)
+        self.u = [np.ascontiguousarray((p[f"u{d}"] * self.half[: 3 * HIDDEN]).T) for d in "fb"]
+        self.table = self.empty(most_words * 2)
+
+    def empty(self, n: int) -> np.ndarray:
+        table = np.zeros((n, 6 * HIDDEN), np.float32)
+        table[self.PAD, :HIDDEN] = table[self.PAD, 3 * HIDDEN : 4 * HIDDEN] = 30  # keeps the state
+        return table
 
     def codes(self, words: list[bytes]) -> np.ndarray:
         fresh = list(dict.fromkeys(w for w in words if w not in self.rows))
@@ -115,34 +127,51 @@ class Scorer:
             self.rows = {}
             fresh = list(dict.fromkeys(words))
             if len(fresh) > len(self.table) - 1:
-                self.table = np.zeros((len(fresh) + 1, 6 * HIDDEN), np.float32)
+                self.table = self.empty(len(fresh) + 1)
         if fresh:
             first = len(self.rows) + 1  # row 0 is padding
             self.rows.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-            self.table[first : first + len(fresh)] = embed(self.p, fresh) @ self.w + self.c
+            self.table[first : first + len(fresh)] = (embed(self.p, fresh) @ self.w + self.c) * self.half
         return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
 
-    def windows(self, texts: list[list[bytes]], begins: list[Iterable[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(logit, text, first word) of every window of every text with words, or of those that begin at ``begins``."""
-        words = [w for t in texts for w in t]
-        coded = np.concatenate([self.codes(words), np.zeros(WINDOW, np.int64)])
-        at, of, first, size = [], [], [], []
-        base = 0
-        for i, t in enumerate(texts):
-            for s in windows_of(len(t)) if begins is None else begins[i]:
-                at.append(base + s)
-                of.append(i)
-                first.append(s)
-                size.append(min(WINDOW, len(t)))
-            base += len(t)
-        at, size = np.array(at, np.int64), np.array(size)
-        logits = np.empty(len(at), np.float32)
-        for k in range(0, len(at), 2048):
-            mask = (np.arange(WINDOW)[:, None] < size[k : k + 2048])[..., None]
-            gates = self.table[coded[at[k : k + 2048] + np.arange(WINDOW)[:, None]]]
-            states = np.concatenate([run_gates(gates[..., : 3 * HIDDEN], self.p["uf"], mask, False), run_gates(gates[..., 3 * HIDDEN :], self.p["ub"], mask, True)], axis=2)
-            logits[k : k + 2048] = pool(self.p, states, mask)[0]
-        return logits, np.array(of, np.int64), np.array(first, np.int64)
+    def windows(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(logit, text, first word) of every window of every text with words."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        room = -(-sizes // STRIDE) * STRIDE + np.where(sizes > 0, WINDOW, 0)
+        begins = np.cumsum(room) - room
+        total = int(room.sum())
+        coded = np.full(-(-total // STRIDE) * STRIDE + WINDOW, self.PAD, np.int64)
+        coded[np.arange(sizes.sum()) + np.repeat(begins - (np.cumsum(sizes) - sizes), sizes)] = self.codes([w for t in texts for w in t])
+        each = [windows_of(n) for n in sizes]
+        of = np.repeat(np.arange(len(texts)), [len(e) for e in each])
+        first = np.concatenate([np.empty(0, np.int64), *(np.arange(e.start, e.stop, e.step) for e in each if len(e))]).astype(np.int64)
+        # by place in the stride, then by gate, then by window, so that a step of a batch lies together
+        gates = np.ascontiguousarray(self.table[coded].reshape(-1, STRIDE, 6 * HIDDEN).transpose(1, 2, 0))
+        real = np.ascontiguousarray((coded != self.PAD).reshape(-1, STRIDE).T)
+        out = np.empty(max(total // STRIDE, 0), np.float32)
+        for at in range(0, len(out), self.BATCH):
+            out[at : at + self.BATCH] = self._logits(gates, real, at, min(self.BATCH, len(out) - at))
+        return out[(begins[of] + first) // STRIDE], of, first
+
+    def _logits(self, gates: np.ndarray, real: np.ndarray, at: int, n: int) -> np.ndarray:
+        p, states = self.p, np.empty((WINDOW, 2 * HIDDEN, n), np.float32)
+        for k, u in enumerate(self.u):
+            h = np.zeros((HIDDEN, n), np.float32)
+            for t in range(WINDOW) if k == 0 else range(WINDOW - 1, -1, -1):
+                lo = at + t // STRIDE
+                x, a = gates[t % STRIDE, 3 * HIDDEN * k : 3 * HIDDEN * (k + 1), lo : lo + n], u @ h
+                zr = np.tanh(x[: 2 * HIDDEN] + a[: 2 * HIDDEN])
+                zr *= 0.5
+                zr += 0.5
+                new = np.tanh(x[2 * HIDDEN :] + zr[HIDDEN:] * a[2 * HIDDEN :])
+                h = new + zr[:HIDDEN] * (h - new)
+                states[t, HIDDEN * k : HIDDEN * (k + 1)] = h
+        e = np.matmul(p["att_v"], np.tanh(np.matmul(p["att"].T, states) + p["att_b"][:, None]))  # (WINDOW, n)
+        inside = np.stack([real[t % STRIDE, at + t // STRIDE : at + t // STRIDE + n] for t in range(WINDOW)])
+        e = np.where(inside, e, -30.0)
+        e = np.exp(e - e.max(axis=0))
+        said = np.matmul(p["out"], states)
+        return (said * e).sum(axis=0) / e.sum(axis=0) + p["out_b"]
 
     def scores(self, texts: list[list[bytes]]) -> np.ndarray:
         """The highest window logit of each text; a text without words, which says nothing, gets ``NO_WORDS`` or less."""
@@ -153,21 +182,13 @@ class Scorer:
             while end < len(texts) and (end == at or total + len(texts[end]) <= 50_000):
                 total += len(texts[end])
                 end += 1
-            logits, of, first = self.windows(texts[at:end])
+            logits, of, _ = self.windows(texts[at:end])
             np.maximum.at(out, of + at, logits)
-            # a run of toxic words may lie across two windows, so windows are moved where one comes near and none is there
-            near = (logits > NEAR) & (out[of + at] < 0)
-            finer: list[set[int]] = [set() for _ in range(at, end)]
-            for i, s in zip(of[near].tolist(), first[near].tolist(), strict=True):
-                finer[i].update(min(max(s + by, 0), max(len(texts[at + i]) - WINDOW, 0)) for by in range(4 - STRIDE, STRIDE, 4))
-            if any(finer):
-                logits, of, _ = self.windows(texts[at:end], [sorted(f) for f in finer])
-                np.maximum.at(out, of + at, logits)
             at = end
         return np.where(np.isinf(out), min(float(self.p["out_b"]), NO_WORDS), out)
 
 
-def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, size: np.ndarray, y: np.ndarray, known: np.ndarray) -> dict[str, np.ndarray]:
+def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, size: np.ndarray, y: np.ndarray, known: np.ndarray, toxic_weight: float = 1.0) -> dict[str, np.ndarray]:
     """Of the mean logistic loss over windows; index (T, B) into words; words not ``known`` show their characters only."""
     slot, grams, gmask = word_inputs(words)
     share = gmask / np.sqrt(np.maximum(gmask.sum(axis=1), 1))[:, None]
@@ -178,7 +199,7 @@ def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, s
     hb, kb = run_gates(inputs @ p["wb"] + p["cb"], p["ub"], mask, True, True)
     states = np.concatenate([hf, hb], axis=2)
     logit, weight, k = pool(p, states, mask)
-    d = ((sigmoid(logit) - y) / len(y)).astype(np.float32)
+    d = ((sigmoid(logit) - y) * np.where(y > 0, toxic_weight, 1.0) / len(y)).astype(np.float32)
     pooled = (weight[..., None] * states).sum(axis=0)
     g = {"out": pooled.T @ d, "out_b": d.sum()}
     d_pooled = d[:, None] * p["out"]
@@ -213,7 +234,7 @@ def gradients(p: dict[str, np.ndarray], words: list[bytes], index: np.ndarray, s
     return g
 
 
-def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, least_steps: int = 200, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.3, seed: int = 3) -> bytes:
+def fit(sample: pd.DataFrame, rounds: int = 6, batch: int = 128, least_steps: int = 200, rate: float = 0.01, decay: float = 1e-4, unknown: float = 0.3, toxic_weight: float = 2.0, seed: int = 3) -> bytes:
     """The network of a bounded sample (text, y), as bytes.
 
     A toxic document is taken to be toxic in its highest-scoring windows only, so in each round but the first the network
@@ -251,7 +272,7 @@ def fit(sample: pd.DataFrame, rounds: int = 4, batch: int = 128, least_steps: in
             words = list(dict.fromkeys(w for r in runs for w in r))
             number = {w: k for k, w in enumerate(words)}
             index = np.array([[number[w] for w in r] + [0] * (WINDOW - len(r)) for r in runs]).T
-            grads = gradients(p, words, index, np.array([len(r) for r in runs]), y[[i for i, _ in part]], (g.random(len(words)) >= unknown).astype(np.float32))
+            grads = gradients(p, words, index, np.array([len(r) for r in runs]), y[[i for i, _ in part]], (g.random(len(words)) >= unknown).astype(np.float32), toxic_weight)
             step += 1
             for k, d in grads.items():
                 d = d + decay * p[k] if k not in ("out_b",) else d
@@ -269,10 +290,10 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, most_toxic: int = 1500, m
 def score_toxicity(docs: DataFrame, model: bytes, threshold: float = 0.5) -> DataFrame:
     """Adds score (0 to 1, higher: more toxic) and predicted (1 if score >= ``threshold``) to every row of ``docs`` (text).
 
-    Every word of the text lies in some window of 24 words, of which one begins at every 16th word, and at every fourth
-    around windows with a logit over ``NEAR`` of texts without one over 0; the score is that of the highest window. Null and empty texts have no
-    window and a score under 0.02, so they are never predicted toxic; ties have equal scores. Only the text counts; rows are kept as they are; other columns stay and
-    those of the two names are replaced.
+    All overlapping windows of 24 words are scored, one of which begins at every ``STRIDE``th word of the whole text, alike
+    for all texts; the score is that of the highest window. Null and empty texts have no window and a score under 0.02, so
+    they are never predicted toxic; ties have equal scores. Only the text counts; rows are kept as they are; other columns
+    stay and those of the two names are replaced.
     """
     base = docs.drop("score", "predicted")
     held = shared(docs.sparkSession, model)

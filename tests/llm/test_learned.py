@@ -215,7 +215,6 @@ def test_scores_by_hand():
 def test_toxicity_score_by_hand():
     """The score of a text: the highest of its windows, each by a loop over one window's words."""
     p = T.start(5)
-    words = [f"w{i % 13}".encode() for i in range(70)]
 
     def one(run):
         x = T.embed(p, run)
@@ -232,13 +231,17 @@ def test_toxicity_score_by_hand():
         e = np.exp(np.tanh(s @ p["att"] + p["att_b"]) @ p["att_v"])
         return float((e / e.sum()) @ s @ p["out"] + p["out_b"])
 
-    near = [one(words[s : s + T.WINDOW]) for s in T.windows_of(70)]
-    for bias in (-1.0 - max(near), 1.0 - max(near), -9.0 - max(near)):  # near, there, and far
-        p["out_b"] = np.float32(p["out_b"] + bias)
-        near = [one(words[s : s + T.WINDOW]) for s in T.windows_of(70)]
-        moved = {min(max(s + by, 0), 70 - T.WINDOW) for s, z in zip(T.windows_of(70), near) if T.NEAR < z and max(near) < 0 for by in range(4 - T.STRIDE, T.STRIDE, 4)}
-        want = max(near + [one(words[s : s + T.WINDOW]) for s in moved])
-        assert abs(T.Scorer(p).scores([words])[0] - want) < 1e-4
+    texts = [[f"w{(i * 7 + n) % 13}".encode() for i in range(n)] for n in (1, 2, 3, 23, 24, 25, 26, 27, 47, 48, 49, 70, 0, 211)]
+    scorer = T.Scorer(p)
+    scorer.BATCH = 7  # so that batches end inside a text
+    logits, of, first = scorer.windows(texts)
+    for i, words in enumerate(texts):
+        # every window from every second word on, until one holds the last word
+        begins = [s for s in range(0, len(words), T.STRIDE) if s == 0 or s - T.STRIDE + T.WINDOW < len(words)]
+        assert first[of == i].tolist() == begins
+        assert np.allclose(logits[of == i], [one(words[s : s + T.WINDOW]) for s in begins], atol=1e-4)
+        if words:
+            assert abs(T.Scorer(p).scores([words])[0] - max(logits[of == i])) < 1e-4
     assert T.Scorer(p).scores([[]])[0] <= T.NO_WORDS
 
 
