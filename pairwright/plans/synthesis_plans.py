@@ -9,6 +9,7 @@ from pairwright.functions import policy
 from pairwright.operators import correction as C
 from pairwright.operators import policy_splits as Y
 from pairwright.operators import reports as R
+from pairwright.operators import spread_pick as SP
 from pairwright.operators import synthesis as S
 from pairwright.plans.labelling import LABELS_SQL, _quoted, label_rows
 from pairwright.sources.stand_ins import PAIRS_SQL, pairs, table
@@ -291,6 +292,21 @@ def pick_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.pick_report(policy_pick(spark, sf_dir), "job_id")
 
 
+@query("y2_spread_pick")
+def spread_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pairs(spark, sf_dir).select("trace_id", "job_id", "fit_level")
+    return SP.spread_pick(rows, "job_id", dict.fromkeys(policy.FIT_LEVELS, 50), seed=SEED).select("trace_id", "job_id", "fit_level")
+
+
+#: What the policy asks for, where there are jobs enough: no level and no job is short.
+ENOUGH_SQL = "enough AS (SELECT count(*) >= 100 AS yes FROM (SELECT job_id FROM p WHERE fit_level IS NOT NULL GROUP BY job_id HAVING count(*) >= 5 AND count(DISTINCT fit_level) >= 2))"
+
+
+@query("y2_spread_report", f"WITH {PAIRS_SQL}, {ENOUGH_SQL} SELECT 250::BIGINT AS n, 50::BIGINT AS n_jobs, 5::BIGINT AS least_per_job, 50::BIGINT AS least_per_level, 0::BIGINT AS short_of_levels, 0::BIGINT AS short_of_jobs, TRUE AS passed FROM enough WHERE yes")
+def spread_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return SP.spread_report(spread_pick(spark, sf_dir), "job_id", dict.fromkeys(policy.FIT_LEVELS, 50))
+
+
 @query("y3_freeze_gate", f"{LABELS_SQL}, v AS (SELECT avg((generated_fit_label = computed_fit_label)::INT::DOUBLE) AS agreement, sum((generated_fit_label IS NULL)::INT + (resume_template IS NULL)::INT)::BIGINT AS missing_fields, count(*) FILTER (generated_fit_label IS NULL) AS unresolved FROM labels_) SELECT *, agreement >= 0.8::DOUBLE AND missing_fields = 0 AND unresolved = 0 AS passed FROM v")
 def freeze_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = label_rows(spark, sf_dir)
