@@ -14,10 +14,11 @@ from pairwright.operators import judge as J
 from pairwright.operators import validate as V
 from pairwright.operators.labels import label, metrics
 from pairwright.operators.reports import last_per
-from pairwright.plans.labelling import LABELS_SQL
+from pairwright.plans.labelling import LABELS_SQL, label_rows
 from pairwright.plans.validation_plans import EXPECTED_SQL, JOB, TYPED_SQL, raw_lines
 from pairwright.sources import records as S
 from pairwright.sources.stand_ins import AS_OF, PAIRS_SQL, pairs, table
+from pairwright.streaming import rescored as RS
 from pairwright.streaming import review as T
 
 QUERIES: dict = {}
@@ -203,6 +204,28 @@ def running_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
 
 
+RESCORED_SQL = f"""{LABELS_SQL},
+dated AS (SELECT l.*, o_orderdate::TIMESTAMP AS day, o_orderkey AS k FROM labels_ l JOIN orders ON trace_id = 'pair-' || o_orderkey),
+last_score AS (SELECT CASE WHEN k % 3 = 0 THEN day + INTERVAL 10 DAY ELSE day END AS day, CASE WHEN k % 3 = 0 THEN coalesce(generated_fit_label, 'unlabeled') ELSE computed_fit_label END AS computed_fit_label,
+  {', '.join(f"(CASE WHEN k % 3 = 0 AND '{f}' = 'missing_core_skills' THEN NOT {f} ELSE {f} END)::INT::DOUBLE AS {f}" for f in policy.FLAGS)} FROM dated)
+SELECT time_bucket(INTERVAL 30 DAY, day, TIMESTAMP '1970-01-01') AS window_start, computed_fit_label, count(*) AS n, {', '.join(f'avg({f}) AS {f}_rate' for f in policy.FLAGS)} FROM last_score GROUP BY 1, 2"""
+
+
+@query("t2_rescored_rates", RESCORED_SQL)
+def rescored_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third pair is scored again ten days later, every seventh score comes twice, and scores arrive in any order."""
+    folder, k = fresh(spark), F.substring_index("trace_id", "-", -1).cast("long")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("timestamp").alias("analysis_date"))
+    first = label_rows(spark, sf_dir).withColumn("k", k).join(orders, "k")
+    again = F.struct((F.col("analysis_date") + F.expr("INTERVAL 10 DAYS")).alias("analysis_date"), F.coalesce("generated_fit_label", F.lit("unlabeled")).alias("computed_fit_label"), *((~F.col(f) if f == "missing_core_skills" else F.col(f)).alias(f) for f in policy.FLAGS))
+    once = F.struct("analysis_date", "computed_fit_label", *policy.FLAGS)
+    every = F.concat(F.array(once), F.when(k % 3 == 0, F.array(again)).otherwise(F.array()), F.when(k % 7 == 0, F.array(once)).otherwise(F.array()))
+    first.select("trace_id", F.explode(every).alias("s")).select("trace_id", "s.*").repartition(8, F.rand(1)).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(f"trace_id string, {RS.SCORE}").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    RS.follow(spark, stream, f"{folder}/out", f"{folder}/state", late="3650 days", keep_days=3650)
+    return RS.rates(spark.read.parquet(f"{folder}/out").drop("batch")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
 def last_batch(spark: SparkSession, folder: str) -> DataFrame:
     """The last batch's totals."""
     rows = spark.read.parquet(folder)
