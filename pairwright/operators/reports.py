@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions import policy
+from pairwright.operators import sketches as K
+from pairwright.sources.records import settled
 
 METRICS = ("skills_overlap", *policy.FLAGS)
 
@@ -104,44 +106,48 @@ def judge_summary(judge: DataFrame) -> DataFrame:
     )
 
 
-def exact_percentiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...], accuracy: int = 10_000) -> DataFrame:
+def exact_percentiles(rows: DataFrame, key: str, value: str, shares: tuple[float, ...], accuracy: int = 4096) -> DataFrame:
     """(key, n, p): exact percentiles of each group by linear interpolation, as an array in the order of ``shares``.
 
-    An approximate percentile has a bounded state and a bounded error in rank, so the wanted ranks lie between those of
-    two approximate ones. Only the few values between are sorted; those below are counted. Null values are left out.
+    Two scans: sketches of this size bound the ranks, and what lies between the bounds is counted. Null and NaN values are
+    left out.
     """
-    rows = rows.where(F.col(value).isNotNull()).select(F.col(key).alias("k"), F.col(value).cast("double").alias("v"))
-    near = [min(1.0, max(0.0, p + side * 2 / accuracy)) for p in shares for side in (-1, 1)]
-    bounds = rows.groupBy("k").agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*map(F.lit, near)), accuracy).alias("q"))
-    each = F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("rank"), F.get("q", 2 * i).alias("low"), F.get("q", 2 * i + 1).alias("high")) for i, p in enumerate(shares)))
-    wanted = bounds.select("k", "n", F.explode(each).alias("w")).select("k", "n", "w.*")
-    met = rows.join(wanted, "k")
-    outside = met.groupBy("k", "i").agg(F.count_if(F.col("v") < F.col("low")).alias("below"), F.max(F.when(F.col("v") < F.col("low"), F.col("v"))).alias("before"), F.min(F.when(F.col("v") > F.col("high"), F.col("v"))).alias("after"))
-    inside = met.where(F.col("v").between(F.col("low"), F.col("high"))).groupBy("k", "i", "rank", "v").agg(F.count("*").alias("c"))
-    upto = inside.join(outside.select("k", "i", "below"), ["k", "i"]).withColumn("upto", F.col("below") + F.sum("c").over(Window.partitionBy("k", "i").orderBy("v")))
-    at = lambda r: F.min(F.when(F.col("upto") > r, F.col("v")))
-    found = upto.groupBy("k", "i").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"))
-    joined = wanted.join(found, ["k", "i"]).join(outside, ["k", "i"])
-    low = F.when(F.floor("rank") < F.col("below"), F.col("before")).otherwise(F.coalesce("a", "after"))
-    high = F.when(F.ceil("rank") < F.col("below"), F.col("before")).otherwise(F.coalesce("b", "after"))
-    value_ = low + (high - low) * (F.col("rank") - F.floor("rank"))
-    return joined.groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("i", value_.alias("p")))).alias("p")).select(F.col("k").alias(key), "n", F.transform("p", lambda x: x["p"]).alias("p"))
-
-
-def latency_summary(latencies: DataFrame, targets: dict[str, float], exact: bool = True) -> DataFrame:
+    rows = rows.select(F.col(key).alias("k"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    return K.exact_at(rows, settled(K.sketched(rows, ["k"], "v", accuracy)), shares, K.rank_error(accuracy)).withColumnRenamed("k", key)
+
+
+def latency_target(targets: dict[str, float]) -> Column:
+    known = F.element_at(F.create_map(*(F.lit(x) for kv in targets.items() for x in kv)), F.col("mode")) if targets else F.lit(None).cast("double")
+    return F.coalesce(known, F.lit(policy.LATENCY_TARGETS["with_judge"]))
+
+
+def latency_summary(latencies: DataFrame, targets: dict[str, float], exact: bool = True, accuracy: int = 4096) -> DataFrame:
     """Per mode of ``latencies`` (mode, seconds): n, mean, median and 95th percentile by linear interpolation, max,
-    target and pass. ``exact=False`` takes approximate percentiles, which need one pass instead of three. A mode without
-    values has no row."""
-    timed = latencies.where("seconds is not null")
-    target = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in targets.items() for x in kv)), F.col("mode")), F.lit(policy.LATENCY_TARGETS["with_judge"])) if targets else F.lit(policy.LATENCY_TARGETS["with_judge"])
-    plain = [F.avg("seconds").alias("mean_s"), F.max("seconds").alias("max_s")]
-    if exact:
-        out = timed.groupBy("mode").agg(*plain).join(exact_percentiles(timed, "mode", "seconds", (0.5, 0.95)), "mode")
-    else:
-        out = timed.groupBy("mode").agg(F.count("*").alias("n"), *plain, F.percentile_approx("seconds", F.array(F.lit(0.5), F.lit(0.95)), 10_000).alias("p"))
+    target and pass. ``exact=False`` takes the percentiles of ``latency_of_sketches``, which needs one scan instead of two.
+    A mode without values has no row."""
+    rows = latencies.select(F.col("mode").alias("k"), F.col("seconds").cast("double").alias("v")).where("v is not null and not isnan(v)")
+    kept = settled(K.sketched(rows, ["k"], "v", accuracy))
+    if not exact:
+        return latency_of_sketches(kept.withColumnRenamed("k", "mode"), targets).drop("rank_error")
+    of = K.exact_at(rows, kept, (0.5, 0.95), K.rank_error(accuracy)).drop("n")
+    out = kept.select(F.col("k").alias("mode"), "n", (F.col("total") / F.col("n")).alias("mean_s"), F.col("most").alias("max_s")).join(of.withColumnRenamed("k", "mode"), "mode")
+    target = latency_target(targets)
     return out.select("mode", "n", "mean_s", F.get("p", 0).alias("p50_s"), F.get("p", 1).alias("p95_s"), "max_s", target.alias("target_s"), (F.get("p", 1) <= target).alias("passed"))
 
 
+def latency_of_sketches(kept: DataFrame, targets: dict[str, float], accuracy: int = 4096) -> DataFrame:
+    """The summary of what runs have kept (mode, n, total, most, sketch), merged by mode; no measurement is read.
+
+    Percentiles are values at most ``rank_error`` off in rank; all else is exact.
+    """
+    target, at = latency_target(targets), K.at_ranks("sketch", [0.5, 0.95])
+    p50, p95 = F.get(at, 0), F.get(at, 1)
+    return K.merged(kept, ["mode"]).select(
+        "mode", "n", (F.col("total") / F.col("n")).alias("mean_s"), p50.alias("p50_s"), p95.alias("p95_s"), F.col("most").alias("max_s"),
+        target.alias("target_s"), (p95 <= target).alias("passed"), F.lit(K.rank_error(accuracy)).alias("rank_error"),
+    )
+
+
 def stage_durations(times: DataFrame, known: tuple[str, ...] = policy.STAGES) -> DataFrame:
     """The last run of each known stage of ``times`` (stage, started_at, seconds)."""
     return times.where(F.col("stage").isin(*known)).groupBy("stage").agg(F.max_by("seconds", F.struct("started_at", "seconds")).alias("seconds"))

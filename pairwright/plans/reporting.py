@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairwright.functions import policy
 from pairwright.operators import labels as L
 from pairwright.operators import reports as R
 from pairwright.operators import review as V
+from pairwright.operators import sketches as K
 from pairwright.plans.labelling import LABELS_SQL, label_rows
 from pairwright.sources.records import settled
 from pairwright.sources.stand_ins import AS_OF, pairs, table
@@ -234,6 +235,26 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.latency_summary(rows, {"click": policy.LATENCY_TARGETS["rules_only"]})
 
 
+DAY_SQL = "events_ AS (SELECT event_type AS mode, value::DOUBLE AS v FROM events WHERE value IS NOT NULL)"
+
+
+@query("a14_merged_runs", f"""WITH {DAY_SQL} SELECT mode, count(*) AS n, avg(v) AS mean_s, max(v) AS max_s, TRUE AS p50_in_bounds, TRUE AS p95_in_bounds FROM events_ GROUP BY mode""")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day is a run that keeps sketches; merged, their percentiles lie within twice the stated error in rank."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("run"), F.col("event_type").alias("mode"), F.col("value").cast("double").alias("seconds"))
+    runs = settled(K.sketched(events, ["run", "mode"], "seconds"))
+    told = F.broadcast(R.latency_of_sketches(runs, {}))  # one row a mode
+    known = events.where("seconds is not null").select("mode", "seconds").join(told.select("mode", "n", "p50_s", "p95_s", "rank_error"), "mode")
+
+    def inside(at: str, share: float) -> Column:
+        low, high = F.count_if(F.col("seconds") < F.col(at)) / F.count("*"), F.count_if(F.col("seconds") <= F.col(at)) / F.count("*")
+        slack = 2 * F.max("rank_error") + 1 / F.count("*")
+        return (low - slack <= share) & (high + slack >= share)
+
+    checked = known.groupBy("mode").agg(inside("p50_s", 0.5).alias("p50_in_bounds"), inside("p95_s", 0.95).alias("p95_in_bounds"))
+    return told.select("mode", "n", "mean_s", "max_s").join(checked, "mode")
+
+
 STAGE_OF = {"click": "generation", "view": "validation", "purchase": "analysis", "error": "correction", "signup": "other"}
 
 
