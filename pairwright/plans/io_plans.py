@@ -158,6 +158,23 @@ def judge_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.verdicts(answers).select("trace_id", "has_hallucinations", "overall_quality_score", "judge_error")
 
 
+@query("u1_answers_by_prompt", "SELECT o_orderpriority || '/' || o_orderstatus AS prompt, count(*) AS n, count(*) FILTER (o_orderstatus <> 'P') AS n_answers, max(CASE WHEN o_orderstatus = 'P' THEN 'pending' ELSE upper(o_orderpriority) END) AS said FROM orders GROUP BY 1")
+def answers_by_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that share a few prompts: each different one is asked once, half of them in a first run."""
+
+    def call(prompt: str) -> str:
+        priority, status = prompt.rsplit("/", 1)
+        if status == "P":
+            raise ValueError("pending")
+        return priority.upper()
+
+    store = fresh(spark)
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("trace_id"), F.concat_ws("/", "o_orderpriority", "o_orderstatus").alias("prompt"))
+    J.ask_once(rows.where(F.col("prompt").startswith("1")), call, store, parallel=4)
+    told = J.ask_once(rows, call, store, parallel=4)
+    return rows.join(told, "trace_id").groupBy("prompt").agg(F.count("*").alias("n"), F.count("answer").alias("n_answers"), F.max(F.coalesce("answer", "error")).alias("said"))
+
+
 FIXED_JOB = json.dumps(JOB)
 
 
