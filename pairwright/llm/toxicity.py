@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import labelled_sample, shared, train_in_task
 
-WINDOW, STRIDE = 24, 2  # words; a window begins at every second word, so neighbours share 22 words
+WINDOW, STRIDE = 24, 4  # words; a window begins at every fourth word, so neighbours share 20 words
 BUCKETS, WIDTH, HIDDEN = 1 << 15, 8, 8  # of each of the two embeddings, and of each direction
 GRAMS = (3, 4, 5)
 PIECE = re.compile(rb"[^\x20\x09-\x0D]{1,24}")  # longer words are several pieces

@@ -236,7 +236,7 @@ def test_toxicity_score_by_hand():
     scorer.BATCH = 7  # so that batches end inside a text
     logits, of, first = scorer.windows(texts)
     for i, words in enumerate(texts):
-        # every window from every second word on, until one holds the last word
+        # every window from every fourth word on, until one holds the last word
         begins = [s for s in range(0, len(words), T.STRIDE) if s == 0 or s - T.STRIDE + T.WINDOW < len(words)]
         assert first[of == i].tolist() == begins
         assert np.allclose(logits[of == i], [one(words[s : s + T.WINDOW]) for s in begins], atol=1e-4)
