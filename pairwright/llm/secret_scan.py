@@ -50,14 +50,19 @@ def _bigrams(token: Column) -> Column:
 
 def _identifiers(text: Column, every: int = 8) -> Column:
     """Identifiers as they are made of words: every ``every``th run of two to four of the text's words, as snake_case,
-    kebab-case, a path, camelCase, a class name, a constant, or with numbers; which of them is told by a hash."""
+    kebab-case, a path, camelCase, a class name, a constant, or with numbers, dates or times; a hash tells which."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0))
 
     def made(run: Column, at: Column) -> Column:
         spaced, pick = F.array_join(run, " "), F.xxhash64(F.array_join(run, "|"), at)
         title, few = F.replace(F.initcap(spaced), F.lit(" "), F.lit("")), F.pmod(F.shiftright(pick, 8), F.lit(100)).cast("string")
         by = lambda sign: F.replace(spaced, F.lit(" "), F.lit(sign))
-        forms = [by("_"), by("-"), by("/"), F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200)), title, F.upper(by("_")), F.concat(F.get(run, 0), F.substring(few, 1, 1), F.lit("/"), by("-")), F.concat(by("_"), F.lit("_"), few), F.concat(by("-"), F.lit("-20"), F.lpad(few, 2, "0")), F.concat(F.lit("/"), by("/"), F.lit("/v"), few)]
+        two = lambda shift, most: F.lpad(F.pmod(F.shiftright(pick, shift), F.lit(most)).cast("string"), 2, "0")
+        date = F.concat(F.lit("20"), few2 := F.lpad(few, 2, "0"), F.lit("-"), two(16, 12), F.lit("-"), two(24, 31))
+        numbers = F.concat_ws("-", F.get(run, 0), few2, two(16, 100), two(24, 60), two(32, 100))
+        stamp = F.concat(date, F.lit("T"), two(32, 24), F.lit("-"), two(40, 60), F.lit("-"), two(48, 60), F.lit("Z-"), F.get(run, 0))
+        port = F.concat(F.get(run, 0), F.lit("/"), two(16, 100), two(24, 100), F.lit("-to-"), few, F.lit("-"), two(32, 10), F.lit("-"), two(40, 100), F.lit("-"), two(48, 10), F.lit("/"), few)
+        forms = [F.concat(by("-"), F.lit("-"), date), stamp, numbers, port, F.concat(date, F.lit("/"), by("/")), by("_"), by("-"), by("/"), F.concat(F.lower(F.substring(title, 1, 1)), F.substring(title, 2, 200)), title, F.upper(by("_")), F.concat(F.get(run, 0), F.substring(few, 1, 1), F.lit("/"), by("-")), F.concat(by("_"), F.lit("_"), few), F.concat(by("-"), F.lit("-20"), F.lpad(few, 2, "0")), F.concat(F.lit("/"), by("/"), F.lit("/v"), few)]
         return F.get(F.array(*forms), F.pmod(pick, F.lit(len(forms))).cast("int"))
 
     def over(w: Column) -> Column:
@@ -78,20 +83,33 @@ PARTS = (
     "library link load local logger loop map memory menu message method mode month name network node notify number object offset option output package page param path payment picture pixel player plugin point policy position print process product profile query queue"
 ).split()
 
+# Labelled samples: names of people as they are written in several languages, without marks.
+NAMES = (
+    "abdulrahman adriaansen aleksandrowicz andreasdottir arvidsson athanasiadis bartholomew bialystok brzeczyszczykiewicz chrzanowski csikszentmihalyi dostoevsky dvorakova echeverria eriksson featherstonehaugh "
+    "fitzgerald gianfranco giovannini goncalves grzegorz guadalupe gunnarsson hakkarainen hernandez hrvatska ibrahimovic ilmarinen jedrzejczyk johannsson juhaszova kaczmarek katarzyna khrushchev kowalczyk krzysztof "
+    "kwasniewski lindqvist lukaszewicz maciejewski magnusdottir mbappe mkhitaryan mohammed muhammadu ngozi nguyen nkrumah oluwaseun papadopoulos pietrzak przemyslaw quetzalcoatl rodriguez rzeszow schwarzenegger "
+    "shevchenko sigurdsson szczepanski szymborska tchaikovsky thorvaldsen tsiolkovsky uzoamaka vaclavik vandenberg wawrzyniak weissmuller wojciechowski xochitl yevgeniy yordanov zbigniew zsigmond zwolinski"
+).split()
+
 
 def labelled_tokens(docs: DataFrame, most_docs: int = 2000, most_chars: int = 65_536) -> DataFrame:
     """(token, random): samples to train from, of at most ``most_docs`` documents of at most ``most_chars``, picked by the
     hash of their ids.
 
-    Ordinary: the documents' runs of 4 or more letters, identifiers made of their words and of ``PARTS`` in an order drawn
-    for each document, and characters in their order.
+    Ordinary: the documents' runs of 4 or more letters, identifiers made of their words and of ``PARTS`` and ``NAMES`` in an
+    order drawn for each document, and characters in their order.
     Random: what the fixed formats find in them, and for each document the hex and base64 forms of digests of its id and
     text. Repeated documents and tokens count as often as they occur.
     """
     picked = sample_by_id(docs.where(F.length("text") <= most_chars), "doc_id", "text", most_docs)
+    # so few rows would be read by one task or two
+    picked = cut(picked.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, 8), F.xxhash64("doc_id")))
     words = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{4,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
-    drawn = F.array_sort(F.transform(F.split(F.lit(" ".join(PARTS)), " "), lambda w: F.struct(F.xxhash64(w, "doc_id").alias("h"), w.alias("w"))))
-    parts = F.array_join(F.transform(drawn, lambda x: x["w"]), " ")
+    # neighbours in an order drawn for each document: steps through the parts, whose number is prime to every step below it
+    every = [*PARTS, *NAMES]
+    n = next(k for k in range(len(every), 1, -1) if all(k % d for d in range(2, int(k**0.5) + 1)))
+    step, first = F.pmod(F.xxhash64("doc_id"), F.lit(n - 1)) + 1, F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n))
+    parts = bound(F.split(F.lit(" ".join(every)), " "), lambda w: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get(w, F.pmod(first + step * i, F.lit(n)).cast("int"))), " "))
     ordinary = picked.select(F.explode(F.concat(words, _identifiers(F.col("text")), _identifiers(parts), F.array(*(F.lit(x) for x in IN_ORDER)))).alias("token"), F.lit(False).alias("random"))
     base = base_spans(F.col("text"))
     found = picked.select(F.explode(F.concat(F.transform(base["assign"], lambda x: F.regexp_replace(x["value"], ASSIGN_HEAD, "")), *(F.transform(base[k], lambda x: x["value"]) for k in ("access", "hex")))).alias("token"))
@@ -101,7 +119,7 @@ def labelled_tokens(docs: DataFrame, most_docs: int = 2000, most_chars: int = 65
 
 
 class Model(NamedTuple):
-    """The log-likelihood ratio of each bigram, random over ordinary (N * N numbers), and the least mean of a secret."""
+    """The log-likelihood ratio of each bigram, random over ordinary (N * N numbers), and the least sum of a secret."""
 
     cells: list[float]
     threshold: float
@@ -115,9 +133,11 @@ def held_back(token: Column) -> Column:
 def train(tokens: DataFrame, smoothing: float = 0.5) -> list[float]:
     """The log-likelihood ratio of each bigram, random over ordinary; N * N numbers.
 
-    ``tokens``: (token, random). Each model is a first-order chain with added ``smoothing``.
+    ``tokens``: (token, random). Each model is a first-order chain with added ``smoothing``. Equal tokens are counted before
+    their bigrams are.
     """
-    counts = tokens.where(F.length("token") >= 2).select("random", F.explode(_bigrams(F.col("token"))).alias("cell")).groupBy("random", "cell").count()
+    tokens = tokens.where(F.length("token") >= 2).groupBy("random", "token").agg(F.count("*").alias("n"))
+    counts = tokens.select("random", "n", F.explode(_bigrams(F.col("token"))).alias("cell")).groupBy("random", "cell").agg(F.sum("n"))
     seen = {(r[0], r[1]): r[2] for r in counts.collect()}  # at most 2 * N * N rows
     out = []
     for a in range(N):
@@ -132,15 +152,58 @@ def ratio(token: Column, cells: list[float]) -> Column:
     return F.aggregate(_bigrams(token), F.lit(0.0), lambda s, c: s + F.get(each, c)) / F.greatest(F.length(token) - 1, F.lit(1))
 
 
-def secret_model(tokens: DataFrame, false_alarms: float = 0.002, missed: float = 0.05, least: float = 0.5) -> Model:
+#: What each bigram must exceed to make a stretch look more random; how far a stretch may fall behind its best before it
+#: ends; the least mean of its bigrams above ``DRIFT``; and the least characters of a secret.
+DRIFT, FALL, LEAST_MEAN, LEAST_CHARS = 0.4, 14.0, 0.6, 16
+SEGMENT = "array<struct<from:int,to:int,top:double>>"
+
+
+def stretches(token: Column, cells: list[float], least_chars: int = LEAST_CHARS) -> Column:
+    """The stretches of a token (from, to, top) that look random, and how much by.
+
+    The ratios of the bigrams, less ``DRIFT``, are summed from where they begin to be positive; a stretch ends at its highest
+    sum, once the sum is back at zero or ``FALL`` below that. So ordinary text before or behind a random string takes nothing
+    from it. Stretches under ``least_chars`` are left out, and so are long ones that are but a little above zero all along. One pass with a state of fixed size, but for what is found.
+    """
+    each = F.split(F.lit(",".join(f"{x - DRIFT:.6f}" for x in cells)), ",").cast("array<double>")
+    state = lambda i, total, start, top, end, found: F.struct(i.alias("i"), total.alias("sum"), start.alias("from"), top.alias("top"), end.alias("to"), found.alias("found"))
+
+    def told(a: Column) -> Column:
+        long = (a["top"] > 0) & (a["to"] - a["from"] >= least_chars) & (a["top"] >= LEAST_MEAN * (a["to"] - a["from"] - 1))
+        return F.when(long, F.array_append(a["found"], F.struct(a["from"].alias("from"), a["to"].alias("to"), a["top"].alias("top")))).otherwise(a["found"])
+
+    def step(a: Column, cell: Column) -> Column:
+        now, i = a["sum"] + F.get(each, cell), a["i"]
+        ends = (now <= 0) | (now < a["top"] - FALL)
+        fresh = state(i + 1, F.lit(0.0), i + 1, F.lit(0.0), i + 1, told(a))
+        return F.when(ends, fresh).otherwise(state(i + 1, now, a["from"], F.greatest(a["top"], now), F.when(now > a["top"], i + 2).otherwise(a["to"]), a["found"]))
+
+    begin = state(F.lit(0), F.lit(0.0), F.lit(0), F.lit(0.0), F.lit(0), F.from_json(F.lit("[]"), SEGMENT))
+    return F.aggregate(_bigrams(token), begin, step, told)
+
+
+def whole(token: Column, x: Column) -> Column:
+    """(start, end) of a stretch with the rest of its part of the token, if that is short: up to 8 letters and digits to the next
+    sign, up to 5 characters to the token's end, and padding."""
+    before, behind = F.substring(token, F.lit(1), x["from"]), F.substring(token, x["to"] + 1, F.length(token))
+    back = F.when(x["from"] <= 5, x["from"]).otherwise(F.length(F.regexp_extract(before, r"(?<![A-Za-z0-9])[A-Za-z0-9]{0,8}$", 0)))
+    ahead = F.when(F.length(behind) <= 5, F.length(behind)).otherwise(F.length(F.regexp_extract(behind, r"^[A-Za-z0-9]{0,8}(?![A-Za-z0-9])=*", 0)))
+    return F.struct((x["from"] - back).alias("start"), (x["to"] + ahead).alias("end"))
+
+
+def secret_model(tokens: DataFrame, false_alarms: float = 0.002, missed: float = 0.02, least: float = 8.0) -> Model:
     """A model of labelled ``tokens`` (token, random), of which a fifth sets the threshold.
 
-    Of held-back tokens of 16 or more characters, it lies midway between the ratio that a share of ``false_alarms`` of the
-    ordinary ones exceed and that which a share of ``missed`` of the random ones stay below, and is no less than
-    ``least``, which also holds where there is nothing to learn from.
+    Of held-back tokens of 16 or more characters the most random stretch counts, of random ones that of their first 16 to 23
+    characters. The threshold lies midway between what a share of ``false_alarms`` of the ordinary ones exceed and what a
+    share of ``missed`` of the random ones stay below, and is no less than ``least``, which also holds where there is nothing
+    to learn from.
     """
     cells = train(tokens.where(~held_back(F.col("token"))))
-    kept = tokens.where(held_back(F.col("token")) & (F.length("token") >= 16)).select("random", ratio(F.col("token"), cells).alias("r"))
+    short = F.substring(F.col("token"), F.lit(1), (F.pmod(F.xxhash64("token"), F.lit(8)) + 16).cast("int"))
+    token = F.when(F.col("random"), short).otherwise(F.col("token"))
+    top = F.coalesce(F.array_max(F.transform(stretches(token, cells, 2), lambda x: x["top"])), F.lit(0.0))
+    kept = tokens.where(held_back(F.col("token")) & (F.length("token") >= 16)).select("random", top.alias("r"))
     # the sample is bounded, so its percentiles are
     high, low = kept.agg(F.percentile(F.when(~F.col("random"), F.col("r")), F.lit(1 - false_alarms)), F.percentile(F.when(F.col("random"), F.col("r")), F.lit(missed))).collect()[0]
     return Model(cells, max(least, (high + low) / 2) if high is not None and low is not None else least)
@@ -149,8 +212,9 @@ def secret_model(tokens: DataFrame, false_alarms: float = 0.002, missed: float =
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """Adds assign, access, hex and markov (arrays of start, end, value) to every row of ``docs`` (text).
 
-    markov: runs of 16 or more of the alphabet's characters, in what the fixed formats' spans and UUIDs leave of the text,
-    whose mean log-likelihood ratio is over the model's threshold. A null text has no spans; rows are kept as they are,
+    markov: stretches of 16 or more characters of the alphabet, in what the fixed formats' spans and UUIDs leave of the text,
+    whose summed log-likelihood ratio is over the model's threshold, with the rest of their part (``whole``); shorter random strings are never secrets, as
+    they can't be told from abbreviations and numbers. A null text has no spans; rows are kept as they are,
     repeated ones too, and equal texts have equal spans; other columns stay and those of the four names are replaced.
     """
     base = docs.drop("assign", "access", "hex", "markov")
@@ -158,7 +222,12 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     found = base.withColumns(base_spans(text))
     left = F.regexp_replace(blanked(text, [F.col(k) for k in ("assign", "access", "hex")]), UUID, " " * 36)
     long = F.when(text.rlike(CANDIDATE), left).otherwise("")
-    return found.withColumn("markov", F.filter(find_spans(long, CANDIDATE, text.rlike(CANDIDATE)), lambda x: ratio(x["value"], model.cells) > model.threshold))
+
+    def inside(x: Column) -> Column:
+        random = F.transform(F.filter(stretches(x["value"], model.cells), lambda r: r["top"] > model.threshold), lambda r: whole(x["value"], r))
+        return F.transform(random, lambda r: F.struct((x["start"] + r["start"]).alias("start"), (x["start"] + r["end"]).alias("end"), F.substring(x["value"], r["start"] + 1, r["end"] - r["start"]).alias("value")))
+
+    return found.withColumn("markov", F.flatten(F.transform(find_spans(long, CANDIDATE, text.rlike(CANDIDATE)), inside)))
 
 
 def secret_spans(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:

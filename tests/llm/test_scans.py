@@ -99,9 +99,25 @@ def brute_markov(text, model):
     out = []
     for m in re.finditer(secret_scan.CANDIDATE, left):
         at = [secret_scan.ALPHABET.index(c) for c in m[0]]
-        mean = sum(round(model.cells[a * secret_scan.N + b], 6) for a, b in zip(at[:-1], at[1:])) / (len(at) - 1)
-        if mean > model.threshold:
-            out.append((m.start(), m.end()))
+        gain = [float(f"{model.cells[a * secret_scan.N + b] - secret_scan.DRIFT:.6f}") for a, b in zip(at[:-1], at[1:])]
+        begin = 0
+        while begin < len(gain):
+            # the sum from here on, up to where it is used up or far below its best
+            total, top, end, i = 0.0, 0.0, begin, begin
+            while i < len(gain):
+                total += gain[i]
+                i += 1
+                if total <= 0 or total < top - secret_scan.FALL:
+                    break
+                if total > top:
+                    top, end = total, i + 1
+            if end - begin >= secret_scan.LEAST_CHARS and top > model.threshold and top >= secret_scan.LEAST_MEAN * (end - begin - 1):
+                head, tail = re.search(r"[A-Za-z0-9]*$", m[0][:begin])[0], re.match(r"[A-Za-z0-9]*", m[0][end:])[0]
+                first = 0 if begin <= 5 else begin - (len(head) if len(head) <= 8 else 0)
+                pad = len(re.match(r"=*", m[0][end + len(tail) :])[0])
+                last = len(m[0]) if len(m[0]) - end <= 5 else end + (len(tail) + pad if len(tail) <= 8 else 0)
+                out.append((m.start() + first, m.start() + last))
+            begin = i
     return out
 
 
@@ -116,6 +132,33 @@ def test_markov_spans(llm_spark, sf):
     assert not any(found[: len(ORDINARY)]) and sum(found[len(ORDINARY) :]) >= 0.9 * 220
 
 
+def test_secrets_joined_to_ordinary_text(llm_spark, sf):
+    """Of each form at least nine in ten are found, and what is around them isn't taken."""
+    model = secret_scan.secret_model(secret_scan.cut(secret_scan.labelled_tokens(llm_spark.read.parquet(f"{sf}/documents.parquet"))))
+    g, every = random.Random(8), "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    forms = {"{}": (20, every), "/users/profile/settings/{}": (20, every), "https://example.com/downloads/archive/session/{}": (32, every), "aws_secret_access_{}": (24, every), "id-{}": (24, every[26:]), "{}/users/profile/settings": (20, every)}
+    rows = [(form, "".join(g.choices(letters, k=n))) for form, (n, letters) in forms.items() for _ in range(120)]
+    frame = llm_spark.createDataFrame([(f, x, f"see {f.format(x)} there") for f, x in rows], "form string, secret string, text string")
+    got = secret_scan.scan(frame, model).select("form", "secret", F.transform(F.concat("markov", "hex"), lambda x: x["value"]).alias("found")).collect()
+    for form in forms:
+        some = [r for r in got if r.form == form]
+        # all but a few of the secret's characters are in one span, and the longest word beside it isn't
+        hit = [any(len(v) >= 12 and (v in r.secret or r.secret in v or len(set(range(len(r.secret) - 11)) & {i for i in range(len(r.secret) - 11) if r.secret[i : i + 12] in v}) > 0) for v in r.found) for r in some]
+        assert sum(hit) >= 0.9 * len(some), (form, sum(hit))
+        assert not any("settings/users" in v or "profile" in v or "archive" in v for r in some for v in r.found if len(v) > 40)
+
+
+def test_long_runs_and_several_secrets(llm_spark, sf):
+    model = secret_scan.secret_model(secret_scan.cut(secret_scan.labelled_tokens(llm_spark.read.parquet(f"{sf}/documents.parquet"))))
+    secrets = random_tokens(40)[:40]
+    text = "/the/ordinary/middle/section/".join(s for s in secrets if len(s) >= 24)
+    rows = llm_spark.createDataFrame([(1, text), (2, "the/path/of/some/file/" * 8_000)], "doc_id int, text string")
+    began = time.time()
+    got = {r.doc_id: [x.value for x in r.markov] for r in secret_scan.scan(rows, model).collect()}
+    assert got[2] == [] and len(got[1]) >= 0.9 * text.count("/the/") and max(map(len, got[1])) < 60 and time.time() - began < 60
+    assert [(0, [(x[0], x[1]) for x in [(y.start, y.end) for y in r.markov]]) for r in secret_scan.scan(rows.where("doc_id = 1"), model).collect()] == [(0, brute_markov(text, model))]
+
+
 def test_many_matches_in_one_text(llm_spark):
     text = "0123456789abcdef " * 100_000
     rows = llm_spark.createDataFrame([(1, text)], "doc_id int, text string")
