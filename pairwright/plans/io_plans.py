@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairwright.functions import policy
@@ -56,14 +56,19 @@ def record_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.record_lines(spark, written_lines(spark, sf_dir)).groupBy("record_type").agg(F.count("*").alias("n"))
 
 
-@query("s3_line_numbers", f"{EXPECTED_SQL} SELECT record_type, count(*) AS n, count(*) + count(*) FILTER (k % 10 = 0 AND NOT last) AS numbered FROM (SELECT *, k = max(k) OVER (PARTITION BY record_type) AS last FROM lines) GROUP BY 1")
+@query("s3_line_numbers", f"{EXPECTED_SQL} SELECT record_type, count(*) AS n, count(*) + count(*) FILTER (k % 10 = 0) AS numbered, count(*) AS placed FROM lines GROUP BY 1")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each type is written in order as several files, a blank line before each tenth customer's. numbered: the files' last
+    numbers; placed: lines whose number is one more than, or beyond a blank line two more than, that of the line before."""
     folder = fresh(spark)
     rows = raw_lines(spark, sf_dir)
     for kind in ("jobs", "resumes", "pairs"):
-        lines = rows.where(F.col("record_type") == kind).select("k", F.posexplode(F.when(F.col("k") % 10 == 0, F.array("value", F.lit(""))).otherwise(F.array("value"))).alias("pos", "value"))
-        lines.coalesce(1).sortWithinPartitions("k", "pos").select("value").write.text(f"{folder}/{kind}_v1.jsonl")
-    return S.record_lines(spark, folder).groupBy("record_type").agg(F.count("*").alias("n"), F.max("line_number").alias("numbered"))
+        lines = rows.where(F.col("record_type") == kind).select("k", F.posexplode(F.when(F.col("k") % 10 == 0, F.array(F.lit(""), "value")).otherwise(F.array("value"))).alias("pos", "value"))
+        lines.repartitionByRange(4, "k").sortWithinPartitions("k", "pos").select("value").write.text(f"{folder}/{kind}_v1.jsonl")
+    numbered = S.record_lines(spark, folder)
+    step = F.col("line_number") - F.coalesce(F.lag("line_number").over(Window.partitionBy("file_path").orderBy("line_number")), F.lit(0))
+    files = numbered.withColumn("step", step).groupBy("record_type", "file_path").agg(F.count("*").alias("n"), F.max("line_number").alias("last"), F.count_if(F.col("step").isin(1, 2)).alias("placed"))
+    return files.groupBy("record_type").agg(F.sum("n").alias("n"), F.sum("last").alias("numbered"), F.sum("placed").alias("placed"))
 
 
 @query("s1_strict_pairs", f"{EXPECTED_SQL}, {TYPED_SQL} SELECT CASE WHEN given THEN 'pair-' || k ELSE 'default' END AS trace_id, CASE WHEN given THEN 'good' END AS fit_level, gpa, years FROM lines JOIN typed USING (c)")
@@ -85,6 +90,21 @@ def valid_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("trace_id", "k", F.col("job_description.position").alias("position")).join(flags, "trace_id").select("k", "position", (~F.startswith("trace_id", F.lit("id-"))).alias("given"), "experience_mismatch", "template")
 
 
+@query("s4_one_document", f"{EXPECTED_SQL}, {TYPED_SQL} SELECT k, 'Engineer ' || k AS position, years, 2 AS forms FROM lines JOIN typed USING (c)")
+def one_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The valid pairs handed over as one document for each thousand customers, and as lines: both forms give equal pairs."""
+    folder = fresh(spark)
+    good = V.split(V.validate(raw_lines(spark, sf_dir).where("record_type = 'pairs'")))[0].select("k", "record_type", "value")
+    parts = good.groupBy(F.floor(F.col("k") / 1000).alias("part")).agg(F.array_join(F.array_sort(F.collect_list("value")), ",\n").alias("records"))
+    documents = parts.select("part", F.concat(F.lit('{"summary": {"valid_records": 1},\n "records": {"jobs": [], "pairs": [\n'), "records", F.lit("\n]}}")).alias("value"))
+    documents.repartition("part").write.partitionBy("part").text(f"{folder}/documents")  # one file a part
+    whole = S.document_records(spark, f"{folder}/documents")
+    good.select("value").write.text(f"{folder}/lines/pairs_v1.jsonl")
+    told = [S.strict_pairs(V.validate(rows)) for rows in (whole, S.record_lines(spark, f"{folder}/lines"))]
+    each = [t.select(F.substring_index("job_description.position", " ", -1).cast("long").alias("k"), F.col("job_description.position").alias("position"), F.col("job_description.requirements.years_experience").alias("years")) for t in told]
+    return each[0].unionByName(each[1]).groupBy("k", "position", "years").agg(F.count("*").alias("forms"))
+
+
 @query("s5_latest_run", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey % 3 = 2 GROUP BY 1")
 def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh(spark)

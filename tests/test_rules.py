@@ -117,6 +117,43 @@ def test_line_numbers_of_split_files(spark, tmp_path):
         records.record_lines(spark, str(tmp_path / "sub"))
 
 
+def test_no_other_file_is_read(spark, tmp_path):
+    for name, text in (("jobs_a.jsonl", "1\n\n \t\n4\n"), ("a b/pairs_[x]*.jsonl", "1\n2"), ("other.jsonl", "x\n"), ("jobs_c.txt", "x\n")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert [p.rsplit("/", 1)[1] for p in records.record_files(spark, str(tmp_path))] == ["pairs_[x]*.jsonl", "jobs_a.jsonl"]
+    got = records.record_lines(spark, str(tmp_path))
+    assert sorted((r.record_type, r.line_number, r.value) for r in got.collect()) == [("jobs", 1, "1"), ("jobs", 4, "4"), ("pairs", 1, "1"), ("pairs", 2, "2")]
+    assert "other.jsonl" not in str(got.inputFiles())
+
+
+def test_first_invalid_line_is_named(spark):
+    checked = spark.createDataFrame([("pairs", "pairs_b.jsonl", 2, "{}", 1), ("pairs", "pairs_a.jsonl", 9, "{}", 1), ("pairs", "pairs_a.jsonl", 10, "{}", 2), ("jobs", "jobs_a.jsonl", 1, "{}", 1)], "record_type string, source_file string, line_number long, value string, error_count int")
+    for rows in (checked, checked.orderBy(F.desc("line_number")), checked.repartition(4)):
+        with pytest.raises(ValueError, match="pairs_a.jsonl line 9$"):
+            records.strict_pairs(rows)
+
+
+def test_one_document(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"summary": {"n": 2},\n "records": {"jobs": [1], "pairs": [{"a": "x\\ny"},\n {"b": [1.5, null]}]}}')
+    (tmp_path / "w.json").write_text('{"summary": {}, "records": {}}')
+    got = records.document_records(spark, str(tmp_path)).collect()
+    assert sorted((r.record_type, r.source_file, r.line_number, json.loads(r.value)) for r in got) == [("pairs", "v.json", 1, {"a": "x\ny"}), ("pairs", "v.json", 2, {"b": [1.5, None]})]
+
+
+def test_only_complete_runs_count(spark, tmp_path):
+    rows = spark.range(3).withColumn("x", F.lit("a"))
+    for stamp in ("20240101", "20240103", "20240102"):
+        records.write_records(rows.where(F.col("id") < int(stamp[-1])), f"{tmp_path}/r", stamp, "json")
+    rows.write.json(f"{tmp_path}/r/run_ts=20240109")  # no manifest: it isn't known to be whole
+    assert list(records.complete_runs(spark, f"{tmp_path}/r")) == ["20240101", "20240102", "20240103"]
+    last = records.latest(spark, f"{tmp_path}/r")
+    assert sorted(map(tuple, last.collect())) == [(0, "a", "20240103"), (1, "a", "20240103"), (2, "a", "20240103")] and last.schema["id"].dataType.simpleString() == "bigint"
+    rows.write.json(f"{tmp_path}/u/run_ts=1")
+    with pytest.raises(FileNotFoundError):
+        records.latest(spark, f"{tmp_path}/u")
+
+
 def test_plan(spark):
     jobs = spark.range(50).withColumnRenamed("id", "job_index")
     plan = synthesis.generation_plan(jobs, 5, 0.2, 42)
