@@ -53,17 +53,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 11, str
     return c
 
 
+def cells_of(n: int, cell_rows: int, few_rows: int = 24, few_cells: int = 4) -> int:
+    """Into how many cells n vectors are cut: one for each ``cell_rows``, but up to ``few_cells`` from so many ``few_rows`` on.
+
+    In few vectors more cells save little, as most have neighbours in several; in many, cells of a fixed size keep the work
+    in proportion.
+    """
+    return max(-(-n // cell_rows), min(few_cells, n // few_rows), 1)
+
+
 def fit_cells(distinct: DataFrame, cell_rows: int, sample_each: int, most_cells: int) -> dict[tuple[str, int], np.ndarray]:
-    """Centroids by (label, dimension) where a label has over ``cell_rows`` vectors; at most ``most_cells`` in all.
+    """Centroids by (label, dimension) where a label has vectors for two cells (``cells_of``); at most ``most_cells`` in all.
 
     They are fitted on about ``sample_each`` vectors a cell, picked by hash, one task for each label.
     """
-    sizes = distinct.groupBy("label", F.size("embedding").alias("dim")).count().where(F.col("count") > cell_rows)
-    rows = sizes.orderBy(F.desc("count"), "label", "dim").limit(most_cells // 2).collect()
+    sizes = distinct.groupBy("label", F.size("embedding").alias("dim")).count().where(F.col("count") > min(cell_rows, 47))
+    rows = [r for r in sizes.orderBy(F.desc("count"), "label", "dim").limit(most_cells // 2).collect() if cells_of(r["count"], cell_rows) > 1]
     if not rows:
         return {}
-    scale = min(1.0, most_cells / sum(-(-r["count"] // cell_rows) for r in rows))
-    plan = [(r["label"], r["dim"], max(2, int(-(-r["count"] // cell_rows) * scale)), r["count"]) for r in rows]
+    scale = min(1.0, most_cells / sum(cells_of(r["count"], cell_rows) for r in rows))
+    plan = [(r["label"], r["dim"], max(2, int(cells_of(r["count"], cell_rows) * scale)), r["count"]) for r in rows]
     wanted = distinct.sparkSession.createDataFrame([(a, b, k, min(1.0, sample_each * k / n)) for a, b, k, n in plan], "label string, dim int, k int, part double")
     picked = distinct.withColumn("dim", F.size("embedding")).join(F.broadcast(wanted), ["label", "dim"]).where(F.pmod(F.xxhash64("embedding"), F.lit(1_000_003)) < F.col("part") * 1_000_003)
 
@@ -85,6 +94,13 @@ def cells(distinct: DataFrame, centroids: dict[tuple[str, int], np.ndarray], thr
     hold all neighbours, and no link is lost at a border.
     """
     held, reach = shared(distinct.sparkSession, centroids), np.sqrt(2 - 2 * threshold) + 1e-9
+    between: dict[tuple[str, int], np.ndarray] = {}
+
+    def apart(key: tuple[str, int], c: np.ndarray) -> np.ndarray:
+        """How far each centroid is from each, once a worker; rounded up, so that no neighbour is missed."""
+        if key not in between:
+            between[key] = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0)).astype(np.float32) + np.float32(1e-5)
+        return between[key]
 
     def place(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -99,8 +115,7 @@ def cells(distinct: DataFrame, centroids: dict[tuple[str, int], np.ndarray], thr
                     near = unit(some["embedding"]) @ c.T
                     own = near.argmax(axis=1)
                     gap = near[np.arange(len(some)), own][:, None] - near
-                    apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 0))[own]
-                    row, cell = np.nonzero(gap <= reach * apart + 1e-9)
+                    row, cell = np.nonzero(gap <= reach * apart((key[0], int(key[1])), c)[own] + 1e-9)
                     yield some.iloc[row].assign(cell=cell, host=cell == own[row])
 
     schema = "label string, dim int, cell int, host boolean, rid long, n long, embedding " + dict(distinct.dtypes)["embedding"]
@@ -138,7 +153,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = 0.98, cell_rows: int
     of different lengths don't link. Equal vectors are compared once and counted as often as they occur. Repeated rows
     stay; a row without a vec_id has links but isn't kept. Other columns are left out.
 
-    The centroids come from a bounded sample; every vector is placed. Large cells are dealt over pairs of sub-blocks.
+    The centroids come from a bounded sample, labels of 48 vectors on have some; every vector is placed. Large cells are dealt over pairs of sub-blocks.
     """
     rows = vectors.select("vec_id", "embedding", F.when(usable(F.col("embedding")), label_key(vectors)).alias("label"))
     live = rows.where("label is not null")

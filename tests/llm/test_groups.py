@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairwright.llm.common import local_components
 from pairwright.llm.components import components
-from pairwright.llm.embedding_dedup import embedding_groups
+from pairwright.llm.embedding_dedup import cells, cells_of, embedding_groups, fit_cells
 from pairwright.llm.simhash import blocks_for, fingerprint_of, keep_one, near_fingerprints, simhash_groups
 
 
@@ -116,6 +116,19 @@ def test_embedding_groups(llm_spark):
     assert embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_cells_on_the_given_table(llm_spark, sf):
+    """The vectors of the smallest table are compared within cells of fitted centroids."""
+    rows = llm_spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("label").cast("string").alias("label"), "embedding", "vec_id").where("embedding is not null")
+    sizes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    assert [cells_of(n, 2000) for n in (1, 47, 48, 100, 5000, 20_000)] == [1, 1, 2, 4, 4, 10]
+    # as many as the labels have, had each ten times as many vectors
+    more = rows.select("label", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("k"), "embedding", "vec_id").withColumn("embedding", F.transform("embedding", lambda x: x + F.col("k") * 0.01)).select("label", "embedding", F.lit(1).cast("long").alias("n"), F.xxhash64("vec_id", "k").alias("rid"))
+    found = fit_cells(more, 2000, 20, 4096)
+    assert {k[0]: len(c) for k, c in found.items()} == {label: cells_of(10 * n, 2000) for label, n in sizes.items() if label is not None and cells_of(10 * n, 2000) > 1} and found
+    placed = cells(more, found, 0.98)
+    assert placed.where("host").select("label", "cell").distinct().count() > len(found)
+
+
 def test_labels_and_sizes_of_any_kind(llm_spark):
     rows = [(1, [1e-200, 2e-200], "x"), (2, [1e300, 2e300], "x"), (3, [1.0, 2.0], "y"), (4, [float("inf"), 1.0], "x"), (5, [-1e-200, -2e-200], "x"), (6, [3.0, 6.0], None)]
     for kind, label in (("string", lambda x: x), ("double", lambda x: {"x": 0.0, "y": 1e10}.get(x)), ("long", lambda x: {"x": 2**40, "y": 7}.get(x)), ("array<int>", lambda x: {"x": [1], "y": [2]}.get(x))):
