@@ -26,6 +26,14 @@ def pieces(text: str | None) -> list[bytes]:
     return PIECE.findall((text or "").lower().encode("utf-8", "replace"))
 
 
+def gram_slots(raw: np.ndarray, n: int) -> np.ndarray:
+    """Buckets of all runs of n bytes of each row."""
+    h = np.full((len(raw), raw.shape[1] - n + 1), n, np.uint64)
+    for i in range(n):
+        h = h * np.uint64(0x100000001B3) + raw[:, i : raw.shape[1] - n + 1 + i]
+    return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int64)
+
+
 def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each word its bucket, and the buckets of its character n-grams with a mask."""
     bare = [w.strip(MARKS) or w for w in words]
@@ -37,21 +45,27 @@ def word_inputs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     for n in GRAMS:
         if wide < n:
             continue
-        h = np.full((len(bare), wide - n + 1), n, np.uint64)
-        for i in range(n):
-            h = h * np.uint64(0x100000001B3) + raw[:, i : wide - n + 1 + i]
-        grams.append(((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 15)).astype(np.int64))
+        grams.append(gram_slots(raw, n))
         masks.append(np.arange(wide - n + 1)[None] <= (sizes - n)[:, None])
     return slot, np.concatenate(grams, axis=1), np.concatenate(masks, axis=1)
 
 
 def embed(p: dict[str, np.ndarray], words: list[bytes]) -> np.ndarray:
-    """Word embedding and root-scaled sum of n-gram embeddings, side by side."""
+    """Word embedding and root-scaled sum of n-gram embeddings, side by side; words of one length go together."""
+    bare = [w.strip(MARKS) or w for w in words]
     out = np.empty((len(words), 2 * WIDTH), np.float32)
-    for at in range(0, len(words), 4000):
-        slot, grams, mask = word_inputs(words[at : at + 4000])
-        out[at : at + 4000, :WIDTH] = p["word"][slot]
-        out[at : at + 4000, WIDTH:] = (p["gram"][grams] * mask[..., None]).sum(axis=1) / np.sqrt(np.maximum(mask.sum(axis=1), 1))[:, None]
+    out[:, :WIDTH] = p["word"][np.fromiter(map(zlib.crc32, bare), np.int64, len(bare)) % BUCKETS]
+    sizes = np.fromiter(map(len, bare), np.int64, len(bare))
+    for size in np.unique(sizes).tolist():
+        every = np.flatnonzero(sizes == size)
+        for some in np.split(every, range(4000, len(every), 4000)):
+            raw = np.frombuffer(b"".join([b"<" + bare[i] + b">" for i in some.tolist()]), np.uint8).reshape(len(some), size + 2).astype(np.uint64)
+            total, n_grams = np.zeros((len(some), WIDTH), np.float32), 0
+            for n in (n for n in GRAMS if n <= size + 2):
+                at = gram_slots(raw, n)
+                total += p["gram"][at].sum(axis=1)
+                n_grams += at.shape[1]
+            out[some, WIDTH:] = total / np.sqrt(max(n_grams, 1))
     return out
 
 
@@ -122,7 +136,7 @@ class Scorer:
         return table
 
     def codes(self, words: list[bytes]) -> np.ndarray:
-        fresh = list(dict.fromkeys(w for w in words if w not in self.rows))
+        fresh = [w for w in dict.fromkeys(words) if w not in self.rows]
         if len(self.rows) + len(fresh) > len(self.table) - 1:
             self.rows = {}
             fresh = list(dict.fromkeys(words))
