@@ -48,7 +48,7 @@ def frequent(texts: DataFrame, share: int = 16, least: int = 4, most: int = 100_
 
 
 def prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(k, node, n): the first shingles of each text, of which texts of similarity 0.8 must share some.
+    """(k, node, n, pos): the first shingles of each text and their places, of which texts of similarity 0.8 must share some.
 
     Shingles are ordered by rarity, then by hash. A text of n has n - ceil(4n/5) + 1 of them in its prefix.
     """
@@ -75,61 +75,73 @@ def prefixes(texts: DataFrame, hot: np.ndarray) -> DataFrame:
                 part = f.iloc[lo : lo + 1000]
                 got = [first(t) for t in part["text"]]
                 sizes = [len(h) for h, _ in got]
-                yield pd.DataFrame({"k": np.concatenate([h for h, _ in got]), "node": np.repeat(part["node"].to_numpy(), sizes), "n": np.repeat([n for _, n in got], sizes).astype(np.int32)})
+                yield pd.DataFrame({"k": np.concatenate([h for h, _ in got]), "node": np.repeat(part["node"].to_numpy(), sizes), "n": np.repeat([n for _, n in got], sizes).astype(np.int32), "pos": np.concatenate([np.empty(0, np.int32), *(np.arange(s, dtype=np.int32) for s in sizes)])})
 
-    return texts.mapInPandas(run, "k long, node long, n int")
+    return texts.mapInPandas(run, "k long, node long, n int, pos int")
 
 
-def meetings(frames: Iterable[pd.DataFrame], hub: bool) -> Iterator[pd.DataFrame]:
-    """For frames sorted by (k, i, j, node): pairs of a group whose sizes and components allow a link.
+def meetings(frames: Iterable[pd.DataFrame], hub: bool, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """For frames sorted by (k, i, j, n, node): pairs of a group whose sizes, places and components allow a link.
 
-    ``hub``: only those with the group's first node."""
+    Two texts of similarity 0.8 have an overlap of at least 4/9 of their sizes' sum. Where their first common shingle stands,
+    at most the shingles from there on are common, so that each of them must have so many left. With the larger text given,
+    this and the sizes leave a range of sizes for the smaller one, so only pairs of such ranges are looked at: letters of one
+    form that share a little less than they should don't meet at all. Pairs may come more than once. ``hub``: only those with the
+    group's first text.
+    """
     for f in whole_groups(frames, ["k", "i", "j"]):
         keys = f[["k", "i", "j", "node"]].to_numpy()
         f = f[np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]]
         keys = f[["k", "i", "j"]].to_numpy()
-        start = np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)]
-        group = np.cumsum(start)
-        last, head = np.searchsorted(group, group, side="right"), np.searchsorted(group, group)
-        node, n, c, s = (f[x].to_numpy() for x in ("node", "n", "c", "s"))
-        cross = (f["i"] != f["j"]).to_numpy()
-        rows, step = np.arange(len(f)), 1
-        while True:
-            if hub:
-                a, b = head, np.arange(len(f))
-            else:
-                rows = rows[rows + step < last[rows]]
-                a, b, step = rows, rows + step, step + 1
-                if not len(a):
-                    break
-            ok = (c[a] != c[b]) & (5 * n[a] >= 4 * n[b]) & (5 * n[b] >= 4 * n[a]) & (~cross[a] | (s[a] != s[b]))
+        group = np.cumsum(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+        node, n, c, s, pos = (f[x].to_numpy() for x in ("node", "n", "c", "s", "pos"))
+        cross, left, head = (f["i"] != f["j"]).to_numpy(), n - pos, np.searchsorted(group, group)
+        # the place of a size in its group: groups and sizes together are in order
+        wide = int(n.max(initial=0)) + 1
+        order = group.astype(np.int64) * wide + n
+        rows = np.arange(len(f))
+        low = np.maximum(np.searchsorted(order, group * wide + -(-4 * n.astype(np.int64) // 5)), head)
+        high = np.minimum(np.searchsorted(order, group * wide + np.clip(9 * left.astype(np.int64) // 4 - n, -1, wide - 1), side="right"), rows)
+        if hub:
+            high = np.where(low <= head, np.minimum(high, head + 1), low)
+        many = np.maximum(high - low, 0)
+        ends = np.cumsum(many)
+        first = 0
+        while first < len(rows):  # some rows at a time, of together about ``most`` pairs
+            last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + most, side="right")), first + 1)
+            size = many[first:last]
+            a = np.repeat(rows[first:last], size)
+            b = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low[first:last], size)
+            first = last
+            least = -(-4 * (n[a].astype(np.int64) + n[b]) // 9)
+            ok = (c[a] != c[b]) & (left[a] >= least) & (left[b] >= least) & (~cross[a] | (s[a] != s[b]))
             a, b = a[ok], b[ok]
             if len(a):
                 up = node[a] < node[b]
                 x, y = np.where(up, a, b), np.where(up, b, a)
                 yield pd.DataFrame({"a": node[x], "b": node[y], "na": n[x], "nb": n[y]})
-            if hub:
-                break
 
 
-def verified(texts: DataFrame, met: DataFrame) -> DataFrame:
+def verified(texts: DataFrame, met: DataFrame, keyed: DataFrame) -> DataFrame:
     """(a, b) of the pairs of ``met`` that share four fifths of their shingles, all counted.
 
     Of two texts with overlap o the one whose prefix ends first has at most n - o shingles that the other lacks, so both
-    prefixes share at least the rest; pairs that share fewer are dropped before their sets are read.
+    prefixes (``keyed``: k, node) share at least the rest; pairs that share fewer are dropped before their sets are read.
     """
     least = F.ceil(4 * (F.col("na") + F.col("nb")) / 9)
     need = lambda n: least - F.ceil(4 * F.col(n) / 5) + 1
-    pairs = cut(met.groupBy("a", "b", "na", "nb").count().where(F.col("count") >= F.least(need("na"), need("nb"))).select("a", "b"))
-    nodes = small(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct())
+    pairs = cut(met.distinct())
+    nodes = lambda p: small(p.select(F.col("a").alias("node")).union(p.select(F.col("b").alias("node"))).distinct())
+    starts = cut(keyed.join(nodes(pairs), "node", "left_semi").groupBy("node").agg(F.collect_set("k").alias("h")))
+    both = lambda p, sets: p.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
+    pairs = cut(both(pairs, starts).where(F.size(F.array_intersect("x", "y")) >= F.least(need("na"), need("nb"))).select("a", "b"))
 
     def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame({"node": f["node"], "h": list(map(shingles, f["text"]))})
 
-    sets = cut(texts.join(nodes, "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInPandas(run, "node long, h array<long>"))
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("y")), "b")
-    return both.where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    sets = cut(texts.join(nodes(pairs), "node", "left_semi").dropDuplicates(["node"]).select("node", "text").mapInPandas(run, "node long, h array<long>"))
+    return both(pairs, sets).where(9 * F.size(F.array_intersect("x", "y")) >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
 def near_links(texts: DataFrame, hub_rows: int = 64, block_rows: int = 2048) -> DataFrame:
@@ -146,13 +158,13 @@ def near_links(texts: DataFrame, hub_rows: int = 64, block_rows: int = 2048) ->
     def met(rows: DataFrame, hub: bool) -> DataFrame:
         dealt = rows.withColumn("s", F.pmod(F.xxhash64("node"), F.col("m")).cast("int"))
         dealt = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("t"))
-        dealt = dealt.select("k", "node", "n", "c", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
-        ready = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
+        dealt = dealt.select("k", "node", "n", "pos", "c", "s", F.least("s", "t").alias("i"), F.greatest("s", "t").alias("j"))
+        ready = dealt.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "n", "node")
         return ready.mapInPandas(lambda frames: meetings(frames, hub), "a long, b long, na int, nb int")
 
-    one = cut(verified(texts, met(keyed.where(F.col("count") > hub_rows).withColumn("c", F.col("node")), True)))
+    one = cut(verified(texts, met(keyed.where(F.col("count") > hub_rows).withColumn("c", F.col("node")), True), keyed))
     known = small(components(one).select("node", F.col("component").alias("c")))
-    return one.unionByName(verified(texts, met(keyed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")), False)))
+    return one.unionByName(verified(texts, met(keyed.join(known, "node", "left").withColumn("c", F.coalesce("c", "node")), False), keyed))
 
 
 def keep_one_text(docs: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """Near-duplicate texts against brute force, and the pipeline's promise that none stay."""
 
 import random
+import time
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
+from pairwright.llm import near_texts
 from pairwright.llm.near_texts import keep_one_text, near_links
 
 
@@ -70,6 +73,38 @@ def test_blocks_and_hubs(llm_spark):
         assert {d for d, r in root.items() if d == r} == left(rows)
 
 
+def letters(n, own, common, seed=5):
+    """Letters of one form: each has ``own`` words of its own among ``common`` ones."""
+    g = random.Random(seed)
+    form = [f"form{i}" for i in range(common)]
+    return [(k, " ".join([f"own{k}x{g.randrange(10**9)}" for _ in range(own)] + form)) for k in range(n)]
+
+
+def test_letters_of_one_form_do_not_all_meet(llm_spark):
+    rows = letters(20_000, 56, 340)
+    frame = llm_spark.createDataFrame(rows, "node long, text string").repartition(8)
+    keyed = near_texts.prefixes(frame, near_texts.frequent(frame))
+    hot = keyed.groupBy("k").count().agg(F.max("count")).first()[0]
+    assert hot == 20_000  # all share shingles of their prefixes
+    dealt = keyed.withColumns({"c": F.col("node"), "s": F.lit(0), "i": F.lit(0), "j": F.lit(0)}).repartition(4, "k").sortWithinPartitions("k", "i", "j", "n", "node")
+    began = time.time()
+    assert dealt.mapInPandas(lambda frames: near_texts.meetings(frames, False), "a long, b long, na int, nb int").count() == 0
+    assert time.time() - began < 120
+
+
+def test_meetings_lose_no_link(llm_spark):
+    g = random.Random(12)
+    form = letters(60, 40, 200) + [(1000 + k, t) for k, t in letters(40, 24, 200, 6)] + [(2000 + k, " ".join(t.split()[: g.randrange(150, 260)])) for k, t in letters(60, 10, 250, 7)]
+    links = {(min(a, b), max(a, b)) for i, (a, x) in enumerate(form) for b, y in form[:i] if near(x, y)}
+    frame = llm_spark.createDataFrame(form, "node long, text string")
+    keyed = near_texts.prefixes(frame, near_texts.frequent(frame)).withColumns({"c": F.col("node"), "s": F.lit(0), "i": F.lit(0), "j": F.lit(0)})
+    ready = keyed.repartition(3, "k").sortWithinPartitions("k", "i", "j", "n", "node")
+    for most in (1 << 20, 7):
+        met = ready.mapInPandas(lambda frames, most=most: near_texts.meetings(frames, False, most), "a long, b long, na int, nb int")
+        assert links <= {(r.a, r.b) for r in met.select("a", "b").distinct().collect()}
+    assert {(r.a, r.b) for r in near_texts.verified(frame, met, keyed).collect()} == links and len(links) > 100
+
+
 def test_no_near_texts_stay(llm_spark, sf, tmp_path):
     docs = llm_spark.read.parquet(f"{sf}/documents.parquet")
     stages = [s for _, s in corpus_pipeline.STAGES]
