@@ -186,6 +186,11 @@ def repeated_ids(rows: DataFrame, key: str = "trace_id") -> DataFrame:
 
 
 def last_per(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The row of each key that is highest by ``order``, nulls lowest; partial results are made before the shuffle."""
-    last = F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("last")
-    return rows.groupBy(*(F.col(k).alias(f"{k}_") for k in keys)).agg(last).select("last.*")
+    """The row of each key that is highest by ``order``, nulls lowest; partial results are made before the shuffle.
+
+    The keys stay columns of their own, so that what follows by the same keys needs no shuffle.
+    """
+    rest = [c for c in rows.columns if c not in keys]
+    last = F.max_by(F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(rest))), F.struct(*(F.col(o).alias(f"o{k}") for k, o in enumerate(order))))
+    found = rows.groupBy(*keys).agg(last.alias("_last"))
+    return found.select(*(F.col(c) if c in keys else F.col("_last")[f"c{rest.index(c)}"].alias(c) for c in rows.columns))

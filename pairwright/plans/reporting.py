@@ -13,6 +13,7 @@ from pairwright.operators import sketches as K
 from pairwright.plans.labelling import LABELS_SQL, label_rows
 from pairwright.sources.records import settled
 from pairwright.sources.stand_ins import AS_OF, pairs, table
+from pairwright.sources.stored import stored_by
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -182,11 +183,16 @@ UNION ALL SELECT v.trace_id, 'recommendation_only', coalesce(requires_human_revi
   FROM verdicts v LEFT JOIN labels_ l ON v.trace_id = l.trace_id WHERE judge_error IS NULL AND len(recs) > 0 AND NOT coalesce(requires_human_review, false))"""
 
 
-def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def queue_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, adjudications and verdicts."""
     found = L.metrics(pairs(spark, sf_dir), AS_OF).withColumn("review_reason_codes", L.reason_codes())
     rows = found.select("seq", "trace_id", F.col("fit").alias("computed_fit_label"), "review_reason_codes", (F.size("review_reason_codes") > 0).alias("requires_human_review"))
     rows = settled(rows)  # read four times
-    return V.review_queue(rows, rows.select("seq", "trace_id", F.col("computed_fit_label").alias("adjudicated_fit_label")), verdicts(spark, sf_dir))
+    return rows, rows.select("seq", "trace_id", F.col("computed_fit_label").alias("adjudicated_fit_label")), verdicts(spark, sf_dir)
+
+
+def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.review_queue(*queue_parts(spark, sf_dir))
 
 
 def _queue_query(name: str, reason: str | None):
@@ -206,6 +212,17 @@ _queue_query("j4_recommendation_queue", "recommendation_only")
 _queue_query("x1_review_queue", None)
 
 
+def stored_queue_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Labels, adjudications and verdicts, each stored by trace id."""
+    return tuple(stored_by(df, buckets=8) for df in queue_parts(spark, sf_dir))
+
+
+@query("x1_stored_queue", f"{QUEUE_SQL} SELECT trace_id, queue_reason, requires_human_review, array_to_string(recs, '|') AS judge_recommendations FROM queue_")
+def stored_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = V.review_queue(*stored_queue_parts(spark, sf_dir))
+    return rows.select("trace_id", "queue_reason", "requires_human_review", F.array_join("judge_recommendations", "|").alias("judge_recommendations"))
+
+
 @query("j5_last_per_id", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS last_ts FROM events GROUP BY user_id")
 def last_per_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = R.last_per(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"])
