@@ -30,8 +30,8 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 NO_PARAGRAPH = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li body".split())
 END_TAG = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I) for name in RAW | HIDDEN_PARTS}
 
-PATH, WORDS, STATS = 160, 32, 8
-WIDTH, HIDDEN = PATH + WORDS + STATS, 16
+PATH, WORDS, STATS, CONTEXT = 160, 32, 8, 4
+WIDTH, HIDDEN = PATH + WORDS + STATS + CONTEXT, 20
 
 
 class Place:
@@ -184,8 +184,32 @@ class Hashed(dict):
         return out
 
 
+def context(blocks: list[Block]) -> np.ndarray:
+    """(n, CONTEXT) figures of a whole page's blocks: the share of its text that has the same path, and the same parent
+    element, the block's place, and how many blocks have its path."""
+    if not blocks:
+        return np.zeros((0, CONTEXT), np.float32)
+    own, above, count = Counter(), Counter(), Counter()
+
+    def parent(path: Place | tuple[str, ...]):
+        if isinstance(path, Place):
+            return path.parent
+        return path[: max((i for i, t in enumerate(path) if "." not in t), default=0)]
+
+    each = [(b.path, parent(b.path), len(b.text)) for b in blocks]
+    for path, up, n in each:
+        own[path] += n
+        above[up] += n
+        count[path] += 1
+    total = sum(n for _, _, n in each)
+    out = np.array([(own[path] / total, above[up] / total, 0, count[path]) for path, up, _ in each], np.float32)
+    out[:, 2] = np.arange(len(blocks)) / len(blocks)
+    out[:, 3] = np.log1p(out[:, 3]) / 5
+    return out
+
+
 class Inputs:
-    """Block -> vector: the tag path and the words as signed hashes, and figures of the text."""
+    """Block -> vector: the tag path and the words as signed hashes, figures of the text, and its part of the page."""
 
     def __init__(self) -> None:
         self.paths: dict[tuple[str, ...], np.ndarray] = {}
@@ -216,15 +240,17 @@ class Inputs:
             path.vector = (base, self.tokens([f"^{path.words[-1] if path.words else ''}"], base.copy()))
         return path.vector[1]
 
-    def of(self, blocks: list[Block]) -> np.ndarray:
+    def of(self, blocks: list[Block], around: np.ndarray | None = None) -> np.ndarray:
+        """Vectors of a page's blocks, or of some of them with their ``context``."""
         out = np.zeros((len(blocks), WIDTH), np.float32)
+        out[:, PATH + WORDS + STATS :] = context(blocks) if around is None else around
         for row, (path, text) in zip(out, blocks, strict=True):
             row[:PATH] = self.path(path)
             words = text.lower().split(" ")
             seen = np.bincount(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)), minlength=2 * WORDS)
             row[PATH : PATH + WORDS] = (seen[1::2] - seen[::2]) / np.sqrt(len(words))
             n = len(text)
-            row[PATH + WORDS :] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, n / len(words) / 10, text.count(".") / len(words), text.count(",") / len(words), text[-1] in ".!?", text[0].isupper(), sum(map(text.count, "|©»›")) > 0)
+            row[PATH + WORDS : PATH + WORDS + STATS] = (np.log1p(n) / 6, np.log1p(len(words)) / 4, n / len(words) / 10, text.count(".") / len(words), text.count(",") / len(words), text[-1] in ".!?", text[0].isupper(), sum(map(text.count, "|©»›")) > 0)
         return out
 
 
@@ -268,14 +294,14 @@ def logits(p: dict[str, np.ndarray], x: np.ndarray, mask: np.ndarray) -> np.ndar
 
 def long_logits(p: dict[str, np.ndarray], inputs: Inputs, blocks: list[Block], part: int = 4096) -> np.ndarray:
     """The logits of one page's blocks, of which only ``part`` at a time are held as vectors; the states go on between."""
-    z = np.full(len(blocks), p["out_b"], np.float32)
+    z, around = np.full(len(blocks), p["out_b"], np.float32), context(blocks)
     starts = range(0, len(blocks), part)
     half = np.repeat(np.float32([0.5, 1]), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half its input
     for d, weights in (("f", p["out"][:HIDDEN]), ("b", p["out"][HIDDEN:])):
         h = c = np.zeros(HIDDEN, np.float32)
         u = p[f"u{d}"] * half
         for at in starts if d == "f" else reversed(starts):
-            gates = (inputs.of(blocks[at : at + part]) @ p[f"w{d}"] + p[f"c{d}"]) * half
+            gates = (inputs.of(blocks[at : at + part], around[at : at + part]) @ p[f"w{d}"] + p[f"c{d}"]) * half
             states = np.empty((len(gates), HIDDEN), np.float32)
             for t in range(len(gates)) if d == "f" else range(len(gates) - 1, -1, -1):
                 k = np.tanh(gates[t] + h @ u)
@@ -345,51 +371,131 @@ def weak_label(block: Block) -> int | None:
     return 1 if inside >= 0 else None
 
 
+# Words that names of comment threads are composed of, and short texts that stand around articles.
+THREAD = ("post user reader visitor guest item entry disqus fb the all latest".split(), "comments comment thread reply replies response responses feedback discussion talkback opinions reviews respond guestbook".split())
+SMALL = ("Home", "About", "Contact", "News", "Log in", "Sign up", "Share", "Read more", "Next", "Previous", "Top", "Menu", "Search", "Reply", "Like", "Report", "All rights reserved", "Privacy policy", "Terms of use", "© 2021 The Company", "3 comments", "2 days ago", "Leave a reply", "Load more", "Follow us", "Advertisement", "More stories", "Tags")
+SYLLABLES = "ka lo mi ter wra bo xi qu zen fla dor pi sto ne ru gal vek ty".split()
+
+
 def drawn_page(g: np.random.Generator, main: list[str], rest: list[str]) -> tuple[list[Block], list[int]]:
-    """Blocks of a page with drawn names and nesting, around given article and other texts, with their labels."""
+    """Blocks of a page with drawn names and nesting, around given article and other texts, with their labels.
+
+    An article holds paragraphs, headings, lists, tables of words and numbers, captions, code and definitions. A third of the
+    names are made up and say nothing, so that structure, neighbours and text must decide.
+    """
     pick = lambda names: names[g.integers(len(names))]
     out: list[tuple[Block, int]] = []
-    root = ("html", "body") + (("div", f"div.{pick(['wrapper', 'page', 'container', 'site', 'root', 'layout'])}") if g.random() < 0.5 else ())
+
+    def made_up() -> str:
+        return "".join(pick(SYLLABLES) for _ in range(int(g.integers(1, 4)))) + (f"-{pick(SYLLABLES)}" if g.random() < 0.3 else "")
 
     def named(tag: str, name: str) -> tuple[str, ...]:
+        if g.random() < 0.35:
+            name = made_up()
+        elif g.random() < 0.25:
+            name = f"{made_up()}-{name}" if g.random() < 0.5 else f"{name}-{made_up()}"
         return (tag, *(f"{tag}.{w}" for w in re.split("[_-]", name)))
 
+    def plain(tag: str, name: str) -> tuple[str, ...]:
+        return (tag, *(f"{tag}.{w}" for w in re.split("[_-]", name)))
+
+    def put(path: tuple[str, ...], text: str, label: int) -> None:
+        out.append((Block(path, text), label))
+
+    def words(texts: list[str], low: int, high: int) -> str:
+        some, size = pick(texts).split(), int(g.integers(low, high))
+        at = int(g.integers(max(1, len(some) - size)))
+        return " ".join(some[at : at + size])
+
+    def number() -> str:
+        return pick([f"{g.integers(1, 3000)}", f"{g.integers(1, 100)}.{g.integers(0, 100)}", f"{g.integers(1, 100)} %", f"{g.integers(1, 10)},{g.integers(100, 1000)}", f"{g.integers(1990, 2030)}", "-", f"${g.integers(1, 900)}"])
+
+    def comments(base: tuple[str, ...]) -> None:
+        name = f"{pick(THREAD[0])}-{pick(THREAD[1])}" if g.random() < 0.5 else pick(AROUND["comment"] + THREAD[1])
+        thread = base + (plain(pick(["div", "section", "ol", "ul", "aside"]), name) if g.random() < 0.9 else ("div",))
+        each = pick([(), ("li",), ("article",), ("div",), plain("div", f"{pick(THREAD[0])}-{pick(THREAD[1])}"), plain("li", pick(THREAD[1])), plain("article", pick(THREAD[1]))])
+        inner = pick([(), (), ("div",), plain("div", f"{pick(THREAD[1])}-body"), plain("div", f"{pick(THREAD[1])}-content")])
+        if g.random() < 0.5:
+            put(thread + pick([("h2",), ("h3",), ("p",)]), pick(["Comments", "3 comments", "Leave a reply", "Responses", "Discussion"]), 0)
+        for _ in range(int(g.integers(1, 8))):
+            if g.random() < 0.4:
+                put(thread + each + pick([("b",), ("span",), ("h4",), ("div",), ("header",)]), words(main, 1, 3), 0)
+            put(thread + each + inner + pick([("p",), ("p",), ("div",), ()]), words(main, 3, 40), 0)
+            if g.random() < 0.3:
+                put(thread + each + pick([("a",), ("div",), ("footer",)]), pick(["Reply", "Like", "Report", "2 days ago"]), 0)
+
     def around(kind: str, base: tuple[str, ...]) -> None:
-        plain = SEMANTIC.get(kind)
-        path = base + ((plain,) if plain and g.random() < 0.5 else named(pick(["div", "section", plain or "div"]), pick(AROUND[kind])))
+        if kind == "comment":
+            return comments(base)
+        tag = SEMANTIC.get(kind)
+        style = g.random()
+        path = base + ((tag,) if tag and style < 0.4 else (pick(["ul", "div", "ul"]),) if kind == "nav" and style < 0.5 and base in (root, outer) else plain("ul", pick(AROUND[kind])) if kind == "nav" and style < 0.65 else named(pick(["div", "section", tag or "div"]), pick(AROUND[kind])))
         if g.random() < 0.25:
             path += ("div",)
-        for _ in range(int(g.integers(1, 7 if kind in ("nav", "comment", "aside") else 3))):
-            words = pick(rest if kind != "comment" else rest + main).split()
-            size = int(g.integers(1, 4)) if kind in ("nav", "form", "header") else int(g.integers(3, 40))
-            leaf = ("ul", "li") if kind in ("nav", "aside") and g.random() < 0.7 else ("p",) if g.random() < 0.6 else (pick(["h2", "h3", "div", "button", "td"]),) if g.random() < 0.5 else ()
-            at = int(g.integers(max(1, len(words) - size)))
-            out.append((Block(path + leaf, " ".join(words[at : at + size])), 0))
-
-    out.append((Block(("html", "head", "title"), pick(main)[:60]), 0))
-    before = [k for k in ("notice", "nav", "header", "nav", "ad", "form", "aside") if g.random() < 0.4]
-    for kind in before:
+        listed = path[-1].partition(".")[0] == "ul"
+        for _ in range(int(g.integers(1, 7 if kind in ("nav", "aside") else 3))):
+            short = kind in ("nav", "form", "header")
+            text = pick(SMALL) if g.random() < (0.4 if short else 0.15) else words(rest, 1 if short else 3, 4 if short else 40)
+            leaf = ("li",) if listed else ("ul", "li") if kind in ("nav", "aside") and g.random() < 0.7 else ("p",) if g.random() < 0.6 else (pick(["h2", "h3", "div", "button", "td"]),) if g.random() < 0.5 else ()
+            put(path + leaf, text, 0)
+
+    def piece(base: tuple[str, ...], paragraph: tuple[str, ...]) -> None:
+        kind = g.random()
+        if kind < 0.58:
+            put(base + paragraph, pick(main) if g.random() < 0.9 else words(main, 2, 12), 1)
+        elif kind < 0.65:
+            put(base + (pick(["h2", "h3", "h4"]),), words(main, 1, 9), 1)
+        elif kind < 0.78:
+            list_, long = pick([("ul",), ("ul",), ("ol",)]), g.random() < 0.5
+            for _ in range(int(g.integers(2, 7))):
+                put(base + list_ + ("li",), pick(main) if long else words(main, 1, 6), 1)
+        elif kind < 0.87:
+            table, numeric = pick([("table", "tr"), ("table", "tbody", "tr"), ("div", "table", "tr"), plain("table", "data") + ("tr",)]), g.random()
+            if g.random() < 0.3:
+                put(base + table[: table.index("tr")] + ("caption",), words(main, 2, 8), 1)
+            rows, columns = int(g.integers(2, 7)), int(g.integers(2, 5))
+            for r in range(rows):
+                for c in range(columns):
+                    text = number() if r and g.random() < (numeric if c else 0.3) else words(main, 1, 4)
+                    put(base + table + ("th" if r == 0 and rows > 2 else "td",), text, 1)
+        elif kind < 0.91:
+            put(base + ("figure", "figcaption"), words(main, 2, 20), 1)
+        elif kind < 0.94:
+            put(base + pick([("blockquote",), ("blockquote", "p")]), pick(main), 1)
+        elif kind < 0.97:
+            put(base + pick([("pre",), ("pre", "code"), ("div", "pre")]), pick([words(main, 2, 15), f"x = {number()} + f({number()})", f"{words(main, 1, 3)} = {number()};"]), 1)
+        else:
+            for _ in range(int(g.integers(1, 4))):
+                put(base + ("dl", "dt"), words(main, 1, 4), 1)
+                put(base + ("dl", "dd"), words(main, 2, 20), 1)
+
+    outer = ()
+    root = ("html", "body") + (plain("div", pick(["wrapper", "page", "container", "site", "root", "layout"])) if g.random() < 0.4 else named("div", "page") if g.random() < 0.2 else ())
+    put(("html", "head", "title"), pick(main)[:60], 0)
+    for kind in [k for k in ("notice", "nav", "header", "nav", "ad", "form", "aside") if g.random() < 0.4]:
         around(kind, root)
     style = g.random()
-    base = root + (("article",) if style < 0.35 else ("main",) if style < 0.5 else ("main", "article") if style < 0.6 else named(pick(["div", "section"]), pick(ARTICLE_NAMES)) if style < 0.95 else ("div",))
-    paragraph = pick([("p",)] * 6 + [("div",), ()])
-    for k in range(size := int(g.integers(1, 13))):
-        text = pick(main)
+    outer = root + (("main",) if style < 0.3 else named("div", pick(ARTICLE_NAMES)) if style < 0.45 else plain("div", made_up()) if style < 0.6 else ())
+    style = g.random()
+    base = outer + (("article",) if style < 0.35 else () if style < 0.5 and outer != root else named(pick(["div", "section", "article"]), pick(ARTICLE_NAMES)) if style < 0.92 else ("div",))
+    if base != root and g.random() < 0.15:  # tabs or a menu before the text
+        around("nav", pick([outer, base]) if outer != root else base)
+    paragraph = pick([("p",)] * 6 + [("div",), (), named("div", "text")])
+    for k in range(int(g.integers(1, 13))):
         if k == 0 and g.random() < 0.7:
-            out.append((Block((*base, pick(["h1", "h1", "h2"])), text[:70]), 1))
-        kind = g.random()
-        leaf = paragraph if kind < 0.8 else ("h2",) if kind < 0.86 else ("ul", "li") if kind < 0.92 else ("blockquote",) if kind < 0.96 else ("pre",)
-        out.append((Block(base + leaf, text if leaf != ("h2",) else text[:50]), 1))
-        if g.random() < 0.08:
-            around(pick(["ad", "aside", "notice", "form"]), base)
-    if g.random() < 0.35:
-        around("comment", base)
-    for kind in [k for k in ("comment", "aside", "form", "ad", "nav", "footer") if g.random() < 0.45]:
+            put(base + (pick(["h1", "h1", "h2"]),), pick(main)[:70], 1)
+        piece(base if g.random() < 0.9 else base + ("section",), paragraph)
+        if g.random() < 0.14:
+            around(pick(["ad", "aside", "notice", "form", "form"]), base)
+    for kind in ("comment", "nav", "aside", "form"):  # behind the text, in the same element or the one around it
+        if g.random() < (0.45 if kind == "comment" else 0.12):
+            around(kind, pick([base, outer]))
+    for kind in [k for k in ("comment", "aside", "form", "ad", "nav", "footer") if g.random() < (0.25 if k == "comment" else 0.45)]:
         around(kind, root)
     return [b for b, _ in out if b.text], [y for b, y in out if b.text]
 
 
-def fit(pages: pd.DataFrame, drawn: int = 1500, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 9, texts_each: int = 6, most_blocks: int = 5000, most_steps: int = 200) -> bytes:
+def fit(pages: pd.DataFrame, drawn: int = 3500, epochs: int = 8, batch: int = 32, rate: float = 0.01, seed: int = 9, texts_each: int = 6, most_blocks: int = 5000, most_steps: int = 200) -> bytes:
     """The network of a bounded sample of pages (html), as bytes.
 
     Pages carry no labels. Those of the sample are labelled where elements and names tell what a part is; and their

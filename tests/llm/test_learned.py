@@ -15,6 +15,7 @@ from pairwright.llm import html_extract as H
 from pairwright.llm import quality as Q
 from pairwright.llm import toxicity as T
 from pairwright.llm.common import held_out
+from tests.llm.layouts import LAYOUTS
 
 
 def test_held_out(llm_spark):
@@ -256,3 +257,34 @@ def test_layouts_not_seen():
         right += ((H.logits(model, x, mask)[:, 0] > 0) == np.array(labels)).sum()
         total += len(labels)
     assert right / total > 0.93
+
+
+@pytest.fixture(scope="module")
+def model_of_given_pages(llm_spark):
+    sf = "/root/testdata/sf0.01"  # the smallest tables have fewer pages than the sample may hold
+    pages = llm_spark.read.parquet(f"{sf}/pages.parquet").where("html is not null").orderBy("page_id").limit(400).select("html").toPandas()
+    docs = llm_spark.read.parquet(f"{sf}/documents.parquet").where("length(text) between 200 and 4000").orderBy("doc_id").select("text").toPandas()
+    said = [" ".join(x.split()) + "." for t in docs["text"] for x in t.split(". ") if 40 < len(x) < 250 and "<" not in x and "&" not in x]
+    return pickle.loads(H.fit(pages)), said
+
+
+@pytest.mark.parametrize("name", sorted(LAYOUTS))
+def test_layouts_by_hand(model_of_given_pages, name):
+    """Of pages laid out by hand the article's blocks are kept and others dropped; see the README for shares by layout."""
+    model, said = model_of_given_pages
+    g, inputs = random.Random(3), H.Inputs()
+    of_article, of_others = [], []
+    for _ in range(60):
+        html, article = LAYOUTS[name](g, lambda: g.choice(said))
+        kept = H.texts_of(model, inputs, [html])[0].split("\n")
+        for block in H.blocks_of(html):
+            (of_article if block.text in set(article) else of_others).append(block.text in kept)
+    assert np.mean(of_article) >= (0.85 if name == "lists_and_captions" else 0.94) and 1 - np.mean(of_others) >= (0.8 if name == "thread_inside_main" else 0.94)
+
+
+def test_context_of_a_page():
+    page = "<body><nav><a>Home</a></nav><div><p>one two</p><p>three</p></div></body>"
+    blocks = H.blocks_of(page)
+    plain = [H.Block(tuple(b.path), b.text) for b in blocks]
+    want = [(4 / 16, 4 / 16, 0, np.log1p(1) / 5), (12 / 16, 12 / 16, 1 / 3, np.log1p(2) / 5), (12 / 16, 12 / 16, 2 / 3, np.log1p(2) / 5)]
+    assert np.allclose(H.context(blocks), want) and np.allclose(H.context(plain), want) and H.context([]).shape == (0, H.CONTEXT)
