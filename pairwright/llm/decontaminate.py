@@ -10,7 +10,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
 from pairwright.llm.common import cut, shared, small, text_key, unused
 
@@ -88,11 +87,9 @@ def groups_of(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int
         yield first, some
 
 
-@F.pandas_udf(LongType())
-def count_words(texts: pd.Series) -> pd.Series:
-    """The number of words of each text; a null has none."""
-    out = [np.bincount(Words.read(some).of, minlength=len(some)) for _, some in groups_of(t or b"" for t in texts)]
-    return pd.Series(np.concatenate(out) if out else np.empty(0, np.int64))
+def n_words(text: Column) -> Column:
+    """The number of words of a text; a null has none."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
 
 
 def windows_of(items: DataFrame, window: int) -> DataFrame:
@@ -115,16 +112,17 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return items.select("item_id", "text").mapInPandas(run, schema)
 
 
-def sieve(hashes: DataFrame, bits: int = 24) -> Callable[[np.ndarray], np.ndarray]:
-    """For use in tasks: which of an array's hashes may be among the frame's (column h); those that it denies are not.
+def sieve(hashes: DataFrame, most_bits: int = 26) -> Callable[[np.ndarray], np.ndarray]:
+    """For use in tasks: which of an array's hashes may be among the frame's (column h, written); those that it denies are not.
 
-    It is a bitmap of the first ``bits`` bits, so its size is fixed: 2 ** (bits - 6) rows at most reach the driver.
+    It is a bitmap of a hash's first bits, some 64 places for each of the frame's hashes, but no more than ``most_bits`` bits (8
+    MB): with more hashes it lets more through, and joins drop that. It reaches the driver as at most 2 ** 20 rows.
     """
+    bits = min(most_bits, max(16, (64 * hashes.count()).bit_length()))
     slot = F.shiftrightunsigned("h", 64 - bits)
-    made = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("marks"))
+    made = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - bits}) & 63 as int))")).alias("marks")).toArrow()
     held = np.zeros(1 << (bits - 6), np.int64)
-    for r in made.collect():
-        held[r["at"]] = r["marks"]
+    held[made["at"].to_numpy()] = made["marks"].to_numpy()
     sent = shared(hashes.sparkSession, held.view(np.uint64))
 
     def holds(h: np.ndarray) -> np.ndarray:
@@ -184,8 +182,8 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10)
 
     A window is contained whole or not at all, so its prefix in the order of rarity is one shingle, a pair of neighbouring
     words (or the word of a one-word window): the one that occurs least in all documents, ties by hash. A window with a
-    shingle that never occurs is left out. Documents are read twice, whatever the benchmark's size: to count shingles, and
-    to find the prefixes. Tasks hold a bitmap of fixed size; the windows are joined with the places found, where length
+    shingle that never occurs is left out. Texts are read three times, whatever the benchmark's size: to count shingles,
+    to find the prefixes, and for the result. Tasks hold a bitmap of bounded size; the windows are joined with the places found, where length
     and position are compared before the words are.
     """
     new = ["n_words", "n_hit", "n_items", "item_ids", "contaminated"]
@@ -199,7 +197,9 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     placed = distinct.select("words", "size", F.posexplode("shingles").alias("offset", "h")).join(counts, "h", "left")
     rarest = placed.groupBy("words", "size").agg(F.min_by(F.struct("h", "offset"), F.struct("n", "h", "offset")).alias("x"), F.bool_and(F.col("n").isNotNull()).alias("all"))
     prefixes = cut(rarest.where("all").select("words", "size", "x.h", "x.offset"))
-    found = cut(candidates(texts, cut(prefixes.select("h").distinct()), window).distinct())
+    known = cut(prefixes.select("h").distinct())
+    # what the bitmap lets through by chance goes before anything is shuffled, where the hashes are few enough to be broadcast
+    found = cut(candidates(texts, known, window).join(small(known), "h", "left_semi").distinct())
     # length and position first, then the words themselves
     start = F.col("before") - F.col("offset")
     met = found.join(small(prefixes), "h").withColumn("near", F.split(F.col("around").cast("string"), " "))
@@ -217,7 +217,7 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10)
     per_text = small(runs.select("t", n_hit.alias("n")).join(items, "t", "left").select(F.col("t").alias(key), F.struct("n", "ids").alias(got)))
     out = base.withColumn(key, text_key("text")).join(per_text, key, "left")
     ids = F.coalesce(f"{got}.ids", F.array().cast("array<string>"))
-    out = out.withColumns({"n_words": count_words(F.col("text").cast("binary")), "n_hit": F.coalesce(f"{got}.n", F.lit(0)).cast("long"), "n_items": F.size(ids).cast("long"), "item_ids": ids})
+    out = out.withColumns({"n_words": n_words(F.col("text")), "n_hit": F.coalesce(f"{got}.n", F.lit(0)).cast("long"), "n_items": F.size(ids).cast("long"), "item_ids": ids})
     return out.withColumn("contaminated", F.col("n_hit") > 0).select(*base.columns, *new)
 
 
