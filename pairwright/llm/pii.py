@@ -116,6 +116,22 @@ def disclosing_terms(found: DataFrame, reach: int = 10, support: int = 5, least_
     return terms, holding.join(terms, "term", "left_semi")
 
 
+def looked_up(words: Column, terms: Column) -> Column:
+    """(start, end, value, revealing) of the words (start, end, value) that are among the terms (term, revealing), by start.
+
+    Words and terms are sorted together, so that each word comes behind its term, however many there are of either.
+    """
+    every = F.concat(F.transform(terms, lambda x: F.struct(x["term"].alias("v"), F.lit(-1).alias("s"), x["revealing"].alias("e"))), F.transform(words, lambda w: F.struct(w["value"].alias("v"), w["start"].alias("s"), w["end"].alias("e"))))
+
+    def matched(x: Column) -> Column:
+        both = F.zip_with(x["events"], x["terms"], lambda e, k: bound(F.struct(e.alias("e"), F.get(x["events"], k).alias("t")), lambda y: F.when((y["e"]["s"] >= 0) & (y["t"]["s"] < 0) & (y["t"]["v"] == y["e"]["v"]), F.struct(y["e"]["s"].alias("start"), y["e"]["e"].alias("end"), y["e"]["v"].alias("value"), y["t"]["e"].alias("revealing")))))
+        return F.array_sort(F.array_compact(both))
+
+    # the place of the last term before each word, or of the word itself
+    behind = lambda v: running(F.transform(v, lambda x, i: F.when(x["s"] < 0, i).otherwise(0)), lambda a, b: F.greatest(a, b))
+    return bound(F.array_sort(every), lambda v: bound(F.struct(v.alias("events"), behind(v).alias("terms")), matched))
+
+
 def private_spans(docs: DataFrame, remove: float = 0.8, **thresholds: float) -> DataFrame:
     """Adds email, ip, card, phone, term and revealing (arrays of start, end, value) to every row of ``docs`` (text).
 
@@ -132,11 +148,11 @@ def private_spans(docs: DataFrame, remove: float = 0.8, **thresholds: float) ->
     terms, holding = disclosing_terms(found, **thresholds)
     hits, key = unused(docs, "hits"), unused(docs, "key")
     # what one text holds of the terms is no more than its different words
-    held = holding.join(terms, "term").groupBy("t").agg(F.struct(F.array_sort(F.collect_list("term")).alias("every"), F.collect_list(F.when(F.col("share") >= remove, F.col("term"))).alias("revealing")).alias(hits))
+    held = holding.join(terms, "term").groupBy("t").agg(F.collect_list(F.struct("term", (F.col("share") >= remove).cast("int").alias("revealing"))).alias(hits))
     out = found.withColumn(key, text_key("text")).join(small(held.withColumnRenamed("t", key)), key, "left").drop(key)
-    pattern = F.concat(F.lit(f"(?<![^{NO_WORD}])(?:"), F.array_join(f"{hits}.every", "|"), F.lit(f")(?![^{NO_WORD}])"))
-    out = out.withColumn(hits, F.struct(find_spans(_outside(text), pattern, F.col(hits).isNotNull()).alias("spans"), F.col(f"{hits}.revealing").alias("revealing")))
-    told = lambda yes: F.filter(f"{hits}.spans", lambda x: F.array_contains(F.col(f"{hits}.revealing"), x["value"]) == F.lit(yes))
+    words = find_spans(_outside(text), f"[^{NO_WORD}]+", F.col(hits).isNotNull())
+    out = out.withColumn(hits, F.when(F.col(hits).isNotNull(), looked_up(words, F.col(hits))))
+    told = lambda yes: F.transform(F.filter(hits, lambda x: x["revealing"] == int(yes)), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
     none = F.from_json(F.lit("[]"), SPAN)
     return out.withColumns({"term": F.coalesce(told(False), none), "revealing": F.coalesce(told(True), none)}).select(*base.columns, *new)
 

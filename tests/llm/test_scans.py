@@ -236,3 +236,20 @@ def test_very_many_terms(llm_spark):
     docs = llm_spark.range(0, 20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.substring_index(near, " ", 10), mail, F.substring_index(near, " ", -10), F.concat(F.lit("n"), F.col("id").cast("string"))).alias("text"))
     found = pii.private_spans(docs, least_chars=3).agg(F.count("*"), F.sum(F.size("revealing"))).first()
     assert found[0] == 20_000 and found[1] == 20_000 * 20
+
+
+def test_lookup_of_many_terms(llm_spark):
+    g = random.Random(2)
+    words = [f"w{g.randrange(30_000)}" for _ in range(60_000)]
+    terms = sorted({f"w{i}" for i in range(0, 30_000, 2)})
+    text = " ".join(words)
+    rows = llm_spark.createDataFrame([(text, [(t, i % 2) for i, t in enumerate(terms)]), ("none of them", [("w1", 1)]), ("", [])], "text string, terms array<struct<term:string,revealing:int>>")
+    began = time.time()
+    found = rows.select("text", pii.looked_up(pii.find_spans(F.col("text"), "[a-z0-9]+", F.lit(True)), F.col("terms")).alias("x")).collect()
+    assert time.time() - began < 60
+    at, want, flags = 0, [], {t: i % 2 for i, t in enumerate(terms)}
+    for w in words:
+        if w in flags:
+            want.append((at, at + len(w), w, flags[w]))
+        at += len(w) + 1
+    assert [tuple(x) for x in found[0].x] == want and found[1].x == found[2].x == []
