@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What a skill's name loses before it is compared; results rest on these patterns.
+ANALYSIS_WORDS, ANALYSIS_NUMBERS, ANALYSIS_SIGNS = r"\b(?:developer|engineer)\b|\.js\b", r"\d+(?:\.\d+)?", r"[^a-z0-9+\s]"
+PLAIN_VERSIONS, PLAIN_ENDS = r"\b\d+(?:\.\d+)*\b", r"(?: developer| engineer|\.js)$"
+
 
 def squeezed(c: Column) -> Column:
     """White space to single blanks, none at the ends."""
@@ -13,14 +17,14 @@ def squeezed(c: Column) -> Column:
 
 def analysis_skill(skill: Column) -> Column:
     """Lower case without role words, ``.js``, numbers and signs other than a plus."""
-    bare = F.regexp_replace(squeezed(F.lower(skill)), r"\b(?:developer|engineer)\b|\.js\b", "")
-    return squeezed(F.regexp_replace(F.regexp_replace(bare, r"\d+(?:\.\d+)?", ""), r"[^a-z0-9+\s]", " "))
+    bare = F.regexp_replace(squeezed(F.lower(skill)), ANALYSIS_WORDS, "")
+    return squeezed(F.regexp_replace(F.regexp_replace(bare, ANALYSIS_NUMBERS, ""), ANALYSIS_SIGNS, " "))
 
 
 def plain_skill(skill: Column) -> Column:
     """Lower case without version numbers and without one trailing role word or ``.js``."""
-    bare = F.regexp_replace(F.regexp_replace(F.lower(skill), r"\b\d+(?:\.\d+)*\b", ""), r"(?U)^\s+|\s+$", "")
-    return squeezed(F.regexp_replace(bare, r"(?: developer| engineer|\.js)$", ""))
+    bare = F.regexp_replace(F.regexp_replace(F.lower(skill), PLAIN_VERSIONS, ""), r"(?U)^\s+|\s+$", "")
+    return squeezed(F.regexp_replace(bare, PLAIN_ENDS, ""))
 
 
 def skill_set(skills: Column, normalise=analysis_skill, keep_empty: bool = False) -> Column:

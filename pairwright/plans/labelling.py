@@ -125,7 +125,7 @@ def label_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "p23_adjudication",
     f"""{LABELS_SQL} SELECT trace_id, generated_fit_label, computed_fit_label, computed_fit_label AS adjudicated_fit_label, CASE WHEN requires_human_review THEN 'human_review' ELSE 'auto_accept' END AS adjudicator_type,
-array_to_string(review_reason_codes, ',') AS reason_codes, CASE WHEN requires_human_review THEN 'Flagged for review by policy trigger(s).' ELSE 'Auto-accepted by policy checks.' END AS notes, 'benchmark_policy_v1' AS policy_id FROM labels_""",
+array_to_string(review_reason_codes, ',') AS reason_codes, CASE WHEN requires_human_review THEN 'a reviewer decides, for the reasons given' ELSE 'nothing asks for a review' END AS notes, 'benchmark_policy_v1' AS policy_id FROM labels_""",
 )
 def adjudication_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.adjudicate(label_rows(spark, sf_dir)).withColumn("reason_codes", F.array_join("reason_codes", ","))

@@ -89,7 +89,7 @@ s AS (SELECT index, fit_level, list_concat(taken, {_drawn_sql('preferred', _map(
 
 
 @query("g4_resume_skills", f"""{SKILLS_SQL} SELECT 'pair-' || sha256('42:' || index)[1:16] AS trace_id, fit_level, array_to_string(names, '|') AS skills,
-'Candidate targeting ' || fit_level || ' fit with demonstrated strengths in ' || array_to_string(names[1:3], ', ') || '.' AS summary FROM s""")
+'Knows ' || array_to_string(names[1:3], ', ') || '; made for the level ' || fit_level AS summary FROM s""")
 def generated_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _generated(spark, sf_dir).select("trace_id", "fit_level", F.array_join(F.transform("resume.skills", lambda s: s["name"]), "|").alias("skills"), F.col("resume.summary").alias("summary"))
 
@@ -127,9 +127,9 @@ def job_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), S.filled(F.lit(JOB_TEMPLATE), {"industry_focus": F.col("c_mktsegment")}).alias("prompt"))
 
 
-@query("p28_fit_constraints", f"""WITH {PAIRS_SQL}, c AS (SELECT trace_id, {_map({k: f"'{v[0]:.2f}-{v[1]:.2f}'" for k, v in policy.FIT_BANDS.items()})} AS band, CASE fit_level WHEN 'complete_mismatch' THEN 0 ELSE greatest(1, round_even(greatest(1, len(required)) * {_map({k: f'{v[0]}::DOUBLE' for k, v in S.BY_FIT.items()})}, 0)::INT) END AS target,
+@query("p28_fit_constraints", f"""WITH {PAIRS_SQL}, c AS (SELECT trace_id, {_map({k: f"'{v[0]:.2f} to {v[1]:.2f}'" for k, v in policy.FIT_BANDS.items()})} AS band, CASE fit_level WHEN 'complete_mismatch' THEN 0 ELSE greatest(1, round_even(greatest(1, len(required)) * {_map({k: f'{v[0]}::DOUBLE' for k, v in S.BY_FIT.items()})}, 0)::INT) END AS target,
 {_map({k: v[4] for k, v in S.BY_FIT.items()})} AS unrelated FROM p WHERE fit_level IS NOT NULL)
-SELECT trace_id, '- Target overlap band: ' || band || chr(10) || '- Aim to include about ' || target || ' required skills' || chr(10) || '- Include no more than ' || unrelated || ' unrelated skills' AS block FROM c""")
+SELECT trace_id, 'Overlap from ' || band || '; required skills: ' || target || '; unrelated skills: up to ' || unrelated AS block FROM c""")
 def fit_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pairs(spark, sf_dir).where("fit_level is not null")
     return rows.select("trace_id", S.constraint_block(S.fit_constraint(F.size("job_description.requirements.required_skills"), F.col("fit_level"))).alias("block"))
@@ -147,7 +147,7 @@ def skill_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), S.skill_category(skill).alias("category"))
 
 
-@query("p31_resume_summary", f"""WITH {PAIRS_SQL} SELECT trace_id, 'Candidate targeting ' || coalesce(fit_level, 'any') || ' fit with demonstrated strengths in ' || CASE WHEN len(skills) = 0 THEN 'professional problem solving' ELSE array_to_string(skills[1:3], ', ') END || '.' AS summary FROM p""")
+@query("p31_resume_summary", f"""WITH {PAIRS_SQL} SELECT trace_id, 'Knows ' || CASE WHEN len(skills) = 0 THEN 'no skill by name' ELSE array_to_string(skills[1:3], ', ') END || '; made for the level ' || coalesce(fit_level, 'any') AS summary FROM p""")
 def resume_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("trace_id", S.resume_summary(F.transform("resume.skills", lambda s: s["name"]), F.coalesce("fit_level", F.lit("any"))).alias("summary"))
 
