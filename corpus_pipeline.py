@@ -59,13 +59,18 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written to the cluster's shared folder and read again.
 
-    A stage's folder is removed when the next one is written, so that one copy of the corpus is left: the result's.
+    A stage's folder is removed when the next one is written, so that one copy of the corpus is left: the result's, which its
+    reader removes (``result.inputFiles()`` tell where it lies). Where a stage fails, all folders of the run go.
     """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}_{name}")
-        docs = spark.read.parquet(path)
-        if k:
-            remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
+    try:
+        for k, (name, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{k}_{name}")
+            docs = spark.read.parquet(path)
+            if k:
+                remove(spark, f"{folder}/{k - 1}_{STAGES[k - 1][0]}")
+    except BaseException:
+        remove(spark, folder)
+        raise
     return docs
