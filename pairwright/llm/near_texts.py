@@ -102,6 +102,10 @@ def meetings(frames: Iterable[pd.DataFrame], hub: bool, most: int = 1 << 20) ->
         rows = np.arange(len(f))
         low = np.maximum(np.searchsorted(order, group * wide + -(-4 * n.astype(np.int64) // 5)), head)
         high = np.minimum(np.searchsorted(order, group * wide + np.clip(9 * left.astype(np.int64) // 4 - n, -1, wide - 1), side="right"), rows)
+        # a group that is one component already has nothing to link
+        begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        alone = np.minimum.reduceat(c, begins) == np.maximum.reduceat(c, begins)
+        high = np.where(alone[group - 1], low, high)
         if hub:
             high = np.where(low <= head, np.minimum(high, head + 1), low)
         many = np.maximum(high - low, 0)
