@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 IS_WORD = np.array([48 <= c <= 57 or 97 <= c <= 122 or c >= 128 for c in LOWER])
 MIX = np.uint64(0x9E3779B97F4A7C15)
-BASE, PIECE = 0x100000001B3, 1 << 20
+BASE, PIECE = 0x100000001B3, 1 << 16  # bytes of text whose running sums a task holds at once
 POWERS = np.cumprod(np.array([1] + [BASE] * (PIECE - 1), np.uint64), dtype=np.uint64)
 INVERSES = np.cumprod(np.array([1] + [pow(BASE, -1, 1 << 64)] * (PIECE - 1), np.uint64), dtype=np.uint64)
 
@@ -87,6 +88,12 @@ def groups_of(texts: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int
         yield first, some
 
 
+def texts_in(batch: pa.RecordBatch, rows: int = 256) -> Iterator[bytes]:
+    """The batch's texts, of which a few are copied out of it at a time."""
+    for at in range(0, len(batch), rows):
+        yield from batch.column("text").slice(at, rows).to_pylist()
+
+
 def n_words(text: Column) -> Column:
     """The number of words of a text; a null has none."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long")
@@ -136,13 +143,14 @@ def shingle_counts(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(h, n): how often the shingles of ``known`` (column h) occur in all of ``docs.text``; those that don't are left out."""
     may = sieve(known)
 
-    def count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for _, some in groups_of(f["text"]):
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, some in groups_of(texts_in(batch)):
                 h, n = np.unique(np.concatenate([h[(h != 0) & may(h)] for h in Words.read(some).shingles()]), return_counts=True)
-                yield pd.DataFrame({"h": h, "n": n})
+                yield pa.RecordBatch.from_pydict({"h": h, "n": n})
+            del batch  # before the next one is read
 
-    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return counted.join(known, "h", "left_semi")
 
 
@@ -153,9 +161,10 @@ def candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
     """
     may = sieve(prefixes)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for first, some in groups_of(f["text"]):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (batch.column("t").field(k) for k in "ab")
+            for first, some in groups_of(texts_in(batch)):
                 words = Words.read(some)
                 edges = np.searchsorted(words.of, np.arange(len(some) + 1))  # each text's first word
                 for h in words.shingles():
@@ -164,11 +173,13 @@ def candidates(docs: DataFrame, prefixes: DataFrame, window: int) -> DataFrame:
                         at = hits[k : k + 5_000]
                         of = words.of[at]
                         low, high = np.maximum(at - window + 1, edges[of]), np.minimum(at + window, edges[of + 1] - 1)
-                        around = [b" ".join(words_of(words.joined[a:b])) for a, b in zip(words.starts[low], words.ends[high], strict=True)]
-                        yield pd.DataFrame({"t": f["t"].iloc[first + of].tolist(), "at": (at - edges[of]).astype(np.int32), "h": h[at], "before": (at - low).astype(np.int32), "around": around})
+                        around = [b" ".join(words_of(words.joined[i:j])) for i, j in zip(words.starts[low], words.ends[high], strict=True)]
+                        t = pa.StructArray.from_arrays([x.take(pa.array(first + of)) for x in (a, b)], ["a", "b"])
+                        yield pa.RecordBatch.from_pydict({"t": t, "at": (at - edges[of]).astype(np.int32), "h": h[at], "before": (at - low).astype(np.int32), "around": pa.array(around, pa.binary())})
+            del batch, a, b  # before the next one is read
 
     schema = "t struct<a: bigint, b: bigint>, at int, h long, before int, around binary"
-    return docs.mapInPandas(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

@@ -1,8 +1,10 @@
 import random
 import re
+import tracemalloc
 
 from pyspark.sql import functions as F
 
+from pairwright.llm import decontaminate
 from pairwright.llm.decontaminate import Words, contaminated_words, words_of
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -62,3 +64,16 @@ def test_words_of_many_texts():
         assert [(int(o), got.joined[a:b].lower()) for o, a, b in zip(got.of, got.starts, got.ends)] == want
         by = {}
         assert all(by.setdefault(x, h) == h for (_, x), h in zip(want, got.hashes.tolist())) and len(set(by.values())) == len(by)
+
+
+def test_words_take_little_memory():
+    """A group of texts, as a task reads it: the running sums over it aren't held at once, and neither are tables as long."""
+    text = b"some words of a text, " * 50_000
+    tracemalloc.start()
+    try:
+        Words.read([text])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20 * len(text), peak
+    assert decontaminate.POWERS.nbytes + decontaminate.INVERSES.nbytes <= len(text)
