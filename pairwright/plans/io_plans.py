@@ -148,15 +148,19 @@ RUBRIC = "Evaluate this resume-job pair. Return ONLY one JSON object."
 
 @query("p25_judge_prompts", f"{LABELS_SQL} SELECT trace_id, computed_fit_label AS label, skills_overlap AS overlap, {' || '.join(f'({f}::INT)' for f in policy.FLAGS)} AS flags, array_to_string(required, '|') AS required, seniority AS level, array_to_string(skills, '|') AS skills, summary FROM labels_ JOIN p USING (trace_id)")
 def judge_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the prompts tell, read back from their three JSON parts; the rubric must come first."""
-    rows = metrics(pairs(spark, sf_dir), AS_OF).select("trace_id", J.judge_prompt(RUBRIC).alias("prompt")).where(F.startswith("prompt", F.lit(RUBRIC + "\n\n")))
-    part = lambda name, until: F.regexp_extract("prompt", rf"(?s)\n\n{name}:\n(.*?)\n{until}", 1)
-    read = rows.select("trace_id", part("What the rules found", "\nJob:").alias("r"), part("Job", "\nCandidate:").alias("j"), part("Candidate", "$").alias("c"))
-    of = lambda c, path: F.get_json_object(c, f"$.{path}")
-    listed = lambda c, path: F.array_join(F.from_json(of(c, path), "array<string>"), "|")
+    """What the prompts tell, read back from their three JSON parts; one that doesn't begin with the rubric tells nothing.
+
+    A filter by the prompt would be pushed below the label projections, and each use of a text would make it anew there.
+    """
+    rows = metrics(pairs(spark, sf_dir), AS_OF).select("trace_id", F.split(J.judge_prompt(RUBRIC), "\n\n(?:What the rules found|Job|Candidate):\n").alias("part"))
+    part = lambda k, schema: F.from_json(F.when(F.get("part", 0) == RUBRIC, F.get("part", k)), schema)
+    read = rows.select(
+        "trace_id", part(1, f"computed_fit_label string, skills_overlap double, {', '.join(f'{f} boolean' for f in policy.FLAGS)}").alias("r"),
+        part(2, "requirements struct<required_skills: array<string>, experience_level: string>").alias("j"), part(3, "skills array<struct<name: string>>, summary string").alias("c"),
+    )
     return read.select(
-        "trace_id", of("r", "computed_fit_label").alias("label"), of("r", "skills_overlap").cast("double").alias("overlap"), F.concat(*(F.when(of("r", f) == "true", "1").otherwise("0") for f in policy.FLAGS)).alias("flags"),
-        listed("j", "requirements.required_skills").alias("required"), of("j", "requirements.experience_level").alias("level"), F.coalesce(F.array_join(F.transform(F.from_json(of("c", "skills"), "array<struct<name:string>>"), lambda s: s["name"]), "|"), F.lit("")).alias("skills"), of("c", "summary").alias("summary"),
+        "trace_id", F.col("r.computed_fit_label").alias("label"), F.col("r.skills_overlap").alias("overlap"), F.concat(*(F.when(F.col(f"r.{f}"), "1").otherwise("0") for f in policy.FLAGS)).alias("flags"),
+        F.array_join("j.requirements.required_skills", "|").alias("required"), F.col("j.requirements.experience_level").alias("level"), F.coalesce(F.array_join(F.transform("c.skills", lambda s: s["name"]), "|"), F.lit("")).alias("skills"), F.col("c.summary").alias("summary"),
     )
 
 

@@ -1,5 +1,6 @@
 """Rules on small rows of their own."""
 
+import collections
 import datetime
 import json
 import math
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pairwright.functions.skills import analysis_skill, jaccard, plain_skill
 from pairwright.functions.text import count_terms, json_object, repeated_nearby, repeated_windows, tokens
 from pairwright.operators import judge, labels, policy_splits, reports, review, synthesis, validate
+from pairwright.plans.io_plans import judge_prompts
 from pairwright.plans.validation_plans import CASES
 from pairwright.sources import records
 from pairwright.streaming.review import review as review_batch
@@ -49,6 +51,23 @@ def test_fit(spark, overlap, missing, want):
     assert one(spark, labels.fit_of(F.lit(overlap), F.lit(missing))) == want
 
 
+def test_repeats_are_brute_force(spark):
+    g = random.Random(6)
+    texts = [[g.choice(["a", "bbb", "core", "wider"][: g.randint(1, 4)]) for _ in range(n)] for n in [*range(30), *range(30)]]
+    run = [f"w{k}" for k in range(10)]
+    texts += [run * 3, run * 2 + run[:9], [*run, "x", *run, "y", *run], [*run, "x", *run, "y", *run[1:]], [x for y in run for x in (y, y, y)], [*run, *run, *run[::-1], *run[::-1]]]
+    want = [(max(collections.Counter(tuple(t[i : i + 10]) for i in range(len(t) - 9)).values(), default=0) >= 3, len(t) >= 8 and any(len(x) >= 4 and t[i : i + 8].count(x) >= 3 for i, x in enumerate(t))) for t in texts]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k long, words array<string>")
+    got = rows.select("k", repeated_windows(F.col("words")).alias("w"), repeated_nearby(F.col("words")).alias("n")).orderBy("k").collect()
+    assert [(r.w, r.n) for r in got] == want and {w for w, _ in want} == {n for _, n in want} == {True, False}
+
+
+def test_a_prompt_is_made_once(spark, sf):
+    """A filter by the prompt would go below the labels and make prompt and texts anew for each place that uses them."""
+    plan = judge_prompts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructsToJsonEvaluator(") == 3
+
+
 def test_titles(spark):
     rows = spark.createDataFrame([([("Director of Sales",)],), ([("Team Lead",)],), ([("Senior Cook",)],), ([],)], "e array<struct<position:string>>")
     assert [r.x for r in rows.select(labels.resume_seniority(F.col("e"), F.lit(2.0)).alias("x")).collect()] == ["executive", "lead", "senior", "mid_level"]  # "director" holds "cto"
